@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from karyon.functions.ids import clean_id
 from karyon.llm.knn import nearest_samples
 from karyon.llm.leak import leaked
+from karyon.llm.packing import GPT2_PATTERN, count_tokens, pack
 from karyon.llm.splits import assign_splits, entity_components
 from karyon.llm.topn import top_n
+from karyon.llm.truncation import truncated
 from karyon.plans.workspace import Workspace
 
 
@@ -57,11 +59,29 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _nearest_five(spark, sf).select(F.least("id", "near").alias("sample_id_a"), F.greatest("id", "near").alias("sample_id_b")).distinct()
 
 
+def p7_containers(spark: SparkSession, sf: str, capacity: int = 2048, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    items = count_tokens(table(spark, sf, "documents"), vocabulary, GPT2_PATTERN)
+    return pack(items, capacity, Workspace(spark, "p7"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p4_found, p8_found)}
+def _ends(spark: SparkSession, sf: str) -> DataFrame:
+    return truncated(table(spark, sf, "documents"), Workspace(spark, "p9"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _ends(spark, sf).where("cut").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return docs.join(_ends(spark, sf), "doc_id").groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("int")).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p4_found, p7_containers, p8_found, p9_found, p9_sources)}
 
 _ID = r"nullif(upper(regexp_extract({c}, '^[\s\pZ\x{{0b}}\x{{85}}\x{{FEFF}}\x{{200B}}]*([A-Za-z]{{2}}-[0-9]{{8}})[\s\pZ\x{{0b}}\x{{85}}\x{{FEFF}}\x{{200B}}]*$', 1)), '')"
 SQL = {
