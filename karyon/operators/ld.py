@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karyon.plans.packing import packed_rows
+from karyon.plans.packing import dense, packed_rows
 
 
 def owner_windows(variants: DataFrame, windows: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def ld_matrix(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_sam
     pair of blocks per group, so no group grows with the contig.
     """
     reach = owner_windows(variants, windows)
-    rows = packed_rows(dosages, "variant_index", "sample_index", "dosage", n_samples)
+    rows = packed_rows(dosages, "variant_index", "sample_index", "dosage")
     left = rows.join(reach, "variant_index").withColumn("bi", F.floor(F.col("variant_index") / block))
     left = left.withColumn("bj", F.explode(F.sequence(F.col("bi"), F.floor((F.col("stop") - 1) / block))))
     far = left.groupBy("contig", "bi").agg(F.max("bj").alias("last"))
@@ -58,7 +58,7 @@ def ld_matrix(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_sam
         if not len(a) or not len(b):
             return out
         a, b = a.sort_values("variant_index"), b.sort_values("rv")
-        r = _r2(np.stack(a["x"].to_numpy()), np.stack(b["rx"].to_numpy()))
+        r = _r2(dense(a, n_samples), dense(b, n_samples, idx="ridx", val="rval"))
         i, j = a["variant_index"].to_numpy(), b["rv"].to_numpy()
         inside = (j[None, :] >= i[:, None]) & (j[None, :] < a["stop"].to_numpy()[:, None])
         r[i[:, None] == j[None, :]] = 1.0
@@ -67,8 +67,8 @@ def ld_matrix(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_sam
         x, y = np.nonzero(inside)
         return pd.DataFrame({"i": i[x], "j": j[y], "value": r[x, y]})
 
-    l2 = left.select("contig", "bi", "bj", "variant_index", "stop", "x")
-    r2 = right.select(F.col("contig").alias("rc"), F.col("bi").alias("rbi"), F.col("bj").alias("rbj"), F.col("variant_index").alias("rv"), F.col("x").alias("rx"))
+    l2 = left.select("contig", "bi", "bj", "variant_index", "stop", "idx", "val")
+    r2 = right.select(F.col("contig").alias("rc"), F.col("bi").alias("rbi"), F.col("bj").alias("rbj"), F.col("variant_index").alias("rv"), F.col("idx").alias("ridx"), F.col("val").alias("rval"))
     met = l2.groupBy("contig", "bi", "bj").cogroup(r2.groupBy("rc", "rbi", "rbj")).applyInPandas(pairs, "i bigint, j bigint, value double")
     return met.withColumn("value", F.when(~F.isnan("value"), F.col("value")).cast("float"))
 

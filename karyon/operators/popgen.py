@@ -104,15 +104,15 @@ def pbs(fst: DataFrame, triples: list[tuple[int, int, int]] | None = None, epsne
 def Garud_H(calls: DataFrame, samples: DataFrame, windows: DataFrame, gt: str = "call_genotype") -> DataFrame:  # noqa: N802
     """unit, cohort, h1, h12, h123, h2_h1 of diploid haplotypes in windows.
 
-    A haplotype is the exact string of its alleles in the window, missing ones
-    being symbols of their own; variants without a call in ``calls`` are as if
-    missing for no one, so pass dense calls.
+    A haplotype is the exact string of its alleles in the window with their
+    variants, missing ones being symbols of their own; a sample without a row in
+    the window has none.
     """
     held = samples.where("sample_cohort >= 0").select("sample_index", F.col("sample_cohort").alias("cohort"))
     slots = calls.select("variant_index", "sample_index", F.posexplode(gt).alias("slot", "allele"))
     placed = assign(slots, windows).join(held, "sample_index")
     # A window holds few variants, so a haplotype is a bounded string.
-    hap = placed.groupBy("window_index", "cohort", "sample_index", "slot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant_index", "allele"))), lambda x: x["allele"].cast("string")), ",").alias("hap"))
+    hap = placed.groupBy("window_index", "cohort", "sample_index", "slot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant_index", "allele"))), lambda x: F.concat(x["variant_index"].cast("string"), F.lit(":"), x["allele"].cast("string"))), ",").alias("hap"))
     n = hap.groupBy("window_index", "cohort", "hap").agg(F.count("*").alias("n"))
     w = Window.partitionBy("window_index", "cohort")
     ranked = n.withColumn("f", F.col("n") / F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "hap")))

@@ -11,19 +11,39 @@ from pyspark.sql import functions as F
 
 from karyon.functions import calls as C
 from karyon.operators import aggregation as agg
+from karyon.operators import association as assoc
 from karyon.operators import ld, popgen
+from karyon.operators import pedigree as ped
+from karyon.operators import relatedness as rel
 from karyon.operators import windows as win
 from karyon.operators.hwe import hardy_weinberg_test
+from karyon.plans.workspace import Workspace
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def _rounded(f, names: tuple[str, ...]):
+    """Six decimals, as sums in another order differ in the last bits; the shift
+    keeps exact halves from falling on either side."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return f(spark, sf).withColumns({n: F.round(F.col(n) + 1e-8, 6) + 0.0 for n in names})
+
+    return run
+
+
+def query(sql: str | None = None, doubles: str = ""):
+    """Register a query by its function's name. ``doubles``: columns to round."""
+    names = tuple(doubles.split())
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = _rounded(f, names) if names else f
         if sql:
-            SQL[f.__name__] = f"with recursive {BASE}{sql}"
+            text = f"with recursive {BASE}{sql}"
+            if names:
+                text = "select * replace (" + ", ".join(f"round({n} + 1e-8, 6) + 0.0 as {n}" for n in names) + f") from ({text})"
+            SQL[f.__name__] = text
         return f
 
     return add
@@ -83,14 +103,14 @@ def _pair(col: str, prefix: str) -> list:
 
 @query("""z as (select 1) select pk as variant_index, count_if(called) as n_called, count_if(called) / (select count(*) from supplier)::double as call_rate,
  count_if(called and a0 <> a1) as n_het, count_if(a0 = 0 and a1 = 0) as n_hom_ref, count_if(a0 = 1 and a1 = 1) as n_hom_alt, count_if(called) - count_if(a0 = 0 and a1 = 0) as n_non_ref,
- sum(n0)::bigint as ac0, sum(n1)::bigint as ac1, sum(n0 + n1)::bigint as variant_allele_total, sum(n0) / nullif(sum(n0 + n1), 0)::double as af0, sum(n1) / nullif(sum(n0 + n1), 0)::double as af1 from k group by pk""")
+ sum(n0)::bigint as ac0, sum(n1)::bigint as ac1, sum(n0 + n1)::bigint as variant_allele_total, sum(n0) / nullif(sum(n0 + n1), 0)::double as af0, sum(n1) / nullif(sum(n0 + n1), 0)::double as af1 from k group by pk""", doubles="call_rate af0 af1")
 def variant_stats(spark: SparkSession, sf: str) -> DataFrame:
     out = agg.variant_stats(keyed(spark, sf), n_samples(spark, sf), 2)
     return out.select("variant_index", "n_called", "call_rate", "n_het", "n_hom_ref", "n_hom_alt", "n_non_ref", *_pair("variant_allele_count", "ac"), "variant_allele_total", *_pair("variant_allele_frequency", "af"))
 
 
 @query("""z as (select 1) select si::int as sample_index, count_if(called) as n_called, count_if(called) / (select count(*) from part)::double as call_rate,
- count_if(called and a0 <> a1) as n_het, count_if(a0 = 0 and a1 = 0) as n_hom_ref, count_if(a0 = 1 and a1 = 1) as n_hom_alt, count_if(called) - count_if(a0 = 0 and a1 = 0) as n_non_ref from k group by si""")
+ count_if(called and a0 <> a1) as n_het, count_if(a0 = 0 and a1 = 0) as n_hom_ref, count_if(a0 = 1 and a1 = 1) as n_hom_alt, count_if(called) - count_if(a0 = 0 and a1 = 0) as n_non_ref from k group by si""", doubles="call_rate")
 def sample_stats(spark: SparkSession, sf: str) -> DataFrame:
     return agg.sample_stats(keyed(spark, sf), table(spark, sf, "part").count())
 
@@ -98,7 +118,7 @@ def sample_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query("""z as (select 1) select pk as variant_index, si::int as sample_index, n0::bigint as ac0, n1::bigint as ac1, n0 / nullif(n0 + n1, 0)::double as af0, n1 / nullif(n0 + n1, 0)::double as af1,
  case when n0 + n1 = 2 then 2 * (1 - (n0 * n0 + n1 * n1) / 4.0::double) end as het, case when called then a0 + a1 else -1 end as genotype_index,
  case when called then a0 else -1 end as complete0, case when called then n1 else -1 end as alternates,
- (case a0 when -1 then '.' else a0::varchar end) || '/' || (case a1 when -1 then '.' else a1::varchar end) as shown from k""")
+ (case a0 when -1 then '.' else a0::varchar end) || '/' || (case a1 when -1 then '.' else a1::varchar end) as shown from k""", doubles="af0 af1 het")
 def call_functions(spark: SparkSession, sf: str) -> DataFrame:
     c = agg.count_call_alleles(keyed(spark, sf), 2).withColumn("f", C.frequencies("call_allele_count"))
     gt = "call_genotype"
@@ -108,7 +128,7 @@ def call_functions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("z as (select 1) select pk as variant_index, cohort, r as ac0, a as ac1, r / nullif(r + a, 0)::double as af0, a / nullif(r + a, 0)::double as af1 from cc")
+@query("z as (select 1) select pk as variant_index, cohort, r as ac0, a as ac1, r / nullif(r + a, 0)::double as af0, a / nullif(r + a, 0)::double as af1 from cc", doubles="af0 af1")
 def cohort_alleles(spark: SparkSession, sf: str) -> DataFrame:
     out = agg.cohort_allele_frequencies(agg.count_cohort_alleles(keyed(spark, sf), samples(spark, sf), 2))
     return out.select("variant_index", "cohort", *_pair("cohort_allele_count", "ac"), *_pair("cohort_allele_frequency", "af"))
@@ -126,13 +146,13 @@ h as (select pk, n, ab, unnest(range((rare % 2)::bigint, (rare + 1)::bigint, 2::
 w as (select pk, ab, h, h * ln(2.0::double) - lgamma(h + 1) - lgamma((rare - h) / 2 + 1) - lgamma(n - (rare + h) / 2 + 1) lp from h),
 m as (select pk, max(lp) mx, max(case when h = ab then lp end) seen from w group by pk),
 e as (select w.pk, sum(exp(lp - mx)) total, sum(case when lp <= seen + 1e-9 then exp(lp - mx) end) tail from w join m using (pk) group by w.pk)
-select u.pk as variant_index, least(1.0, tail / total) as variant_hwe_p_value from u left join e using (pk)""")
+select u.pk as variant_index, least(1.0, tail / total) as variant_hwe_p_value from u left join e using (pk)""", doubles="variant_hwe_p_value")
 def hardy_weinberg(spark: SparkSession, sf: str) -> DataFrame:
     return hardy_weinberg_test(agg.count_variant_genotypes(keyed(spark, sf), 2, 2)).select("variant_index", "variant_hwe_p_value")
 
 
 @query("""q as (select pk, si, case when n0 + n1 = 2 then 2 * (1 - (n0 * n0 + n1 * n1) / 4.0::double) end het from k)
-select pk as variant_index, cohort, avg(het) as value from q join s using (si) where cohort >= 0 group by all""")
+select pk as variant_index, cohort, avg(het) as value from q join s using (si) where cohort >= 0 group by all""", doubles="value")
 def observed_heterozygosity(spark: SparkSession, sf: str) -> DataFrame:
     return agg.observed_heterozygosity(keyed(spark, sf), samples(spark, sf), 2)
 
@@ -217,34 +237,34 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return agg.count_cohort_alleles(keyed(spark, sf), samples(spark, sf), 2).join(v, F.col("variant_index") == F.col("k")).select(F.col("vi").alias("variant_index"), "cohort", "cohort_allele_count")
 
 
-@query(_W + _PI + "z as (select 1) select vi as unit, cohort, val as value from pi")
+@query(_W + _PI + "z as (select 1) select vi as unit, cohort, val as value from pi", doubles="value")
 def diversity(spark: SparkSession, sf: str) -> DataFrame:
     return popgen.diversity(_counts(spark, sf))
 
 
-@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort, val as value from dw where c0 = c1")
+@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort, val as value from dw where c0 = c1", doubles="value")
 def diversity_windowed(spark: SparkSession, sf: str) -> DataFrame:
     return popgen.diversity(_counts(spark, sf), _windows(spark, sf))
 
 
-@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort_0, c1 as cohort_1, val as value from dw union all select wi, c1, c0, val from dw where c0 < c1")
+@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort_0, c1 as cohort_1, val as value from dw union all select wi, c1, c0, val from dw where c0 < c1", doubles="value")
 def divergence(spark: SparkSession, sf: str) -> DataFrame:
     return popgen.divergence(_counts(spark, sf), _windows(spark, sf))
 
 
-@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort_0, c1 as cohort_1, val as value from fw")
+@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort_0, c1 as cohort_1, val as value from fw", doubles="value")
 def fst_hudson(spark: SparkSession, sf: str) -> DataFrame:
     return popgen.Fst(_counts(spark, sf), _windows(spark, sf))
 
 
-@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort_0, c1 as cohort_1, 1 - 2 * ii / nullif(ii + 2 * dd, 0) as value from fw")
+@query(_W + _PI + "z as (select 1) select wi as unit, c0 as cohort_0, c1 as cohort_1, 1 - 2 * ii / nullif(ii + 2 * dd, 0) as value from fw", doubles="value")
 def fst_nei(spark: SparkSession, sf: str) -> DataFrame:
     return popgen.Fst(_counts(spark, sf), _windows(spark, sf), "Nei")
 
 
 @query(_W + _PI + """t as (select wi, c0, c1, -ln(1 - least(greatest(val, 0.0), 1 - 1.1102230246251565e-16)) t from fw)
 select a.wi as unit, a.c0 as cohort_0, a.c1 as cohort_1, b.c1 as cohort_2, ((a.t + b.t - d.t) / 2) / (1 + (a.t + b.t + d.t) / 2) as value
-from t a join t b on a.wi = b.wi and a.c0 = b.c0 and a.c1 < b.c1 join t d on d.wi = a.wi and d.c0 = a.c1 and d.c1 = b.c1""")
+from t a join t b on a.wi = b.wi and a.c0 = b.c0 and a.c1 < b.c1 join t d on d.wi = a.wi and d.c0 = a.c1 and d.c1 = b.c1""", doubles="value")
 def pbs(spark: SparkSession, sf: str) -> DataFrame:
     return popgen.pbs(popgen.Fst(_counts(spark, sf), _windows(spark, sf)))
 
@@ -255,7 +275,7 @@ hs as (select n, sum(1.0::double / i) a1, sum(1.0::double / (i * i)) a2 from nn,
 ks as (select n, a1, a2, (n + 1) / (3.0::double * (n - 1)) b1, 2.0::double * (n * n + n + 3) / (9 * n * (n - 1)) b2 from hs),
 es as (select a1, (b1 - 1 / a1) / a1 e1, (b2 - (n + 2) / (a1 * n) + a2 / (a1 * a1)) / (a1 * a1 + a2) e2 from ks),
 sg as (select wi, sum((r > 0)::int + (a > 0)::int - 1)::double sv from w join va on vi >= start and vi < stop group by wi)
-select d.wi as unit, d.c0 as cohort, (d.val - sv / a1) / sqrt(case when e1 * sv + e2 * sv * (sv - 1) > 0 then e1 * sv + e2 * sv * (sv - 1) end) as value from dw d join sg using (wi), es where d.c0 = d.c1""")
+select d.wi as unit, d.c0 as cohort, (d.val - sv / a1) / sqrt(case when e1 * sv + e2 * sv * (sv - 1) > 0 then e1 * sv + e2 * sv * (sv - 1) end) as value from dw d join sg using (wi), es where d.c0 = d.c1""", doubles="value")
 def tajimas_d(spark: SparkSession, sf: str) -> DataFrame:
     vc = agg.count_variant_alleles(keyed(spark, sf), 2)
     v = variants(spark, sf).select(F.col("p_partkey").alias("k"), F.col("variant_index").alias("vi"))
@@ -263,48 +283,162 @@ def tajimas_d(spark: SparkSession, sf: str) -> DataFrame:
     return popgen.Tajimas_D(_counts(spark, sf), vc, _windows(spark, sf))
 
 
-_DENSE = """dc as (select v.vi, s.si, s.cohort, (v.vi * 7 + s.si * 13 + (v.vi * s.si) % 11) % 3 > 1 b0, (v.vi * 5 + s.si * 3 + (v.vi * s.si) % 7) % 4 > 2 b1 from v, s where v.vi < 400 and s.si < 200),
+_HAP = """sl as (select v.vi, k.si, cohort, 0 slot, a0 al from k join v on v.p_partkey = k.pk join s on s.si = k.si where cohort >= 0
+  union all select v.vi, k.si, cohort, 1, a1 from k join v on v.p_partkey = k.pk join s on s.si = k.si where cohort >= 0),
+hp as (select wi, cohort, si, slot, string_agg(vi::varchar || ':' || al::varchar, ',' order by vi) h from w join sl on vi >= start and vi < stop group by all),
+hn as (select wi, cohort, h, count(*) n from hp group by all),
+hf as (select wi, cohort, n / sum(n) over (partition by wi, cohort)::double f, row_number() over (partition by wi, cohort order by n desc, h) r from hn)
 """
 
 
-def dense_calls(spark: SparkSession, sf: str, most_variants: int = 400, most_samples: int = 200) -> DataFrame:
-    """A dense grid of made-up calls, a test input of fixed size for matrix operators."""
-    v = variants(spark, sf).where(F.col("variant_index") < most_variants).select("variant_index")
-    s = samples(spark, sf).where(F.col("sample_index") < most_samples)
-    vi, si = F.col("variant_index"), F.col("sample_index")
-    b0 = ((vi * 7 + si * 13 + (vi * si) % 11) % 3 > 1).cast("int")
-    b1 = ((vi * 5 + si * 3 + (vi * si) % 7) % 4 > 2).cast("int")
-    return v.join(s).select("variant_index", "sample_index", "sample_cohort", "trait", F.array(b0, b1).alias("call_genotype"), (b0 + b1).cast("double").alias("dosage"))
+@query(_W + _HAP + """select wi as unit, cohort, sum(f * f) as h1, pow(sum(case when r <= 2 then f else 0 end), 2) + sum(case when r > 2 then f * f else 0 end) as h12,
+ pow(sum(case when r <= 3 then f else 0 end), 2) + sum(case when r > 3 then f * f else 0 end) as h123, (sum(f * f) - pow(max(case when r = 1 then f end), 2)) / sum(f * f) as h2_h1 from hf group by all""", doubles="h1 h12 h123 h2_h1")
+def garud_h(spark: SparkSession, sf: str) -> DataFrame:
+    return popgen.Garud_H(indexed(spark, sf), samples(spark, sf), _windows(spark, sf))
 
 
-@query(_W + _DENSE + """sl as (select vi, si, cohort, 0 slot, b0::int al from dc where cohort >= 0 union all select vi, si, cohort, 1, b1::int from dc where cohort >= 0),
-hp as (select wi, cohort, si, slot, string_agg(al::varchar, ',' order by vi) h from w join sl on vi >= start and vi < stop group by all),
-hn as (select wi, cohort, h, count(*) n from hp group by all),
-hf as (select wi, cohort, n / sum(n) over (partition by wi, cohort)::double f, row_number() over (partition by wi, cohort order by n desc, h) r from hn)
-select wi as unit, cohort, sum(f * f) as h1, pow(sum(case when r <= 2 then f else 0 end), 2) + sum(case when r > 2 then f * f else 0 end) as h12,
- pow(sum(case when r <= 3 then f else 0 end), 2) + sum(case when r > 3 then f * f else 0 end) as h123, (sum(f * f) - pow(max(case when r = 1 then f end), 2)) / sum(f * f) as h2_h1 from hf group by all""")
-def garud_h(spark: SparkSession, sf: str) -> DataFrame:
-    d = dense_calls(spark, sf)
-    return popgen.Garud_H(d, samples(spark, sf), _windows(spark, sf))
+# Pairs of variants and samples: dosages are known for full calls
+
 
+def dosages(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.nullif(C.collapse_ploidy("call_genotype"), F.lit(-1)).cast("double")
+    return indexed(spark, sf).select("variant_index", "sample_index", d.alias("dosage"))
 
-_R2 = """dd as (select vi, si, b0::int + b1::int d from dc),
-ow as (select v.vi, v.contig, max_by(stop, wi) t from v join w on w.contig = v.contig and w.start <= v.vi group by all having v.vi < max_by(stop, wi)),
-pr as (select o.vi i, x.vi j, (avg(y.d * x.d) - avg(y.d) * avg(x.d)) cov, avg(y.d * y.d) - avg(y.d) * avg(y.d) vy, avg(x.d * x.d) - avg(x.d) * avg(x.d) vx from ow o join dd y on y.vi = o.vi join dd x on x.si = y.si and x.vi >= o.vi and x.vi < o.t group by all),
+
+_D = "dd as (select v.vi, k.si, (a0 + a1)::double d from k join v on v.p_partkey = k.pk where called),\n"
+_R2 = """ow as (select v.vi, v.contig, max_by(stop, wi) t from v join w on w.contig = v.contig and w.start <= v.vi group by all having v.vi < max_by(stop, wi)),
+pr as (select o.vi i, x.vi j, count(*) n, (avg(y.d * x.d) - avg(y.d) * avg(x.d)) cov, avg(y.d * y.d) - avg(y.d) * avg(y.d) vy, avg(x.d * x.d) - avg(x.d) * avg(x.d) vx from ow o join dd y on y.vi = o.vi join dd x on x.si = y.si and x.vi >= o.vi and x.vi < o.t group by all),
 """
 
 
-@query(_W + _DENSE + _R2 + "z as (select 1) select i, j, round(case when i = j then 1.0 else cov * cov / (vx * vy) end, 5)::double as value from pr where (i = j or (vx > 1e-14 and vy > 1e-14)) and (i = j or cov * cov / (vx * vy) >= 0.05)")
+@query(_W + _D + _R2 + "z as (select 1) select i, j, round((case when i = j then 1.0 else cov * cov / (vx * vy) end)::double + 1e-6, 4) as value from pr where i = j or (vx > 1e-12 and vy > 1e-12 and cov * cov / (vx * vy) >= 0.1000001)")
 def ld_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    d = dense_calls(spark, sf)
     v = variants(spark, sf)
-    n = min(200, n_samples(spark, sf))
-    out = ld.ld_matrix(d, v, win.window_by_variant(v, 50), n, 0.05)
-    return out.select("i", "j", F.round(F.col("value").cast("double"), 5).alias("value"))
+    out = ld.ld_matrix(dosages(spark, sf), v, win.window_by_variant(v, 50), n_samples(spark, sf), 0.1000001)
+    return out.select("i", "j", F.round(F.col("value").cast("double") + 1e-6, 4).alias("value"))
 
 
 @query()
 def ld_prune(spark: SparkSession, sf: str) -> DataFrame:
-    d = dense_calls(spark, sf)
-    v = variants(spark, sf).where("variant_index < 400")
-    return ld.ld_prune(d, v, win.window_by_variant(v, 50), min(200, n_samples(spark, sf)), 0.2).select("variant_index", "contig")
+    v = variants(spark, sf)
+    return ld.ld_prune(dosages(spark, sf), v, win.window_by_variant(v, 50), n_samples(spark, sf), 0.2).select("variant_index", "contig")
+
+
+_IBS = """fr as (select pk vi, si, n1 / (n0 + n1)::double f from k where n0 + n1 > 0),
+ib as (select x.si i, y.si j, avg(x.f * y.f + (1 - x.f) * (1 - y.f)) val from fr x join fr y using (vi) group by all),
+"""
+
+
+@query(_IBS + "z as (select 1) select i, j, val as value from ib", doubles="value")
+def identity_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    return rel.identity_by_state(keyed(spark, sf), n_samples(spark, sf), 2).where("value is not null")
+
+
+@query(_IBS + "z as (select avg(val) m from ib where i > j) select i, j, (val - m) / (1 - m) as value from ib, z", doubles="value")
+def weir_goudet_beta(spark: SparkSession, sf: str) -> DataFrame:
+    return rel.weir_goudet_beta(rel.identity_by_state(keyed(spark, sf), n_samples(spark, sf), 2)).where("value is not null")
+
+
+def _frequencies(d: DataFrame) -> DataFrame:
+    return d.groupBy("variant_index").agg((F.avg("dosage") / 2).alias("frequency"))
+
+
+@query(_D + """af as (select vi, avg(d) / 2 p from dd group by vi),
+gr as (select x.si i, y.si j, sum((x.d - 2 * p) * (y.d - 2 * p)) num, sum(2 * p * (1 - p)) den from dd x join dd y using (vi) join af using (vi) group by all)
+select i, j, num / den as value from gr where den > 1e-9""", doubles="value")
+def genomic_relationship(spark: SparkSession, sf: str) -> DataFrame:
+    d = dosages(spark, sf)
+    return rel.genomic_relationship(d, _frequencies(d), n_samples(spark, sf), skipna=True).where("value is not null")
+
+
+_E = """e as (select vec_id, embedding from embeddings),
+ed as (select a.vec_id i, b.vec_id j, list_filter(list_zip(a.embedding, b.embedding), lambda z: z[1] >= 0 and z[2] >= 0) l from e a join e b on a.vec_id % 100 = 0),
+"""
+
+
+@query(_E + "z as (select 1) select i, j, sqrt(coalesce(list_sum(list_transform(l, lambda z: (z[1]::double - z[2]) * (z[1]::double - z[2]))), 0)) as value from ed", doubles="value")
+def euclidean_distance(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    return rel.pairwise_distance(e, queries=e.where("row_id % 100 = 0"))
+
+
+@query(_E + """m as (select i, j, len(l) n, list_sum(list_transform(l, lambda z: z[1]::double)) sx, list_sum(list_transform(l, lambda z: z[2]::double)) sy, list_sum(list_transform(l, lambda z: z[1]::double * z[1])) xx, list_sum(list_transform(l, lambda z: z[2]::double * z[2])) yy, list_sum(list_transform(l, lambda z: z[1]::double * z[2])) xy from ed),
+r as (select i, j, (xy - sx * sy / n) c, (xx - sx * sx / n) * (yy - sy * sy / n) d from m)
+select i, j, case when d > 1e-12 then 1 - c / sqrt(d) end as value from r""", doubles="value")
+def correlation_distance(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    return rel.pairwise_distance(e, "correlation", e.where("row_id % 100 = 0"))
+
+
+# Association
+
+
+@query(_D + """m as (select vi, count(*) n, covar_pop(d, trait) c, var_pop(d) vx, var_pop(trait) vy from dd join s using (si) group by vi)
+select vi as variant_index, n, case when vx * n > 1e-9 then c / vx end as beta, case when vx * n > 1e-9 and vy * n > 1e-9 then c * c / vx / vy end as r2 from m""", doubles="beta r2")
+def gwas_simple(spark: SparkSession, sf: str) -> DataFrame:
+    return assoc.simple_regression(dosages(spark, sf).where("dosage is not null"), samples(spark, sf))
+
+
+@query(_D + """mn as (select vi, avg(d) m from dd group by vi),
+x as (select mn.vi, s.si, trait, coalesce(d, m) d from mn, s left join dd on dd.vi = mn.vi and dd.si = s.si),
+x2 as (select mn.vi, s.si, s.trait, coalesce(dd.d, mn.m) d from mn cross join s left join dd on dd.vi = mn.vi and dd.si = s.si),
+r as (select vi, count(*) n, covar_pop(d, trait) c, var_pop(d) vx, var_pop(trait) vy from x2 group by vi)
+select vi as variant_index, 0::bigint as trait, case when vx * n > 1e-9 then c / vx end as beta, case when vx * n > 1e-9 then (c / vx) / sqrt((vy - c * c / vx) / (n - 2) / vx) end as t_value from r""".replace("x as (select mn.vi, s.si, trait, coalesce(d, m) d from mn, s left join dd on dd.vi = mn.vi and dd.si = s.si),\n", ""), doubles="beta t_value")
+def gwas_linear_regression(spark: SparkSession, sf: str) -> DataFrame:
+    y = samples(spark, sf).select("sample_index", "trait").toPandas().sort_values("sample_index")["trait"].to_numpy()
+    return assoc.gwas_linear_regression(dosages(spark, sf), y, None).select("variant_index", "trait", "beta", "t_value")
+
+
+@query()
+def pca_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, loadings = assoc.pca(dosages(spark, sf), n_samples(spark, sf), 5)
+    return loadings
+
+
+# Pedigrees: parents of a supplier by arithmetic
+
+
+def pedigree(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("s_suppkey")
+    known = i >= 4
+    return table(spark, sf, "supplier").select(
+        F.lit(0).cast("bigint").alias("ped"), i.alias("id"),
+        F.when(known, F.floor((i - 1) / 2)).alias("p"), F.when(known, F.floor((i - 2) / 3)).alias("q"),
+    )
+
+
+_PED = """pd as (select s_suppkey id, case when s_suppkey >= 4 then (s_suppkey - 1) // 2 end p, case when s_suppkey >= 4 then (s_suppkey - 2) // 3 end q from supplier),
+"""
+
+
+@query(_PED + """lk as (select id, p y, 0.5::double w from pd where p is not null union all select id, q, 0.5 from pd where q is not null),
+st as (select id x, id y, 1.0::double c from pd union all select x, lk.id, c * w from st join lk on lk.y = st.y)
+select 0::bigint as ped, x, y, sum(c) as value from st group by all""", doubles="value")
+def pedigree_contribution(spark: SparkSession, sf: str) -> DataFrame:
+    return ped.pedigree_contribution(pedigree(spark, sf), Workspace(spark, "contribution"))
+
+
+@query(_PED + """kn as (select a.id s, b.id e, greatest(a.id, b.id) x, least(a.id, b.id) y, 1.0::double co from pd a join pd b on a.id <= b.id
+  union all select s, e, greatest(nx, ny), least(nx, ny), co / 2 from (
+    select s, e, co, unnest(case when x = y then [p] else [p, q] end) nx, case when x = y then q else y end ny from kn join pd on pd.id = kn.x where p is not null) t)
+select 0::bigint as ped, s as i, e as j, sum(case when x = y then co / 2 else 0 end) as value from kn group by all having sum(case when x = y then co / 2 else 0 end) > 0""", doubles="value")
+def pedigree_kinship(spark: SparkSession, sf: str) -> DataFrame:
+    return ped.pedigree_kinship(pedigree(spark, sf))
+
+
+@query(doubles="value")
+def pedigree_inbreeding(spark: SparkSession, sf: str) -> DataFrame:
+    return ped.pedigree_inbreeding(pedigree(spark, sf))
+
+
+@query(doubles="value")
+def pedigree_inverse_kinship(spark: SparkSession, sf: str) -> DataFrame:
+    p = pedigree(spark, sf)
+    return ped.pedigree_inverse_kinship(p, ped.pedigree_kinship(p))
+
+
+@query(_PED + """up as (select id, 0 d from pd where id % 37 = 5 union select unnest([pd.p, pd.q]), d + 1 from up join pd using (id) where pd.p is not null and d < 3)
+select 0::bigint as ped, pd.id, case when pd.p in (select id from up) then p end as p, case when pd.q in (select id from up) then q end as q from pd where id in (select id from up)""")
+def pedigree_sel(spark: SparkSession, sf: str) -> DataFrame:
+    p = pedigree(spark, sf)
+    return ped.pedigree_sel(p, p.where("id % 37 = 5"), Workspace(spark, "sel"), ancestor_depth=3)
