@@ -229,7 +229,7 @@ def truncated(
         ctx = Contexts(*shared.value)
         total = np.zeros(len(ctx.order), np.int64)
         for b in batches:
-            for col in _pieces(b.column("text"), 8 << 20):
+            for col in _pieces(b.column("text"), 1 << 20):
                 total += ctx.count(soften(fold(col)))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
