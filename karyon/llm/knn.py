@@ -105,7 +105,7 @@ def nearest(
 
     Lists: about the square root of the number of rows, bounded by ``train`` / 32.
     Probes: ``probe_share`` of the lists up to 64 of them, then ``least_probes`` or
-    the square root of the lists times 2. Fewer than k + 1 rows give what there is.
+    the square root of the lists times 4. Fewer than k + 1 rows give what there is.
     """
     spark = ws.spark
     n = vectors.count()
@@ -114,7 +114,7 @@ def nearest(
     # A bounded sample by a hash of the id: alike at every size, and repeatable.
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(train).select("vec").toPandas()
     lists = int(max(1, min(np.sqrt(n), len(sample) // 32)))
-    probes = int(min(lists, max(least_probes, probe_share * min(lists, 64), 2 * np.sqrt(lists))))
+    probes = int(min(lists, max(least_probes, probe_share * min(lists, 64), 4 * np.sqrt(lists))))
     index = spark.sparkContext.broadcast(fit(_matrix(sample["vec"], d), lists, parts, codes))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
