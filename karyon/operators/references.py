@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karyon.plans.workspace import Workspace
+
 
 def validity(parents: DataFrame) -> DataFrame:
     """One row per (tab, id): when it first came, and whether its last row withdrew it.
@@ -20,19 +22,20 @@ def validity(parents: DataFrame) -> DataFrame:
     )
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, gone: str = "withdrawn") -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, ws: Workspace, gone: str = "withdrawn") -> DataFrame:
     """References whose target is missing, deleted or came later.
 
     ``refs`` has tab, ref, rec_id, field, at; ``parents`` as in :func:`validity`.
     Both sides are partitioned and sorted by (tab, id) and merged as sorted
-    streams (a sort-merge join); a hot target is split by Spark's skew join, as
-    the parent side has one row per key. Result: tab, rec_id, field, reason, at.
+    streams (a sort-merge join). The parents' intervals are one row per key and are
+    written first: a join of two plain shuffles is one whose hot targets Spark's
+    skew join can split. Result: tab, rec_id, field, reason, at.
 
     Null references are no references. A reference with a null time is never
     late, nor is one to a target without any time. Repeated reference rows are
     each judged. An empty parent table makes every reference ``missing``.
     """
-    held = validity(parents).hint("merge").select("tab", F.col("id").alias("ref"), "first_at", "last_state", F.lit(True).alias("there"))
+    held = ws.save(validity(parents), "validity").hint("merge").select("tab", F.col("id").alias("ref"), "first_at", "last_state", F.lit(True).alias("there"))
     reason = (
         F.when(F.col("there").isNull(), "missing")
         .when(F.col("last_state") == gone, "deleted")

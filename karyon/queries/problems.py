@@ -55,7 +55,7 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     ).unionByName(
         hk.where("record_state = 'active'").select(F.lit("hk_pedigree").alias("tab"), F.col("hk_row").alias("rec_id"), F.col("recorded_at").alias("at"), F.lit("dam_id").alias("field"), known_parent("dam_id").cast("string").alias("ref"))
     )
-    return orphan_references(refs, parents)
+    return orphan_references(refs, parents, Workspace(spark, "p5"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
