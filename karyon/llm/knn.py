@@ -134,7 +134,8 @@ def nearest(
     asked = placed.select("id", "vec", F.explode("lists").alias("list")).join(F.broadcast(cuts), "list")
     # A block meets its queries in portions, so that no task grows with a hot list.
     asked = asked.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    turn = spark.createDataFrame([(int(c), int(max(1, -(-int(m * probes) // (8 * block))))) for c, m in sizes.items()], "list int, turns int")
+    want = {r["list"]: r["n"] for r in placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
+    turn = spark.createDataFrame([(int(c), int(max(1, -(-want.get(c, 0) // (8 * block))))) for c in sizes], "list int, turns int")
     stored = stored.join(F.broadcast(turn), "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     asked = asked.join(F.broadcast(turn), "list").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int"))
 
@@ -201,6 +202,6 @@ def nearest_samples(samples: DataFrame, d: int, top: float, step: float, k: int,
     # Per class: the k + 1 best candidates, few enough to travel as one array.
     flat = there.unionByName(own).select("rep", "dist", F.explode("ids").alias("near"))
     best = flat.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("dist", "near"))).where(F.col("r") <= k + 1)
-    offers = best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("dist", "near"))).alias("offers"))
+    offers = ws.save(best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("dist", "near"))).alias("offers")), "offers")
     picked = members.join(offers, "rep").select("id", F.slice(F.filter("offers", lambda o: o["near"] != F.col("id")), 1, k).alias("o"))
     return picked.select("id", F.explode("o").alias("o")).select("id", F.col("o.near").alias("near"), F.col("o.dist").alias("dist"))

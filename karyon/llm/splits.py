@@ -22,20 +22,22 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     ``edges`` has string columns ``u`` and ``v``. Result: node, component, for each
     node of an edge; loops and repeated edges do no harm, edges with a null end
     are left out. Each step attaches neighbours to a minimum that is aggregated
-    before the shuffle, so a node with any number of edges is never gathered.
+    before the shuffle and written, one row per node: a node with any number of
+    edges is never gathered, and the join's skew can be split.
     """
     pairs = edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     alone = pairs.where("u = v").select("u").distinct()
     now = ws.save(pairs.where("u > v").distinct(), "edges", **_facts())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = ws.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = ws.save(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = ws.save(large, "large", drop=low)
+        least = ws.save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         hang = large.join(least, "u")
         small = hang.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = ws.save(small, "edges", drop=large, **_facts())
+        ws.drop(least)
         done = after.facts == now.facts
         ws.drop(now)
         now = after
@@ -65,7 +67,7 @@ def entity_components(records: DataFrame, entities: Sequence[str], ws: Workspace
         DataFrame.unionByName,
         [records.select(first.alias("k"), F.concat(F.lit(f"{c}:"), F.col(c)).alias("m")) for c in entities],
     ).where("m is not null and m != k").distinct()
-    low = pairs.groupBy("m").agg(F.min("k").alias("v"), F.count("*").alias("n"))
+    low = ws.save(pairs.groupBy("m").agg(F.min("k").alias("v"), F.count("*").alias("n")), "low")
     shared = pairs.join(low.where("n > 1"), "m").where("k > v").select(F.col("k").alias("u"), "v")
     firsts = records.select(first.alias("m")).where("m is not null").distinct()
     standing = low.join(firsts, "m", "left_semi").select(F.col("m").alias("u"), "v")
