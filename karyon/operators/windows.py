@@ -128,3 +128,14 @@ def assign(values: DataFrame, windows: DataFrame, bin_size: int = 1024) -> DataF
 def window_statistic(values: DataFrame, windows: DataFrame, keys: list[str], aggs: dict, bin_size: int = 1024) -> DataFrame:
     """``aggs`` (name to aggregate column) per window and ``keys``; a window without variants has no row."""
     return assign(values, windows, bin_size).groupBy("window_index", *keys).agg(*[a.alias(n) for n, a in aggs.items()])
+
+
+def moving_statistic(values: DataFrame, variants: DataFrame, size: int, aggs: dict, step: int | None = None) -> DataFrame:
+    """``aggs`` over runs of ``size`` variants, each ``step``, that are full and inside a contig."""
+    w = window_by_variant(variants, size, step)
+    return window_statistic(values, w.where(F.col("stop") - F.col("start") == size), [], aggs)
+
+
+def window_apply(values: DataFrame, windows: DataFrame, function, schema: str) -> DataFrame:  # noqa: ANN001
+    """A function of a pandas frame on the rows of each window; ``schema`` describes its result."""
+    return assign(values, windows).groupBy("window_index").applyInPandas(function, schema)

@@ -101,16 +101,16 @@ def _pair(col: str, prefix: str) -> list:
     return [F.get(col, F.lit(i)).alias(f"{prefix}{i}") for i in (0, 1)]
 
 
-@query("""z as (select 1) select pk as variant_index, count_if(called) as n_called, count_if(called) / (select count(*) from supplier)::double as call_rate,
- count_if(called and a0 <> a1) as n_het, count_if(a0 = 0 and a1 = 0) as n_hom_ref, count_if(a0 = 1 and a1 = 1) as n_hom_alt, count_if(called) - count_if(a0 = 0 and a1 = 0) as n_non_ref,
+@query("""z as (select 1) select pk as variant_index, count_if(called)::bigint as n_called, count_if(called) / (select count(*) from supplier)::double as call_rate,
+ count_if(called and a0 <> a1)::bigint as n_het, count_if(a0 = 0 and a1 = 0)::bigint as n_hom_ref, count_if(a0 = 1 and a1 = 1)::bigint as n_hom_alt, (count_if(called) - count_if(a0 = 0 and a1 = 0))::bigint as n_non_ref,
  sum(n0)::bigint as ac0, sum(n1)::bigint as ac1, sum(n0 + n1)::bigint as variant_allele_total, sum(n0) / nullif(sum(n0 + n1), 0)::double as af0, sum(n1) / nullif(sum(n0 + n1), 0)::double as af1 from k group by pk""", doubles="call_rate af0 af1")
 def variant_stats(spark: SparkSession, sf: str) -> DataFrame:
     out = agg.variant_stats(keyed(spark, sf), n_samples(spark, sf), 2)
     return out.select("variant_index", "n_called", "call_rate", "n_het", "n_hom_ref", "n_hom_alt", "n_non_ref", *_pair("variant_allele_count", "ac"), "variant_allele_total", *_pair("variant_allele_frequency", "af"))
 
 
-@query("""z as (select 1) select si::int as sample_index, count_if(called) as n_called, count_if(called) / (select count(*) from part)::double as call_rate,
- count_if(called and a0 <> a1) as n_het, count_if(a0 = 0 and a1 = 0) as n_hom_ref, count_if(a0 = 1 and a1 = 1) as n_hom_alt, count_if(called) - count_if(a0 = 0 and a1 = 0) as n_non_ref from k group by si""", doubles="call_rate")
+@query("""z as (select 1) select si::int as sample_index, count_if(called)::bigint as n_called, count_if(called) / (select count(*) from part)::double as call_rate,
+ count_if(called and a0 <> a1)::bigint as n_het, count_if(a0 = 0 and a1 = 0)::bigint as n_hom_ref, count_if(a0 = 1 and a1 = 1)::bigint as n_hom_alt, (count_if(called) - count_if(a0 = 0 and a1 = 0))::bigint as n_non_ref from k group by si""", doubles="call_rate")
 def sample_stats(spark: SparkSession, sf: str) -> DataFrame:
     return agg.sample_stats(keyed(spark, sf), table(spark, sf, "part").count())
 
@@ -134,7 +134,7 @@ def cohort_alleles(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("variant_index", "cohort", *_pair("cohort_allele_count", "ac"), *_pair("cohort_allele_frequency", "af"))
 
 
-@query("z as (select 1) select pk as variant_index, count_if(called and a0 + a1 = 0) as g00, count_if(called and a0 + a1 = 1) as g01, count_if(called and a0 + a1 = 2) as g11 from k group by pk")
+@query("z as (select 1) select pk as variant_index, count_if(called and a0 + a1 = 0)::bigint as g00, count_if(called and a0 + a1 = 1)::bigint as g01, count_if(called and a0 + a1 = 2)::bigint as g11 from k group by pk")
 def variant_genotypes(spark: SparkSession, sf: str) -> DataFrame:
     out = agg.count_variant_genotypes(keyed(spark, sf), 2, 2)
     return out.select("variant_index", *[F.get("variant_genotype_count", F.lit(i)).alias(n) for i, n in enumerate(("g00", "g01", "g11"))])
@@ -212,7 +212,7 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
     return win.window_by_variant(variants(spark, sf), 50)
 
 
-@query(_W + """n as (select v.vi, count_if(called) c from v left join k on k.pk = v.p_partkey group by v.vi)
+@query(_W + """n as (select v.vi, count_if(called)::bigint c from v left join k on k.pk = v.p_partkey group by v.vi)
 select wi as window_index, sum(c)::bigint as called, max(c) as most, count(*) as variants from w join n on vi >= start and vi < stop group by wi""")
 def window_statistic(spark: SparkSession, sf: str) -> DataFrame:
     v = variants(spark, sf)
@@ -418,20 +418,30 @@ def pedigree_contribution(spark: SparkSession, sf: str) -> DataFrame:
     return ped.pedigree_contribution(pedigree(spark, sf), Workspace(spark, "contribution"))
 
 
-@query(_PED + """kn as (select a.id s, b.id e, greatest(a.id, b.id) x, least(a.id, b.id) y, 1.0::double co from pd a join pd b on a.id <= b.id
+_KIN = """kn as (select a.id s, b.id e, greatest(a.id, b.id) x, least(a.id, b.id) y, 1.0::double co from pd a join pd b on a.id <= b.id
   union all select s, e, greatest(nx, ny), least(nx, ny), co / 2 from (
-    select s, e, co, unnest(case when x = y then [p] else [p, q] end) nx, case when x = y then q else y end ny from kn join pd on pd.id = kn.x where p is not null) t)
-select 0::bigint as ped, s as i, e as j, sum(case when x = y then co / 2 else 0 end) as value from kn group by all having sum(case when x = y then co / 2 else 0 end) > 0""", doubles="value")
+    select s, e, co, unnest(case when x = y then [p] else [p, q] end) nx, case when x = y then q else y end ny from kn join pd on pd.id = kn.x where p is not null) t),
+ph as (select s i, e j, sum(case when x = y then co / 2 else 0 end) val from kn group by all)
+"""
+
+
+@query(_PED + _KIN + "select 0::bigint as ped, i, j, val as value from ph where val > 0", doubles="value")
 def pedigree_kinship(spark: SparkSession, sf: str) -> DataFrame:
     return ped.pedigree_kinship(pedigree(spark, sf))
 
 
-@query(doubles="value")
+@query(_PED + _KIN + "select 0::bigint as ped, i as id, 2 * val - 1 as value from ph where i = j", doubles="value")
 def pedigree_inbreeding(spark: SparkSession, sf: str) -> DataFrame:
     return ped.pedigree_inbreeding(pedigree(spark, sf))
 
 
-@query(doubles="value")
+@query(_PED + _KIN + """, pr as (select pd.id, p, q, 1 / (a.val - coalesce(b.val, 0) / 4 - coalesce(c.val, 0) / 4 - coalesce(d.val, 0) / 2) sc from pd
+  join ph a on a.i = pd.id and a.j = pd.id left join ph b on b.i = pd.p and b.j = pd.p left join ph c on c.i = pd.q and c.j = pd.q left join ph d on d.i = least(pd.p, pd.q) and d.j = greatest(pd.p, pd.q)),
+ce as (select id i, id j, sc v from pr union all select p, p, sc / 4 from pr where p is not null union all select q, q, sc / 4 from pr where q is not null
+  union all select p, q, sc / 4 from pr where p is not null union all select q, p, sc / 4 from pr where p is not null
+  union all select p, id, -sc / 2 from pr where p is not null union all select id, p, -sc / 2 from pr where p is not null
+  union all select q, id, -sc / 2 from pr where q is not null union all select id, q, -sc / 2 from pr where q is not null)
+select 0::bigint as ped, i, j, sum(v) as value from ce group by all""", doubles="value")
 def pedigree_inverse_kinship(spark: SparkSession, sf: str) -> DataFrame:
     p = pedigree(spark, sf)
     return ped.pedigree_inverse_kinship(p, ped.pedigree_kinship(p))
@@ -442,3 +452,73 @@ select 0::bigint as ped, pd.id, case when pd.p in (select id from up) then p end
 def pedigree_sel(spark: SparkSession, sf: str) -> DataFrame:
     p = pedigree(spark, sf)
     return ped.pedigree_sel(p, p.where("id % 37 = 5"), Workspace(spark, "sel"), ancestor_depth=3)
+
+
+# Probabilities, and the relational idioms of quality control
+
+
+@query("""pb as (select l_orderkey, l_linenumber, [1 - 5 * l_discount - 5 * l_tax, 5 * l_discount, 5 * l_tax] p from lineitem),
+mx as (select *, round(list_max(p), 9) m, len(list_filter(p, lambda x: x = list_max(p))) ties from pb)
+select l_orderkey, l_linenumber, case when m < 0.6 or ties > 1 then '-1/-1' when p[1] = list_max(p) then '0/0' when p[2] = list_max(p) then '1/0' else '1/1' end as call, round(p[2] + 2 * p[3] + 1e-8, 6) + 0.0 as dosage from mx""")
+def hard_calls(spark: SparkSession, sf: str) -> DataFrame:
+    d, t = 5 * F.col("l_discount"), 5 * F.col("l_tax")
+    p = table(spark, sf, "lineitem").withColumn("p", F.array(1 - d - t, d, t))
+    call = F.array_join(C.hard_call(F.transform("p", lambda x: F.round(x, 9)), 0.6).cast("array<string>"), "/")
+    return p.select("l_orderkey", "l_linenumber", call.alias("call"), (F.round(C.dosage_of("p") + 1e-8, 6) + 0.0).alias("dosage"))
+
+
+@query("""st as (select pk, count_if(called) / (select count(*) from supplier)::double cr, sum(n1) / nullif(sum(n0 + n1), 0)::double af from k group by pk)
+select k.pk as variant_index, k.si::int as sample_index, n1::bigint as alternates from k join st using (pk) where cr > 0.1 and least(af, 1 - af) > 0.2""")
+def filter_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of the variants that pass call rate and minor allele frequency."""
+    c = keyed(spark, sf)
+    af = F.get("variant_allele_frequency", F.lit(1))
+    good = agg.variant_stats(c, n_samples(spark, sf), 2).where((F.col("call_rate") > 0.1) & (F.least(af, 1 - af) > 0.2)).select("variant_index")
+    return c.join(good, "variant_index", "left_semi").select("variant_index", "sample_index", C.allele_count("call_genotype", 1).cast("bigint").alias("alternates"))
+
+
+@query("z as (select 1) select vi as variant_index, contig, position from v where contig = (select min(contig) from v) and position between 40 and 400")
+def select_region(spark: SparkSession, sf: str) -> DataFrame:
+    v = variants(spark, sf)
+    first = table(spark, sf, "part").agg(F.min("p_type")).first()[0]
+    return v.where((F.col("contig") == first) & F.col("position").between(40, 400)).select("variant_index", "contig", "position")
+
+
+@query("z as (select 1) select s.si::int as sample_index, cohort, n_name as nation, count(k.pk) as calls from s join supplier p on p.s_suppkey = s.si left join nation on n_nationkey = p.s_nationkey left join k on k.si = s.si and called group by all")
+def annotate_samples(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("sample_index"), "s_nationkey").join(n, "s_nationkey", "left")
+    called = keyed(spark, sf).where(C.is_called("call_genotype")).groupBy("sample_index").agg(F.count("*").alias("n"))
+    out = samples(spark, sf).join(s, "sample_index").join(called, "sample_index", "left")
+    return out.select("sample_index", F.col("sample_cohort").alias("cohort"), "nation", F.coalesce("n", F.lit(0)).alias("calls"))
+
+
+# Models without an SQL form
+
+
+def _trait(spark: SparkSession, sf: str):  # noqa: ANN202
+    return samples(spark, sf).select("sample_index", "trait").toPandas().sort_values("sample_index")["trait"].to_numpy()
+
+
+@query()
+def regenie_loco(spark: SparkSession, sf: str) -> DataFrame:
+    d, v, y = dosages(spark, sf), variants(spark, sf), _trait(spark, sf)
+    _, _, loco = assoc.regenie(d, v, y, variant_block=500, sample_blocks=5)
+    return assoc.regenie_loco_regression(d, v, y, None, loco)
+
+
+@query()
+def pc_relate(spark: SparkSession, sf: str) -> DataFrame:
+    n = n_samples(spark, sf)
+    proj, _, _ = assoc.pca(dosages(spark, sf), n, 2)
+    pcs = proj.pivot(index="sample", columns="component", values="value").to_numpy()
+    return rel.pc_relate(keyed(spark, sf), pcs, n)
+
+
+@query()
+def gene_test(spark: SparkSession, sf: str) -> DataFrame:
+    d, v = dosages(spark, sf), variants(spark, sf)
+    w = win.window_by_variant(v, 50)
+    betas = assoc.simple_regression(d.where("dosage is not null"), samples(spark, sf)).select("variant_index", F.coalesce("beta", F.lit(0.0)).alias("beta"))
+    pairs = ld.ld_matrix(d, v, w, n_samples(spark, sf)).where("value is not null")
+    return assoc.genee(betas, pairs, w)

@@ -135,3 +135,13 @@ def unpack_probability(packed: DataFrame, bits: int = 8) -> DataFrame:
     at = lambda i: F.when(F.get("packed", F.lit(i)) > 0, (F.get("packed", F.lit(i)) - 1) / top)
     p1, p2 = at(0), at(1)
     return packed.withColumns({"call_genotype_probability": F.when(p1.isNotNull() & p2.isNotNull(), F.array(1 - p1 - p2, p1, p2)), "call_dosage": p1 + 2 * p2}).drop("packed")
+
+
+def bgen_to_parquet(spark: SparkSession, path: str, out: str, region: tuple[int, int] | None = None, bits: int | None = None) -> None:
+    """Write the tables of a BGEN file; of variants in ``region`` [from, to), with packed
+    probabilities if ``bits`` is given."""
+    tables = read_bgen(spark, path)
+    inside = F.lit(True) if region is None else (F.col("variant_index") >= region[0]) & (F.col("variant_index") < region[1])
+    calls = tables["calls"].where(inside)
+    for name, df in (("variants", tables["variants"].where(inside)), ("samples", tables["samples"]), ("calls", pack_probability(calls, bits) if bits else calls)):
+        df.write.mode("errorifexists").parquet(f"{out}/{name}")

@@ -186,3 +186,14 @@ def _lines(df: DataFrame, path: str, sep: str, cols: list) -> None:
     with fs.open_output_stream(inner) as f:
         for r in df.select(F.concat_ws(sep, *[c.cast("string") for c in cols]).alias("line")).toLocalIterator():
             f.write((r["line"] + "\n").encode())
+
+
+def plink_to_parquet(spark: SparkSession, path: str, out: str, **how) -> None:  # noqa: ANN003
+    """Read a fileset and write its tables as Parquet directories."""
+    for name, df in read_plink(spark, path, **how).items():
+        df.write.mode("errorifexists").parquet(f"{out}/{name}")
+
+
+def parquet_to_plink(spark: SparkSession, path: str, out: str) -> None:
+    """Write a fileset from tables that :func:`plink_to_parquet` wrote."""
+    write_plink({t: spark.read.parquet(f"{path}/{t}") for t in ("variants", "samples", "calls")}, out)
