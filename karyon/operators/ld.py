@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from karyon.plans.packing import dense, packed_rows
 
 
-def owner_windows(variants: DataFrame, windows: DataFrame) -> DataFrame:
-    """variant_index, stop: pairs of a variant reach up to the end of the last window
-    that starts at or before it, if it lies inside."""
-    marks = windows.select("contig", F.col("start").alias("at"), F.lit(0).alias("o"), F.struct("window_index", "stop").alias("w"))
+def owner_windows(variants: DataFrame, windows: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
+    """variant_index, contig, stop: pairs of a variant reach up to the end of the last
+    window that starts at or before it, if it lies inside.
+
+    The last window is sought inside bins of the index; what the bins before end
+    with is carried over by a running value over one row per bin.
+    """
+    marks = windows.select("contig", F.col("start").alias("at"), F.lit(0).alias("o"), F.struct(F.col("start").alias("s"), "window_index", "stop").alias("w"))
     here = variants.select("contig", F.col("variant_index").alias("at"), F.lit(1).alias("o"), F.lit(None).cast(marks.schema["w"].dataType).alias("w"))
-    past = Window.partitionBy("contig").orderBy("at", "o", F.col("w.window_index")).rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(here).withColumn("stop", F.last("w", ignorenulls=True).over(past)["stop"])
-    return both.where("o = 1 and at < stop").select(F.col("at").alias("variant_index"), "contig", "stop")
+    both = marks.unionByName(here).withColumn("bin", F.floor(F.col("at") / bin_size))
+    inside = Window.partitionBy("contig", "bin").orderBy("at", "o", F.col("w.window_index")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("contig", "bin").agg(F.max("w").alias("w")).withColumn("carried", F.last("w", ignorenulls=True).over(before)).drop("w")
+    local = both.withColumn("own", F.last("w", ignorenulls=True).over(inside)).where("o = 1")
+    met = local.join(ends, ["contig", "bin"]).withColumn("stop", F.coalesce("own", "carried")["stop"])
+    return met.where("at < stop").select(F.col("at").alias("variant_index"), "contig", "stop")
 
 
 def _r2(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -31,13 +31,10 @@ def contig_bounds(variants: DataFrame) -> DataFrame:
     return variants.groupBy("contig").agg(F.min("variant_index").alias("first"), (F.max("variant_index") + 1).alias("stop"), F.max("position").alias("last_position"))
 
 
-def _numbered(windows: DataFrame, *order: str) -> DataFrame:
-    """Number windows per contig, then add the contigs' offsets."""
-    per = Window.partitionBy("contig").orderBy(*order)
-    sizes = windows.groupBy("contig").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    out = windows.withColumn("__k", F.row_number().over(per) - 1).join(offsets, "contig")
-    return out.select((F.col("__base") + F.col("__k")).cast("bigint").alias("window_index"), "contig", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+def _numbered(windows: DataFrame, order: str) -> DataFrame:
+    """Number windows by contig and ``order``."""
+    out = genomic_index(windows, "contig", order, "window_index", bin_size=1 << 16)
+    return out.select("window_index", "contig", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
 
 
 def window_by_variant(variants: DataFrame, size: int, step: int | None = None) -> DataFrame:
