@@ -158,11 +158,12 @@ def pack(items: DataFrame, capacity: int, ws: Workspace, salts: int = 64) -> Dat
 
     ``items`` has doc_id (unique) and tokens. An item above the capacity is split:
     its first pieces fill containers of their own, the rest is packed like an
-    item. An item without tokens has one row with null container and offset. Rows
-    with a null doc_id are left out. An empty table gives an empty result.
+    item. An item without tokens (null, 0 or less) has one row with null container
+    and offset. Repeated rows are items of their own. Rows with a null doc_id are
+    left out, other columns ignored. An empty table gives an empty result.
     """
     spark = ws.spark
-    base = items.where("doc_id is not null").select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    base = items.where("doc_id is not null").select("doc_id", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens"))
     pieces = base.select("doc_id", F.explode(F.when(F.col("tokens") > 0, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("tokens") / capacity) - 1)).otherwise(F.array(F.lit(0).cast("long")))).alias("piece"), F.col("tokens").alias("all"))
     pieces = pieces.withColumn("tokens", F.least(F.lit(capacity), F.col("all") - F.col("piece") * capacity)).select("doc_id", "piece", "tokens")
     table = ws.save(pieces, "pieces")

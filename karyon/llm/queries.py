@@ -72,7 +72,7 @@ def _ends(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _ends(spark, sf).where("cut").select("doc_id")
+    return _ends(spark, sf).where("cut").select("doc_id").distinct()
 
 
 def p9_sources(spark: SparkSession, sf: str) -> DataFrame:

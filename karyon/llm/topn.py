@@ -69,15 +69,15 @@ def _best_of_file(uri: str, n: int) -> tuple[pa.Table, int, int]:
 def top_n(latest: DataFrame, n: int, ws: Workspace, row_group_bytes: int = 1 << 20) -> DataFrame:
     """The ``n`` smallest scores of each group, ties by the smaller item.
 
-    ``latest`` has grp, item (strings, one row per pair) and score (double, not
-    null, not NaN). It should come partitioned by ranges of (grp, item): a group
+    ``latest`` has grp, item (strings, one row per pair) and score (double). It should come partitioned by ranges of (grp, item): a group
     of any size is then spread over files. Result: grp, item, score, rank.
-    Groups with fewer items keep all. Rows with a null grp or item are left out;
-    an empty table gives an empty result.
+    Groups with fewer items keep all. Rows with a null grp, item or score are left
+    out, and those whose score is NaN; a repeated row counts as often as it comes;
+    an empty table gives an empty result. Other columns are ignored.
     """
     spark = ws.spark
     path = ws.path("clustered")
-    cluster(latest.where("grp is not null and item is not null").select("grp", "item", "score"), path, row_group_bytes)
+    cluster(latest.where("grp is not null and item is not null and score is not null and not isnan(score)").select("grp", "item", "score"), path, row_group_bytes)
     files = spark.read.parquet(path).inputFiles()
     if not files:
         return latest.select("grp", "item", "score", F.lit(1).alias("rank")).limit(0)

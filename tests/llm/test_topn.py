@@ -9,7 +9,7 @@ def test_against_brute_force_with_hot_group(spark, ws):
     rng = random.Random(3)
     rows = [("hot", f"i{i:05d}", rng.randrange(1000) / 1000) for i in range(4000)]
     rows += [(f"g{rng.randrange(300):03d}", f"i{i:05d}", rng.randrange(20) / 20) for i in range(8000)]
-    df = spark.createDataFrame([(*r, 9) for r in rows] + [(None, "x", 0.0, 9), ("g", None, 0.0, 9)], S)
+    df = spark.createDataFrame([(*r, 9) for r in rows] + [(None, "x", 0.0, 9), ("g", None, 0.0, 9), ("g000", "n", float("nan"), 9), ("g000", "z", None, 9)], S)
     got = {}
     for r in top_n(df.repartitionByRange(5, "grp", "item"), 10, ws, row_group_bytes=4096).collect():
         got.setdefault(r.grp, []).append((r.score, r["item"]))
