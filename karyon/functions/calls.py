@@ -6,6 +6,7 @@ numbers are null.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 from pyspark.sql import Column
@@ -16,14 +17,26 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def allele_count(gt: Column | str, allele: int | Column) -> Column:
+def _slots(gt: Column | str, ploidy: int) -> list[Column]:
+    """The alleles one by one. With a known ploidy, tests on them compile into the
+    stage's code, which functions on arrays don't."""
+    return [F.get(_c(gt), F.lit(i)) for i in range(ploidy)]
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def allele_count(gt: Column | str, allele: int | Column, ploidy: int | None = None) -> Column:
     """Occurrences of one allele in a call."""
+    if ploidy:
+        return reduce(lambda a, b: a + b, [F.when(x == allele, 1).otherwise(0) for x in _slots(gt, ploidy)])
     return F.size(F.filter(_c(gt), lambda x: x == allele))
 
 
-def allele_counts(gt: Column | str, n_alleles: int) -> Column:
+def allele_counts(gt: Column | str, n_alleles: int, ploidy: int | None = None) -> Column:
     """Occurrences of alleles 0 .. n_alleles - 1; missing ones count nowhere."""
-    return F.array(*[allele_count(gt, a).cast("bigint") for a in range(n_alleles)])
+    return F.array(*[allele_count(gt, a, ploidy).cast("bigint") for a in range(n_alleles)])
 
 
 def frequencies(counts: Column | str) -> Column:
@@ -39,32 +52,35 @@ def heterozygosity(counts: Column | str) -> Column:
     return F.when(k > 1, (1 - same) * k / (k - 1))
 
 
-def is_missing(gt: Column | str) -> Column:
+def is_missing(gt: Column | str, ploidy: int | None = None) -> Column:
     """Whether any allele is missing (or padding)."""
-    return F.exists(_c(gt), lambda x: x < 0)
+    return ~_all([x >= 0 for x in _slots(gt, ploidy)]) if ploidy else F.exists(_c(gt), lambda x: x < 0)
 
 
-def is_called(gt: Column | str) -> Column:
-    return ~is_missing(gt)
+def is_called(gt: Column | str, ploidy: int | None = None) -> Column:
+    return ~is_missing(gt, ploidy)
 
 
-def is_hom(gt: Column | str) -> Column:
+def is_hom(gt: Column | str, ploidy: int | None = None) -> Column:
     """All alleles equal, none missing."""
+    if ploidy:
+        first, *rest = _slots(gt, ploidy)
+        return _all([first >= 0, *[x == first for x in rest]])
     g = _c(gt)
     return F.forall(g, lambda x: (x >= 0) & (x == F.get(g, F.lit(0))))
 
 
-def is_hom_ref(gt: Column | str) -> Column:
-    return F.forall(_c(gt), lambda x: x == 0)
+def is_hom_ref(gt: Column | str, ploidy: int | None = None) -> Column:
+    return _all([x == 0 for x in _slots(gt, ploidy)]) if ploidy else F.forall(_c(gt), lambda x: x == 0)
 
 
-def is_hom_alt(gt: Column | str) -> Column:
-    return is_hom(gt) & (F.get(_c(gt), F.lit(0)) > 0)
+def is_hom_alt(gt: Column | str, ploidy: int | None = None) -> Column:
+    return is_hom(gt, ploidy) & (F.get(_c(gt), F.lit(0)) > 0)
 
 
-def is_het(gt: Column | str) -> Column:
+def is_het(gt: Column | str, ploidy: int | None = None) -> Column:
     """No allele missing and not all equal, for any ploidy."""
-    return is_called(gt) & ~is_hom(gt)
+    return is_called(gt, ploidy) & ~is_hom(gt, ploidy)
 
 
 def alternate_count(gt: Column | str) -> Column:

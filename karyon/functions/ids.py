@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Two letters, a hyphen and eight digits, in any white space (all kinds that Unicode knows).
-_ID = r"(?U)\A[\s﻿​]*([A-Za-z]{2}-[0-9]{8})[\s﻿​]*\z"
+_ID = r"(?U)\A[\s\x{FEFF}\x{200B}]*([A-Za-z]{2}-[0-9]{8})[\s\x{FEFF}\x{200B}]*\z"
 
 
 def clean_id(c: Column | str) -> Column:

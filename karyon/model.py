@@ -85,6 +85,10 @@ class GenoDataset:
     ploidy: int = 2
     attrs: dict = field(default_factory=dict)
 
+    @property
+    def fixed_ploidy(self) -> int | None:
+        return None if self.attrs.get("mixed_ploidy") else self.ploidy
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
@@ -141,15 +145,15 @@ def create_dosage_dataset(variants: DataFrame, samples: DataFrame, calls: DataFr
 
 
 def variant_stats(ds: GenoDataset, merge: bool = True) -> GenoDataset:
-    return ds.merge("variants", ["variant_index"], agg.variant_stats(ds["calls"], ds["samples"].count(), ds.n_alleles), merge)
+    return ds.merge("variants", ["variant_index"], agg.variant_stats(ds["calls"], ds["samples"].count(), ds.n_alleles, ploidy=ds.fixed_ploidy), merge)
 
 
 def sample_stats(ds: GenoDataset, merge: bool = True) -> GenoDataset:
-    return ds.merge("samples", ["sample_index"], agg.sample_stats(ds["calls"], ds["variants"].count()), merge)
+    return ds.merge("samples", ["sample_index"], agg.sample_stats(ds["calls"], ds["variants"].count(), ploidy=ds.fixed_ploidy), merge)
 
 
 def count_call_alleles(ds: GenoDataset) -> GenoDataset:
-    return ds.with_table("calls", agg.count_call_alleles(ds["calls"], ds.n_alleles))
+    return ds.with_table("calls", agg.count_call_alleles(ds["calls"], ds.n_alleles, ploidy=ds.fixed_ploidy))
 
 
 def individual_heterozygosity(ds: GenoDataset) -> GenoDataset:
@@ -158,7 +162,7 @@ def individual_heterozygosity(ds: GenoDataset) -> GenoDataset:
 
 
 def count_cohort_alleles(ds: GenoDataset) -> GenoDataset:
-    return ds.with_table("variant_cohort", agg.count_cohort_alleles(ds["calls"], ds["samples"], ds.n_alleles, variants=ds["variants"]))
+    return ds.with_table("variant_cohort", agg.count_cohort_alleles(ds["calls"], ds["samples"], ds.n_alleles, variants=ds["variants"], ploidy=ds.fixed_ploidy))
 
 
 def encode(df: DataFrame, column: str, order: str, name: str) -> DataFrame:

@@ -105,14 +105,14 @@ def _pair(col: str, prefix: str) -> list:
  count_if(called and a0 <> a1)::bigint as n_het, count_if(a0 = 0 and a1 = 0)::bigint as n_hom_ref, count_if(a0 = 1 and a1 = 1)::bigint as n_hom_alt, (count_if(called) - count_if(a0 = 0 and a1 = 0))::bigint as n_non_ref,
  sum(n0)::bigint as ac0, sum(n1)::bigint as ac1, sum(n0 + n1)::bigint as variant_allele_total, sum(n0) / nullif(sum(n0 + n1), 0)::double as af0, sum(n1) / nullif(sum(n0 + n1), 0)::double as af1 from k group by pk""", doubles="call_rate af0 af1")
 def variant_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = agg.variant_stats(keyed(spark, sf), n_samples(spark, sf), 2)
+    out = agg.variant_stats(keyed(spark, sf), n_samples(spark, sf), 2, ploidy=2)
     return out.select("variant_index", "n_called", "call_rate", "n_het", "n_hom_ref", "n_hom_alt", "n_non_ref", *_pair("variant_allele_count", "ac"), "variant_allele_total", *_pair("variant_allele_frequency", "af"))
 
 
 @query("""z as (select 1) select si::int as sample_index, count_if(called)::bigint as n_called, count_if(called) / (select count(*) from part)::double as call_rate,
  count_if(called and a0 <> a1)::bigint as n_het, count_if(a0 = 0 and a1 = 0)::bigint as n_hom_ref, count_if(a0 = 1 and a1 = 1)::bigint as n_hom_alt, (count_if(called) - count_if(a0 = 0 and a1 = 0))::bigint as n_non_ref from k group by si""", doubles="call_rate")
 def sample_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return agg.sample_stats(keyed(spark, sf), table(spark, sf, "part").count())
+    return agg.sample_stats(keyed(spark, sf), table(spark, sf, "part").count(), ploidy=2)
 
 
 @query("""z as (select 1) select pk as variant_index, si::int as sample_index, n0::bigint as ac0, n1::bigint as ac1, n0 / nullif(n0 + n1, 0)::double as af0, n1 / nullif(n0 + n1, 0)::double as af1,
@@ -120,7 +120,7 @@ def sample_stats(spark: SparkSession, sf: str) -> DataFrame:
  case when called then a0 else -1 end as complete0, case when called then n1 else -1 end as alternates,
  (case a0 when -1 then '.' else a0::varchar end) || '/' || (case a1 when -1 then '.' else a1::varchar end) as shown from k""", doubles="af0 af1 het")
 def call_functions(spark: SparkSession, sf: str) -> DataFrame:
-    c = agg.count_call_alleles(keyed(spark, sf), 2).withColumn("f", C.frequencies("call_allele_count"))
+    c = agg.count_call_alleles(keyed(spark, sf), 2, ploidy=2).withColumn("f", C.frequencies("call_allele_count"))
     gt = "call_genotype"
     return c.select(
         "variant_index", "sample_index", *_pair("call_allele_count", "ac"), *_pair("f", "af"), C.heterozygosity("call_allele_count").alias("het"),
@@ -130,7 +130,7 @@ def call_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("z as (select 1) select pk as variant_index, cohort, r as ac0, a as ac1, r / nullif(r + a, 0)::double as af0, a / nullif(r + a, 0)::double as af1 from cc", doubles="af0 af1")
 def cohort_alleles(spark: SparkSession, sf: str) -> DataFrame:
-    out = agg.cohort_allele_frequencies(agg.count_cohort_alleles(keyed(spark, sf), samples(spark, sf), 2))
+    out = agg.cohort_allele_frequencies(agg.count_cohort_alleles(keyed(spark, sf), samples(spark, sf), 2, ploidy=2))
     return out.select("variant_index", "cohort", *_pair("cohort_allele_count", "ac"), *_pair("cohort_allele_frequency", "af"))
 
 
@@ -154,7 +154,7 @@ def hardy_weinberg(spark: SparkSession, sf: str) -> DataFrame:
 @query("""q as (select pk, si, case when n0 + n1 = 2 then 2 * (1 - (n0 * n0 + n1 * n1) / 4.0::double) end het from k)
 select pk as variant_index, cohort, avg(het) as value from q join s using (si) where cohort >= 0 group by all""", doubles="value")
 def observed_heterozygosity(spark: SparkSession, sf: str) -> DataFrame:
-    return agg.observed_heterozygosity(keyed(spark, sf), samples(spark, sf), 2)
+    return agg.observed_heterozygosity(keyed(spark, sf), samples(spark, sf), 2, ploidy=2)
 
 
 @query("z as (select 1) select pk as variant_index, case when min((a0 >= -1)::int + (a1 >= -1)::int) = max((a0 >= -1)::int + (a1 >= -1)::int) then 2 else -1 end as ploidy from k group by pk")
@@ -216,7 +216,7 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
 select wi as window_index, sum(c)::bigint as called, max(c) as most, count(*) as variants from w join n on vi >= start and vi < stop group by wi""")
 def window_statistic(spark: SparkSession, sf: str) -> DataFrame:
     v = variants(spark, sf)
-    n = calls(spark, sf).groupBy(F.col("variant_key").alias("p_partkey")).agg(F.count_if(C.is_called("call_genotype")).alias("c"))
+    n = calls(spark, sf).groupBy(F.col("variant_key").alias("p_partkey")).agg(F.count_if(C.is_called("call_genotype", 2)).alias("c"))
     values = v.join(n, "p_partkey", "left").select("variant_index", F.coalesce("c", F.lit(0)).alias("c"))
     return win.window_statistic(values, win.window_by_variant(v, 50), [], {"called": F.sum("c"), "most": F.max("c"), "variants": F.count("*")})
 
@@ -234,7 +234,7 @@ fw as (select d.wi, d.c0, d.c1, 1 - ((i.val + j.val) / 2) / nullif(d.val, 0) val
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
     v = variants(spark, sf).select(F.col("p_partkey").alias("k"), F.col("variant_index").alias("vi"))
-    return agg.count_cohort_alleles(keyed(spark, sf), samples(spark, sf), 2).join(v, F.col("variant_index") == F.col("k")).select(F.col("vi").alias("variant_index"), "cohort", "cohort_allele_count")
+    return agg.count_cohort_alleles(keyed(spark, sf), samples(spark, sf), 2, ploidy=2).join(v, F.col("variant_index") == F.col("k")).select(F.col("vi").alias("variant_index"), "cohort", "cohort_allele_count")
 
 
 @query(_W + _PI + "z as (select 1) select vi as unit, cohort, val as value from pi", doubles="value")
@@ -277,7 +277,7 @@ es as (select a1, (b1 - 1 / a1) / a1 e1, (b2 - (n + 2) / (a1 * n) + a2 / (a1 * a
 sg as (select wi, sum((r > 0)::int + (a > 0)::int - 1)::double sv from w join va on vi >= start and vi < stop group by wi)
 select d.wi as unit, d.c0 as cohort, (d.val - sv / a1) / sqrt(case when e1 * sv + e2 * sv * (sv - 1) > 0 then e1 * sv + e2 * sv * (sv - 1) end) as value from dw d join sg using (wi), es where d.c0 = d.c1""", doubles="value")
 def tajimas_d(spark: SparkSession, sf: str) -> DataFrame:
-    vc = agg.count_variant_alleles(keyed(spark, sf), 2)
+    vc = agg.count_variant_alleles(keyed(spark, sf), 2, ploidy=2)
     v = variants(spark, sf).select(F.col("p_partkey").alias("k"), F.col("variant_index").alias("vi"))
     vc = vc.join(v, F.col("variant_index") == F.col("k")).select(F.col("vi").alias("variant_index"), "variant_allele_count")
     return popgen.Tajimas_D(_counts(spark, sf), vc, _windows(spark, sf))
@@ -473,7 +473,7 @@ def filter_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Calls of the variants that pass call rate and minor allele frequency."""
     c = keyed(spark, sf)
     af = F.get("variant_allele_frequency", F.lit(1))
-    good = agg.variant_stats(c, n_samples(spark, sf), 2).where((F.col("call_rate") > 0.1) & (F.least(af, 1 - af) > 0.2)).select("variant_index")
+    good = agg.variant_stats(c, n_samples(spark, sf), 2, ploidy=2).where((F.col("call_rate") > 0.1) & (F.least(af, 1 - af) > 0.2)).select("variant_index")
     return c.join(good, "variant_index", "left_semi").select("variant_index", "sample_index", C.allele_count("call_genotype", 1).cast("bigint").alias("alternates"))
 
 

@@ -374,3 +374,13 @@ def test_cohorts_and_partitions(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         assert agg.variant_stats(calls.limit(0), 5, 2).count() == 0
+
+
+def test_fixed_ploidy_gives_the_same(spark):
+    rng = np.random.default_rng(8)
+    rows = [(v, s, rng.integers(-1, 3, 3).tolist()) for v in range(30) for s in range(9)]
+    calls = spark.createDataFrame(rows, "variant_index long, sample_index int, call_genotype array<int>")
+    a, b = (sorted(agg.variant_stats(calls, 9, 3, ploidy=k).collect()) for k in (None, 3))
+    assert a == b
+    a, b = (sorted(agg.sample_stats(calls, 30, ploidy=k).collect()) for k in (None, 3))
+    assert a == b
