@@ -81,17 +81,37 @@ def ld_matrix(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_sam
     return met.withColumn("value", F.when(~F.isnan("value"), F.col("value")).cast("float"))
 
 
+def segments(edges: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
+    """contig, i, segment: runs of variants that no pair leads out of, by their first.
+
+    A run ends where every pair so far ends. Running values are taken inside bins
+    of the index and carried over by one row per bin.
+    """
+    here, past = Window.unboundedPreceding, -1
+    n = edges.groupBy("contig", "i").agg(F.max("j").alias("far")).withColumn("bin", F.floor(F.col("i") / bin_size))
+    inside, over = Window.partitionBy("contig", "bin").orderBy("i"), Window.partitionBy("contig").orderBy("bin").rowsBetween(here, past)
+    ends = n.groupBy("contig", "bin").agg(F.max("far").alias("f")).withColumn("carried", F.max("f").over(over)).drop("f")
+    n = n.withColumn("local", F.max("far").over(inside.rowsBetween(here, past))).join(ends, ["contig", "bin"])
+    reach = F.greatest("local", "carried")
+    n = n.withColumn("first", F.when(reach.isNull() | (F.col("i") > reach), F.col("i"))).select("contig", "bin", "i", "first")
+    starts = n.groupBy("contig", "bin").agg(F.max("first").alias("s")).withColumn("before", F.last("s", ignorenulls=True).over(over)).drop("s")
+    n = n.withColumn("own", F.last("first", ignorenulls=True).over(inside.rowsBetween(here, 0))).join(starts, ["contig", "bin"])
+    return n.select("contig", "i", F.coalesce("own", "before").alias("segment"))
+
+
 def maximal_independent_set(edges: DataFrame, contig: DataFrame | None = None) -> DataFrame:
     """ld_prune_index_to_drop: greedy over pairs sorted by (i, j).
 
     ``edges``: i, j and optionally cmp (sign of score_i - score_j). A pair whose
     first was dropped is passed over; else the one of lower score is dropped, the
-    second among equals. Sequential within a contig, as no pair crosses contigs;
-    contigs (``contig``: variant_index, contig) run side by side.
+    second among equals. The order matters only inside a run of variants that no
+    pair leads out of, so runs (of each contig, with ``contig``: variant_index,
+    contig) go side by side.
     """
     has = "cmp" in edges.columns
     e = edges.where("i < j").select("i", "j", (F.col("cmp") if has else F.lit(0)).cast("int").alias("cmp"))
     e = e.join(contig.select(F.col("variant_index").alias("i"), "contig"), "i") if contig is not None else e.withColumn("contig", F.lit(0))
+    e = e.join(segments(e), ["contig", "i"])
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
         lost: set[int] = set()
@@ -100,7 +120,7 @@ def maximal_independent_set(edges: DataFrame, contig: DataFrame | None = None) -
                 lost.add(i if c < 0 else j)
         return pd.DataFrame({"ld_prune_index_to_drop": np.array(sorted(lost), np.int64)})
 
-    return e.groupBy("contig").applyInPandas(greedy, "ld_prune_index_to_drop bigint")
+    return e.groupBy("contig", "segment").applyInPandas(greedy, "ld_prune_index_to_drop bigint")
 
 
 def ld_prune(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_samples: int, threshold: float = 0.2, score: str | None = None) -> DataFrame:

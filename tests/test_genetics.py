@@ -384,3 +384,23 @@ def test_fixed_ploidy_gives_the_same(spark):
     assert a == b
     a, b = (sorted(agg.sample_stats(calls, 30, ploidy=k).collect()) for k in (None, 3))
     assert a == b
+
+
+def test_segments_don_t_change_pruning(spark):
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(i), int(i + rng.integers(1, 4)), int(rng.integers(-1, 2))) for i in rng.integers(0, 200, 90)})
+    pairs = list({p[:2]: p for p in pairs}.values())
+    lost = set()
+    for i, j, c in sorted(pairs):
+        if i not in lost:
+            lost.add(i if c < 0 else j)
+    e = spark.createDataFrame(pairs, "i long, j long, cmp int")
+    assert {r[0] for r in ld.maximal_independent_set(e).collect()} == lost
+    s = ld.segments(e.withColumn("contig", F.lit(0)), bin_size=16).collect()
+    want, top, start = {}, -1, None
+    for i in sorted({p[0] for p in pairs}):
+        if i > top:
+            start = i
+        want[i] = start
+        top = max(top, *[j for a, j, _ in pairs if a == i])
+    assert {r.i: r.segment for r in s} == want
