@@ -33,7 +33,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ws: Workspace, gone:
 
     Null references are no references. A reference with a null time is never
     late, nor is one to a target without any time. Repeated reference rows are
-    each judged. An empty parent table makes every reference ``missing``.
+    each judged. An empty parent table makes every reference ``missing``. Other
+    columns are ignored.
     """
     held = ws.save(validity(parents), "validity").hint("merge").select("tab", F.col("id").alias("ref"), "first_at", "last_state", F.lit(True).alias("there"))
     reason = (
@@ -43,6 +44,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ws: Workspace, gone:
     )
     return (
         refs.where("ref is not null")
+        .select("tab", "ref", "rec_id", "field", "at")
         .join(held, ["tab", "ref"], "left")
         .withColumn("reason", reason)
         .where("reason is not null")
