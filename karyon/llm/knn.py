@@ -1,9 +1,11 @@
-"""Most similar vectors for every vector: inverted file with product-quantised residuals.
+"""Most similar vectors for every vector: inverted file with exact distances.
 
 Vectors are small non-negative integers (values in units of a given step), so
-exact distances are whole numbers and ties are real ties. Coarse centroids and
-codebooks are fitted on a bounded sample; every vector is indexed and every
-vector is a query. Lists of any size are cut into blocks of bounded size.
+exact distances are whole numbers and ties are real ties. Coarse centroids are
+fitted on a sample that grows with their number, as the square root of the rows;
+every vector is indexed and every vector is a query. Lists of any size are cut
+into blocks of bounded size. A query is measured against every vector of the
+lists it probes; only lists that it doesn't probe can cost it a neighbour.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from karyon.plans.workspace import Workspace
 
 @dataclass(frozen=True)
 class Index:
-    """Coarse centroids (lists x d) and codebooks (parts x codes x d / parts) of residuals."""
+    """Coarse centroids (lists x d) and, of a fitted one, codebooks (parts x codes x d / parts) of residuals."""
 
     centroids: np.ndarray
-    codebooks: np.ndarray
+    codebooks: np.ndarray | None
 
     def nearest_lists(self, x: np.ndarray, n: int) -> np.ndarray:
         d = (self.centroids**2).sum(1)[None, :] - 2.0 * x @ self.centroids.T
@@ -54,25 +56,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     k = min(k, len(start))
     c = start[rng.choice(len(start), k, replace=False)].astype(np.float32)
     for _ in range(rounds):
-        d = (c**2).sum(1)[None, :] - 2.0 * x @ c.T
-        a = d.argmin(1)
+        a, least = _closest(x, c)
         n = np.bincount(a, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, a, x)
         full = n > 0
         c[full] = total[full] / n[full, None]
         if not full.all():
-            far = np.argsort(-(d[np.arange(len(x)), a] + (x**2).sum(1)))[: (~full).sum()]
+            far = np.argsort(-(least + (x**2).sum(1)))[: (~full).sum()]
             c[~full] = x[far]
     return c
 
 
+def _closest(x: np.ndarray, c: np.ndarray, rows: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """The closest of ``c`` for each of ``x``, and its squared distance less that of ``x`` from 0."""
+    at, least, norm = np.empty(len(x), np.int64), np.empty(len(x), np.float32), (c**2).sum(1)[None, :]
+    for i in range(0, len(x), rows):
+        d = norm - 2.0 * x[i : i + rows] @ c.T
+        at[i : i + rows] = d.argmin(1)
+        least[i : i + rows] = d.min(1)
+    return at, least
+
+
 def fit(sample: np.ndarray, lists: int, parts: int, codes: int, seed: int = 7) -> Index:
     x = sample.astype(np.float32)
     d = x.shape[1]
     parts = parts if d % parts == 0 else 1
     c = kmeans(x, lists, 12, seed)
-    r = x - c[((c**2).sum(1)[None, :] - 2.0 * x @ c.T).argmin(1)]
+    r = x - c[_closest(x, c)[0]]
     w = d // parts
     books = [kmeans(r[:, j * w : (j + 1) * w], codes, 8, seed + 1 + j) for j in range(parts)]
     size = max(map(len, books))
@@ -83,6 +94,10 @@ def _matrix(col: pd.Series, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint8).reshape(-1, d)
 
 
+def _portions(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    return (x[at : at + size] for at in range(0, len(x), size))
+
+
 def nearest(
     vectors: DataFrame,
     d: int,
@@ -93,40 +108,38 @@ def nearest(
     codes: int = 64,
     probe_share: float = 0.25,
     least_probes: int = 24,
-    rerank: int = 24,
     block: int = 4096,
 ) -> DataFrame:
     """The ``k`` nearest other vectors of each: id, near, dist (squared, whole).
 
     ``vectors`` has id (string, unique) and vec (binary of ``d`` bytes, all
-    different). Each query is compared with the codes in the lists it probes; the
-    ``rerank`` best of each block of a list are measured exactly, then the ``k``
-    best of all, ties by the smaller id.
-
-    Lists: about the square root of the number of rows, bounded by ``train`` / 32.
-    Probes: ``probe_share`` of the lists up to 64 of them, then ``least_probes`` or
-    the square root of the lists times 4. Fewer than k + 1 rows give what there is.
+    different). Each query is measured exactly against every vector in the lists
+    it probes: the ``k`` best of all, ties by the smaller id. ``parts`` and
+    ``codes`` shape the codebooks of :func:`fit`, which the search doesn't need.
+
+    Lists: about the square root of the number of rows, whatever that is, fitted
+    on ``train`` rows or 32 for each list. Probes: ``probe_share`` of the lists up
+    to 64 of them, then ``least_probes`` or the square root of the lists times 4.
+    Fewer than k + 1 rows give what there is.
     """
     spark = ws.spark
     n = vectors.count()
     if n < 2:
         return vectors.select("id", F.col("id").alias("near"), F.lit(0).alias("dist")).limit(0)
-    # A bounded sample by a hash of the id: alike at every size, and repeatable.
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(train).select("vec").toPandas()
+    # A sample by a hash of the id: alike at every size, and repeatable.
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(int(max(train, 32 * np.ceil(np.sqrt(n))))).select("vec").toPandas()
     lists = int(max(1, min(np.sqrt(n), len(sample) // 32)))
     probes = int(min(lists, max(least_probes, probe_share * min(lists, 64), 4 * np.sqrt(lists))))
-    index = spark.sparkContext.broadcast(fit(_matrix(sample["vec"], d), lists, parts, codes))
+    index = spark.sparkContext.broadcast(Index(kmeans(_matrix(sample["vec"], d).astype(np.float32), lists, 12, 7), None))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
         for b in batches:
-            x = _matrix(b["vec"], d).astype(np.float32)
-            near = ix.nearest_lists(x, probes)
-            code = ix.encode(x - ix.centroids[near[:, 0]])
-            yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "code": [c.tobytes() for c in code], "lists": list(near.astype(np.int32))})
+            near = [ix.nearest_lists(x.astype(np.float32), probes).astype(np.int32) for x in _portions(_matrix(b["vec"], d), 2048)]
+            yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "lists": [r for part in near for r in part]})
 
-    placed = ws.save(vectors.select("id", "vec").mapInPandas(place, "id string, vec binary, code binary, lists array<int>"), "placed")
-    own = placed.select(F.col("lists")[0].alias("list"), "id", "vec", "code")
+    placed = ws.save(vectors.select("id", "vec").mapInPandas(place, "id string, vec binary, lists array<int>"), "placed")
+    own = placed.select(F.col("lists")[0].alias("list"), "id", "vec")
     # One number per list: as many as there are centroids, whatever the data.
     sizes = {r["list"]: r["n"] for r in own.groupBy("list").agg(F.count("*").alias("n")).collect()}
     cuts = spark.createDataFrame([(int(c), int(-(-m // block))) for c, m in sizes.items()], "list int, cuts int")
@@ -139,36 +152,35 @@ def nearest(
     stored = stored.join(F.broadcast(turn), "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     asked = asked.join(F.broadcast(turn), "list").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int"))
 
+    # Whole numbers up to 2^24 are exact in 32 bits.
+    exact = np.float32 if 2 * d * 255**2 < 1 << 24 else np.float64
+
     def search(key: tuple, held: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": pd.Series(dtype=str), "near": pd.Series(dtype=str), "dist": pd.Series(dtype=np.int64)})
         if not len(held) or not len(ask):
             return empty
-        ix = index.value
         order = np.argsort(held["id"].to_numpy(dtype=object))
-        ids, exact = held["id"].to_numpy(dtype=object)[order], _matrix(held["vec"], d)[order].astype(np.int32)
-        code = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(ids), -1)[order]
+        ids, x = held["id"].to_numpy(dtype=object)[order], _matrix(held["vec"], d)[order].astype(exact)
+        norm = (x**2).sum(1)[None, :]
         qid, q = ask["q_id"].to_numpy(dtype=object), _matrix(ask["q_vec"], d)
-        out, c = [], min(rerank + 1, len(ids))
-        for at in range(0, len(qid), 256):
-            part = q[at : at + 256]
-            lut = ix.tables(part.astype(np.float32) - ix.centroids[key[0]])
-            near = lut[:, 0, :][:, code[:, 0]]
-            for j in range(1, code.shape[1]):
-                near += lut[:, j, :][:, code[:, j]]
-            best = np.argpartition(near, c - 1, axis=1)[:, :c]
-            dist = ((exact[best] - part[:, None, :].astype(np.int32)) ** 2).sum(2)
-            same = ids[best] == qid[at : at + 256, None]
-            dist = np.where(same, np.iinfo(np.int32).max, dist)
+        out, at, c = [], 0, min(k + 1, len(ids))
+        for part in _portions(q, 256):
+            part, name = part.astype(exact), qid[at : at + 256]
+            dist = norm + (part**2).sum(1)[:, None] - 2 * (part @ x.T)
             # Rows are in the order of ids, so (distance, position) breaks ties by id.
-            rank = np.argsort(dist.astype(np.int64) * len(ids) + best, axis=1)[:, : k]
-            rows = np.repeat(np.arange(len(part)), rank.shape[1])
-            pick, far = np.take_along_axis(best, rank, 1).ravel(), np.take_along_axis(dist, rank, 1).ravel()
-            real = far < np.iinfo(np.int32).max
-            out.append(pd.DataFrame({"id": qid[at : at + 256][rows][real], "near": ids[pick][real], "dist": far[real].astype(np.int64)}))
+            both = dist.astype(np.int64) * len(ids) + np.arange(len(ids))
+            both = np.sort(np.partition(both, c - 1, axis=1)[:, :c], axis=1)
+            far, best = both // len(ids), both % len(ids)
+            # A query that the block holds is the first of its row, at distance 0.
+            other = ids[best] != name[:, None]
+            other &= np.cumsum(other, axis=1) <= k
+            rows = np.repeat(np.arange(len(name)), other.sum(1))
+            out.append(pd.DataFrame({"id": name[rows], "near": ids[best[other]], "dist": far[other]}))
+            at += 256
         return pd.concat(out) if out else empty
 
     keys = ["list", "cut", "turn"]
-    left, right = stored.select(*keys, "id", "vec", "code"), asked.select(*[F.col(c).alias(f"q_{c}") for c in keys], F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    left, right = stored.select(*keys, "id", "vec"), asked.select(*[F.col(c).alias(f"q_{c}") for c in keys], F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
     hits = left.groupBy(*keys).cogroup(right.groupBy(*[f"q_{c}" for c in keys])).applyInPandas(search, "id string, near string, dist bigint")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "near"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -46,6 +46,31 @@ def test_hot_list_is_cut_into_blocks(spark, ws):
     assert hit > 0.97
 
 
+def test_dense_region_is_searched_whole(spark, ws):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([100 + rng.integers(-3, 4, (1500, 16)), rng.integers(0, 201, (1500, 16))])
+    x = np.unique(x, axis=0)
+    ids = [f"s{i:05d}" for i in rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, bytes(r)) for i, r in zip(ids, x.astype(np.uint8).tolist())], "id string, vec binary")
+    got = {}
+    for r in nearest(df, 16, 5, ws, parts=4, probe_share=1.0, least_probes=1000).collect():
+        got.setdefault(r.id, []).append((r.rank, r.near))
+    want = exact(x.astype(int), ids, 5)
+    assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == want
+
+
+def test_lists_grow_with_rows(spark, ws, monkeypatch):
+    from karyon.llm import knn
+
+    asked, rng = [], np.random.default_rng(9)
+    true = knn.kmeans
+    monkeypatch.setattr(knn, "kmeans", lambda x, n, *more: asked.append(n) or true(x, n, *more))
+    x = np.unique(rng.integers(0, 201, (2000, 8)), axis=0).astype(np.uint8)
+    df = spark.createDataFrame([(f"s{i:05d}", bytes(r.tolist())) for i, r in enumerate(x)], "id string, vec binary")
+    knn.nearest(df, 8, 2, ws, parts=4, train=320)
+    assert asked[0] == int(np.sqrt(len(x)))
+
+
 def test_empty_one_two(spark, ws):
     assert nearest_samples(spark.createDataFrame([], S), 8, 2.0, 0.01, 5, ws).count() == 0
     one = [("a", [0.1] * 8, T, "")]
