@@ -40,9 +40,9 @@ class Scheme:
     walks: int = 8
     span: int = 20
     samples: int = 10
-    anchor: int = 3
+    anchor: int = 1
     share: float = 1 / 3
-    votes: int = 2
+    votes: int = 1
     seed: int = 20240
 
     def fitting(self, size: int) -> Scheme:

@@ -50,6 +50,20 @@ def test_planted_passages(spark):
     assert len(want - got) <= 1 and not got - want
 
 
+def test_changed_passages_of_short_items_are_found(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randrange(70, 100)), "x") for i in range(40)]
+    docs = []
+    for d in range(160):
+        w = items[d % 40][1].split()
+        part = w[10 : 10 + round(0.45 * len(w))]
+        for j in rng.sample(range(len(part)), len(part) // 10):
+            part[j] = f"changed{j}"
+        docs.append((d, " ".join([prose(rng, 150), *part, prose(rng, 150)]), 5))
+    got = {(r.doc_id, r.item_id) for r in leaked(spark.createDataFrame(docs, D), spark.createDataFrame(items, I)).collect()}
+    assert got == {(d, d % 40) for d in range(160)}
+
+
 def test_long_text_and_empty(spark):
     rng = random.Random(9)
     item = prose(rng, 100)
