@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karyon.functions.ids import clean_id, known_parent
-from karyon.operators.hierarchy import hierarchy
+from karyon.operators.hierarchy import descendants, hierarchy, paths
 from karyon.operators.parsing import bad_lines, typed_rows
 from karyon.operators.references import orphan_references, orphan_report
 from karyon.plans.workspace import Workspace
@@ -44,6 +44,18 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_hierarchy(spark, sf).where("parent is not null").select("tab", "line", "id", "root", "depth")
 
 
+def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
+    ws = Workspace(spark, "p3")
+    tab = F.split("grp", "/")
+    return paths(ws.save(hierarchy(lines_of_descent(spark, sf), ws), "tree"), ws).select(tab[0].alias("tab"), tab[1].alias("line"), "id", "path")
+
+
+def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    ws = Workspace(spark, "p3")
+    tree, tab = ws.save(hierarchy(lines_of_descent(spark, sf), ws), "tree"), F.split("grp", "/")
+    return descendants(tree, tree).select(tab[0].alias("tab"), tab[1].alias("line"), "id", "descendant")
+
+
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     fam, hk = table(spark, sf, "fam"), table(spark, sf, "hk_pedigree")
     parents = fam.select(F.lit("fam").alias("tab"), clean_id("member_id").alias("id"), F.col("received_at").alias("at"), F.col("fam_row").alias("seq"), F.col("record_state").alias("state")).unionByName(
@@ -78,7 +90,7 @@ def p6_bim_rows(spark: SparkSession, sf: str) -> DataFrame:
     return typed_rows(table(spark, sf, "plink_raw"), "bim").select("line_id", "contig", "variant_id", "cm_pos", "pos", "a1", "a2")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p5_found, p5_report, p6_found, p6_fam_rows, p6_bim_rows)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_paths, p3_descendants, p5_found, p5_report, p6_found, p6_fam_rows, p6_bim_rows)}
 
 _LINES = """
 kin as (select * from (select id, father, mother, row_number() over (partition by id order by recorded_at desc nulls last, kin_row desc) rn from kin_pedigree where id is not null) where rn = 1),

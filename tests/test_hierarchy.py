@@ -70,3 +70,17 @@ def test_empty_nulls_and_clashing_columns(spark, ws):
     odd = make(spark, {1: None, 2: 1}).unionByName(spark.createDataFrame([("g", None, 1)], "grp string, id long, parent long"))
     odd = odd.withColumn("root", F.lit("x")).withColumn("size", F.lit(None).cast("string")).withColumn("ptr", F.lit(1))
     assert {(r.id, r.root, r.depth) for r in hierarchy(odd, ws).collect()} == {(1, 1, 0), (2, 1, 1)}
+
+
+def test_queries_give_paths_and_descendants_of_all(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    at = "timestamp '2020-01-01'"
+    kin = f"select id as kin_row, id, father, cast(0 as bigint) as mother, {at} as recorded_at from values (1L, 0L), (2L, 1L), (3L, 2L), (4L, 1L), (5L, 6L), (6L, 5L) as t(id, father)"
+    spark.sql(kin).write.parquet(f"{tmp_path}/kin_pedigree.parquet")
+    spark.sql(f"select 1L as hk_row, 9L as indiv_id, cast(null as bigint) as sire_id, {at} as recorded_at").write.parquet(f"{tmp_path}/hk_pedigree.parquet")
+    got = {(r.line, r.id): r.path for r in queries()["p3_paths"](spark, str(tmp_path)).collect()}
+    father = {1: "1", 2: "1/2", 3: "1/2/3", 4: "1/4", 5: None, 6: None}
+    assert got == {("father", k): v for k, v in father.items()} | {("mother", k): str(k) for k in father} | {("sire", 9): "9"}
+    below = {(r.tab, r.line, r.id, r.descendant) for r in queries()["p3_descendants"](spark, str(tmp_path)).collect()}
+    assert below == {("kin_pedigree", "father", a, b) for a, b in ((1, 2), (1, 3), (1, 4), (2, 3))}
