@@ -202,7 +202,7 @@ def truncated(
     texts = documents.where("doc_id is not null and text is not null").where(F.col("text").rlike(r"(?U)\S"))
     texts = texts.select("doc_id", F.lower(F.coalesce("lang", F.lit("?"))).alias("lang"), "text")
     tails = ws.save(
-        texts.select("doc_id", "lang", F.regexp_replace(F.substring("text", -900, 900), r"(?U)\s+\z", "").alias("tail"), F.octet_length("text").alias("size")),
+        texts.select("doc_id", "lang", F.substring(F.regexp_replace("text", r"(?U)(?<!\s)\s+\z", ""), -900, 900).alias("tail"), F.octet_length("text").alias("size")),
         "tails",
         n=F.count(F.lit(1)),
     )

@@ -52,5 +52,14 @@ def test_cut_texts_are_found(spark, ws):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
+def test_padded_texts_are_judged_by_their_end(spark, ws):
+    rng = random.Random(13)
+    say = lambda: f"the clerk gave the {rng.choice(['keys', 'book', 'letter'])} to the {rng.choice(['buyer', 'court', 'owner'])}."
+    docs = [(d, " ".join(say() for _ in range(30)), "en", "") for d in range(400)]
+    docs += [(1000, docs[0][1] + " " * 2000, "en", ""), (1001, docs[1][1] + " \n\t" * 500, "en", "")]
+    cut = {r.doc_id: r.cut for r in truncated(spark.createDataFrame(docs, S), ws).collect()}
+    assert not cut[1000] and not cut[1001]
+
+
 def test_empty(spark, ws):
     assert truncated(spark.createDataFrame([], S), ws).count() == 0
