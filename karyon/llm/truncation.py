@@ -188,7 +188,8 @@ def truncated(
 
     ``documents``: doc_id, text, lang. ``log_odds``: log of (texts that end after
     the final context) against (times it goes on), over the same for any position
-    of the language; ``cut`` where it is below log(``odds``). Ends that are
+    of the language; ``cut`` where it is below log(``odds``). Contexts are counted
+    over all languages together: only the rate at any position is per language. Ends that are
     literally alike count once, and a text's own end doesn't count for it.
 
     Folded last lines that end at least ``line_share`` of the texts (three at
