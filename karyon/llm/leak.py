@@ -4,11 +4,13 @@ Words are hashed and windows of words embedded by random walks (the CGK
 embedding): at each step the walk emits its word and advances or not by a random
 bit of the word, so that two walks meet again after insertions and deletions and
 edit distance becomes Hamming distance. A few sampled steps of a walk are one
-LSH key; several independent walks raise recall. Windows that share keys with an
-item are verified by an exact alignment of the two word sequences.
+LSH key. Windows have a seventh to a fourteenth of an item's words, and as many
+independent walks are taken as reach a stated recall on simulated passages.
+Where a window shares a key with an item, the two word sequences are aligned
+exactly: the alignment with the most matches less half the edits.
 
-Only the items' keys are sent to the tasks, in blocks of bounded size; documents
-are read once per block and never shuffled.
+Items of bounded size travel to the documents, which are then read once and never
+shuffled. Beyond that bound the keys of both meet in one shuffled join.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,39 +26,57 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karyon.plans.workspace import Workspace
+
 _WORD = re.compile(r"[^\W_]+")
-_PAD = 96  # words of padding after each text; no walk is longer
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Walks: how many, over about how many words, sampled at how many steps.
-
-    ``anchor``: windows start at words whose hash is 0 modulo it, in items and
-    documents alike. ``share``: the part of an item's words that makes a case.
-    ``votes``: different windows that must agree before an alignment is made.
-    """
+    """``share``: the part of an item's words that makes a case. ``samples``: steps
+    that one key takes. ``target``: share of simulated cases, with ``edits`` of the
+    words changed, that must share a key with their item; ``most_walks`` bounds the
+    walks taken for it."""
 
-    walks: int = 8
-    span: int = 20
-    samples: int = 10
-    anchor: int = 1
     share: float = 1 / 3
-    votes: int = 1
+    samples: int = 8
+    target: float = 0.98
+    edits: float = 0.2
+    most_walks: int = 32
+    trials: int = 150
     seed: int = 20240
 
-    def fitting(self, size: int) -> Scheme:
-        """This scheme, with windows short enough for the shortest case of an item of ``size`` words."""
-        span = next((x for x in (self.span, 12, 6, 3, 1) if x <= self.span and x <= max(1, size * self.share)), 1)
-        return self if span == self.span else replace(self, span=span, samples=min(self.samples, span), votes=min(self.votes, span), anchor=min(self.anchor, max(1, span // 4)))
+    def fitting(self, size: int) -> Walks:
+        """Windows for an item of ``size`` words, with all walks that may be taken."""
+        return Walks(span_for(size), self.most_walks, self.samples, self.seed)
+
+
+@dataclass(frozen=True)
+class Walks:
+    """Windows of ``span`` words, embedded by ``count`` walks of twice as many steps."""
+
+    span: int
+    count: int
+    samples: int
+    seed: int
 
     @property
     def steps(self) -> int:
         return 2 * self.span
 
-    def sampled(self) -> list[list[int]]:
-        rng = np.random.default_rng(self.seed)
-        return [sorted(rng.choice(self.steps, self.samples, replace=False).tolist()) for _ in range(self.walks)]
+    def sampled(self) -> list[set[int]]:
+        rng = np.random.default_rng([self.seed, self.span])
+        return [set(rng.choice(self.steps, min(self.samples, self.steps), replace=False).tolist()) for _ in range(self.count)]
+
+
+def span_for(size: int) -> int:
+    """Window length for an item of ``size`` words: the largest of 10, 20, 40, ... up to a seventh; 5, 2 or 1 for short ones."""
+    span = next((s for s in (5, 2) if s * 7 <= size), 1)
+    step = 10
+    while step * 7 <= size:
+        span, step = step, step * 2
+    return span
 
 
 def words(text: str) -> list[str]:
@@ -90,90 +110,130 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def walk_keys(h: np.ndarray, starts: np.ndarray, s: Scheme) -> np.ndarray:
-    """LSH keys: walks x starts. ``h`` ends in padding."""
-    out = np.empty((s.walks, len(starts)), np.uint64)
-    one = np.uint64(1)
-    for w, picked in enumerate(s.sampled()):
-        bits = _mix(h, 1_000_003 * (w + 1))
-        at, key = starts.copy(), np.full(len(starts), w + 1, np.uint64)
-        want = set(picked)
-        for j in range(max(picked) + 1):
-            if j in want:
-                key = (key + h[at]) * np.uint64(0xD6E8FEB86659FD93)
-                key ^= key >> np.uint64(31)
-            at += ((bits[at] >> np.uint64(j)) & one).astype(np.int64)
-        out[w] = key
+def walk_keys(h: np.ndarray, w: Walks, piece: int = 16384) -> np.ndarray:
+    """The key of each walk from each position: walks x positions.
+
+    A walk's key is put together from its last step to its first: the key from
+    step j on is that of the same or of the next word from step j + 1 on. So all
+    positions are walked at once, without following any.
+    """
+    out = np.empty((w.count, len(h)), np.uint64)
+    picked = w.sampled()
+    for a in range(0, len(h), piece):
+        part = h[a : a + piece + w.steps]
+        size = min(piece, len(h) - a)
+        for i, want in enumerate(picked):
+            key, bits = np.full(len(part), i + 1, np.uint64), None
+            for j in range(w.steps - 1, -1, -1):
+                if bits is None or j % 64 == 63:
+                    bits = _mix(part, 1_000_003 * (i + 1) + j // 64)
+                if len(part) > 1:
+                    go = (bits[:-1] & np.uint64(1 << (j % 64))) != 0
+                    key[:-1] = np.where(go, key[1:], key[:-1])
+                if j in want:
+                    key += part
+                    key *= _ODD
+                    key ^= key >> np.uint64(31)
+            out[i, a : a + size] = key[:size]
     return out
 
 
-def join_texts(hashes: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One array with padding after each text; where each text begins."""
-    pad, parts, begins, at = np.zeros(_PAD, np.uint64), [], [], 0
+def join_texts(hashes: Iterable[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """One array with ``pad`` empty words after each text; where each text begins."""
+    gap, parts, begins, at = np.zeros(pad, np.uint64), [], [], 0
     for h in hashes:
         begins.append(at)
-        parts += [h, pad]
-        at += len(h) + _PAD
-    return (np.concatenate(parts) if parts else pad), np.array(begins, np.int64)
+        parts += [h, gap]
+        at += len(h) + pad
+    return (np.concatenate(parts) if parts else gap), np.array(begins, np.int64)
 
 
-def anchors(h: np.ndarray, s: Scheme) -> np.ndarray:
-    """Window starts: chosen by the word's hash, with a whole window before the padding."""
-    start = (h != 0) & ((h >> np.uint64(17)) % np.uint64(s.anchor) == 0)
+def window_starts(h: np.ndarray, span: int) -> np.ndarray:
+    """Whether a whole window of words, without padding, begins at a position."""
     whole = np.zeros(len(h), bool)
-    whole[: len(h) - s.span + 1] = h[s.span - 1 :] != 0
-    return np.flatnonzero(start & whole).astype(np.int64)
-
+    if len(h) >= span:
+        whole[: len(h) - span + 1] = (h[: len(h) - span + 1] != 0) & (h[span - 1 :] != 0)
+    return whole
 
-_STEP = 0.5
 
+def _changed(rng: np.random.Generator, h: np.ndarray, rate: float) -> np.ndarray:
+    """Words replaced (three of five changes), left out or put in."""
+    what, new = rng.random(len(h)), rng.integers(1, 1 << 62, len(h), dtype=np.uint64)
+    pairs = np.stack([np.where(what < 0.6 * rate, new, h), new], 1)
+    keep = np.stack([(what < 0.6 * rate) | (what >= 0.8 * rate), (what >= 0.8 * rate) & (what < rate)], 1)
+    return pairs[keep]
 
-def _trace(score: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
-    """Words of ``a`` that the best path of a score matrix matches."""
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    hits = 0
-    while i and j and score[i, j] > 0:
-        same = a[i - 1] == b[j - 1]
-        if abs(score[i, j] - (score[i - 1, j - 1] + (1.0 if same else -_STEP))) < 1e-3:
-            hits += int(same)
-            i, j = i - 1, j - 1
-        elif abs(score[i, j] - (score[i - 1, j] - _STEP)) < 1e-3:
-            i -= 1
-        else:
-            j -= 1
-    return hits
 
+def walks_needed(sizes: list[int], span: int, s: Scheme) -> Walks:
+    """As many walks as let ``target`` of simulated cases share a key with their item.
 
-def align(pairs: list[tuple[np.ndarray, np.ndarray]], least: list[float], batch: int = 32) -> list[tuple[int, float]]:
+    A case has as many words as leave ``share`` of the item's when ``edits`` of
+    them are changed; all words are different.
+    """
+    rng = np.random.default_rng([s.seed, span])
+    at, items, cases = 0, [], []
+    for t in range(s.trials):
+        size = max(1, sizes[t % len(sizes)])
+        item = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+        length = min(size, max(span, int(np.ceil(size * s.share / (1 - s.edits)))))
+        at = int(rng.integers(0, size - length + 1))
+        items.append(item)
+        cases.append(_changed(rng, item[at : at + length], s.edits))
+    full = Walks(span, s.most_walks, s.samples, s.seed)
+    got = []
+    for group in (items, cases):
+        h, begins = join_texts(group, full.span)
+        starts = np.flatnonzero(window_starts(h, span))
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        got.append((walk_keys(h, full)[:, starts], owner))
+    met, n = np.zeros(s.trials, bool), 0
+    (a, own_a), (b, own_b) = got
+    while n < s.most_walks:
+        mine, theirs = _mix(a[n] ^ own_a.astype(np.uint64) * _ODD, 1), _mix(b[n] ^ own_b.astype(np.uint64) * _ODD, 1)
+        met[own_b[np.isin(theirs, mine)]] = True
+        n += 1
+        if met.mean() >= s.target:
+            break
+    return Walks(span, n, s.samples, s.seed)
+
+
+def align(pairs: list[tuple[np.ndarray, np.ndarray]], least: list[float] | None = None, batch: int = 32) -> list[tuple[int, float]]:
     """For each (a, b): words of ``a`` matched in order by the best local alignment, and its score.
 
     A match counts 1; another word, one too many or one too few cost 1/2 each, so
-    that redacted names and page headers inside a passage are bridged. Exact. The
-    words are counted only for scores of ``least`` or more, else 0. Pairs are
-    aligned side by side.
+    that redacted names and page headers inside a passage are bridged. Among equal
+    scores the most words count; words of scores under ``least`` are given as 0. Exact. Score and words travel in one number, so
+    that two rows of the matrix are all that is held: memory grows with the length
+    of ``b``, not with the product. Pairs are aligned side by side.
     """
     out: list[tuple[int, float]] = [(0, 0.0)] * len(pairs)
     order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
     for at in range(0, len(order), batch):
         picked = order[at : at + batch]
         rows, cols = max(len(pairs[k][0]) for k in picked), max(len(pairs[k][1]) for k in picked)
+        small = rows < 1 << 14 and 2 * rows + cols < 1 << 16
+        kind, shift = (np.int32, 14) if small else (np.int64, 30)
+        one = kind(1 << shift)
         a, b = np.zeros((len(picked), rows), np.uint64), np.full((len(picked), cols), 2, np.uint64)
         for x, k in enumerate(picked):
             a[x, : len(pairs[k][0])], b[x, : len(pairs[k][1])] = pairs[k]
-        score = np.zeros((len(picked), rows + 1, cols + 1), np.float32)
-        ramp = (np.arange(cols + 1) * _STEP).astype(np.float32)
-        gain = np.array([-_STEP, 1.0], np.float32)
+        # Twice the score above ``shift`` bits, matched words below.
+        was = np.zeros((len(picked), cols + 1), kind)
+        ramp = np.arange(cols + 1, dtype=kind) * one
+        gain = np.array([-one, 2 * one + 1], kind)
+        top = np.zeros(len(picked), kind)
         for i in range(rows):
-            was, t = score[:, i], score[:, i + 1]
-            np.maximum(was[:, :-1] + gain[(b == a[:, i : i + 1]).view(np.int8)], was[:, 1:] - _STEP, out=t[:, 1:])
-            np.maximum(t, 0, out=t)
+            t = np.zeros_like(was)
+            np.maximum(was[:, :-1] + gain[(b == a[:, i : i + 1]).view(np.int8)], was[:, 1:] - one, out=t[:, 1:])
+            t[t < one] = 0
             t += ramp
             np.maximum.accumulate(t, axis=1, out=t)
             t -= ramp
-        top = score.reshape(len(picked), -1).max(1)
+            np.maximum(top, t.max(1), out=top)
+            was = t
         for x, k in enumerate(picked):
-            hits = _trace(score[x], a[x], b[x]) if top[x] >= least[k] else 0
-            out[k] = (hits, float(top[x]))
+            score = (int(top[x]) >> shift) / 2
+            out[k] = (int(top[x]) & ((1 << shift) - 1) if least is None or score >= least[k] else 0, score)
     return out
 
 
@@ -187,6 +247,7 @@ class Item:
     def __init__(self, tokens: list[str], hasher: Hasher):
         self.tokens, self.hashes = tokens, hasher(tokens)
         self.known = set(tokens)
+        self.sorted = np.unique(self.hashes)
         self.near: dict[str, str] | None = None
 
     def corrected(self, tokens: list[str]) -> list[str]:
@@ -200,136 +261,221 @@ class Item:
         near = self.near
         return [t if t in self.known or len(t) < 2 else next((near[x] for x in _deletes(t) if x in near), t) for t in tokens]
 
+    def shared(self, h: np.ndarray) -> int:
+        """Words of ``h`` that the item has: no alignment matches more."""
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return int((self.sorted[at] == h).sum())
+
+    def places(self, tokens: list[str], shift: np.ndarray) -> Iterator[list[str]]:
+        """The parts of a text around windows whose (sorted) shifts against the item are about the same."""
+        size = len(self.tokens)
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(shift) > size // 2 + 8, [True]]))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            yield tokens[max(0, int(shift[x]) - size // 4 - 16) : max(0, int(shift[y - 1]) + size + size // 4 + 40)]
+
+
+def verify(todo: list[tuple[int, int, list[str]]], items: list[Item], hasher: Hasher, share: float) -> set[tuple[int, int]]:
+    """(text, item) of the parts (text, item, words) that are cases.
+
+    A case has ``share`` of the item's words and a score of 0.6 or more for each.
+    What falls short, but scores a third of what is due, may hold misread words:
+    it is aligned again with those corrected.
+    """
+    found: set[tuple[int, int]] = set()
+    for again in (False, True):
+        pairs, kept = [], []
+        for d, i, part in todo:
+            if (d, i) not in found:
+                part = items[i].corrected(part) if again else part
+                h = hasher(part)
+                if items[i].shared(h) >= share * len(items[i].tokens) / 3:
+                    pairs.append((items[i].hashes, h))
+                    kept.append((d, i, part))
+        todo = []
+        for (d, i, part), (hits, score) in zip(kept, align(pairs)):
+            due = share * len(items[i].tokens)
+            if hits >= due and score >= 0.6 * hits:
+                found.add((d, i))
+            elif score >= due / 3:
+                todo.append((d, i, part))
+    return found
+
 
 class Finder:
-    """The keys of a block of items, and the search of documents for them."""
-
-    def __init__(self, items: list[tuple[int, str]], s: Scheme):
-        self.s, self.hasher = s, Hasher()
-        self.items = {i: Item(words(t), self.hasher) for i, t in items}
-        self.ids = [i for i in self.items if len(self.items[i].tokens)]
-        h, begins = join_texts(self.items[i].hashes for i in self.ids)
-        at = anchors(h, s)
+    """The keys of items with windows of one length, and the search of documents for them."""
+
+    def __init__(self, items: list[Item], w: Walks, share: float, hasher: Hasher):
+        self.w, self.share, self.hasher, self.items = w, share, hasher, items
+        h, begins = join_texts((i.hashes for i in items), w.span)
+        at = np.flatnonzero(window_starts(h, w.span))
         owner = np.searchsorted(begins, at, side="right") - 1
-        keys = walk_keys(h, at, s)
-        flat = keys.ravel()
+        flat = walk_keys(h, w)[:, at].ravel()
         order = np.argsort(flat, kind="stable")
         self.keys = flat[order]
-        self.owner = np.tile(owner, s.walks)[order]
-        self.place = np.tile(at - begins[owner] if len(at) else at, s.walks)[order]
-        self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+        self.owner = np.tile(owner, w.count)[order]
+        self.place = np.tile(at - begins[owner] if len(at) else at, w.count)[order]
+        self.bitmap = np.zeros(1 << 23, bool)
+        self.bitmap[(self.keys >> np.uint64(41)).view(np.int64)] = True
 
-    def candidates(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document window, item, place in item) for each shared key."""
-        at = anchors(h, self.s)
+        starts = window_starts(h, self.w.span)
         pos, own, place = [], [], []
-        for row in walk_keys(h, at, self.s):
-            likely = np.flatnonzero(self.bitmap[(row >> np.uint64(42)).astype(np.int64)])
+        for row in walk_keys(h, self.w):
+            likely = np.flatnonzero(self.bitmap[(row >> np.uint64(41)).view(np.int64)] & starts)
             lo = np.searchsorted(self.keys, row[likely], "left")
             n = np.searchsorted(self.keys, row[likely], "right") - lo
             hit = n > 0
             n, lo, likely = n[hit], lo[hit], likely[hit]
             pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos.append(np.repeat(at[likely], n))
+            pos.append(np.repeat(likely, n))
             own.append(self.owner[pick])
             place.append(self.place[pick])
         return np.concatenate(pos), np.concatenate(own), np.concatenate(place)
 
-    def search(self, tokens: list[list[str]]) -> list[tuple[int, int]]:
-        """(index of text, item id) of every case in the texts' words."""
-        h, begins = join_texts(self.hasher(t) for t in tokens)
+    def search(self, tokens: list[list[str]], hashes: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(index of text, index of item) of every case in the texts' words."""
+        h, begins = join_texts(hashes, self.w.span)
         pos, own, place = self.candidates(h)
         if not len(pos):
-            return []
+            return set()
         doc = np.searchsorted(begins, pos, side="right") - 1
-        order = np.lexsort((pos - place, own, doc))
-        doc, own, pos, place = doc[order], own[order], pos[order], place[order]
+        shift = pos - begins[doc] - place
+        order = np.lexsort((shift, own, doc))
+        doc, own, shift = doc[order], own[order], shift[order]
         edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]), [True]]))
-        todo = []
-        for x, y in zip(edges[:-1], edges[1:]):
-            d, item = int(doc[x]), self.ids[own[x]]
-            todo += [(d, item, part) for part in self._places(tokens[d], pos[x:y] - begins[d], place[x:y], self.items[item])]
-        found, rest = self._verify(todo)
-        # What falls short, but not by far, may hold misread words.
-        again = [(d, i, self.items[i].corrected(part)) for d, i, part in rest if (d, i) not in found]
-        return sorted(found | self._verify(again)[0])
-
-    def _places(self, tokens: list[str], pos: np.ndarray, place: np.ndarray, item: Item) -> Iterator[list[str]]:
-        """The parts of a text around windows whose shift against the item is about the same."""
-        size = len(item.tokens)
-        shift = pos - place
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(shift) > size // 2 + 8, [True]]))
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            if len(set(pos[x:y].tolist())) >= self.s.votes:
-                yield tokens[max(0, int(shift[x]) - size // 4 - 16) : int(shift[y - 1]) + size + size // 4 + 40]
+        todo = [(int(doc[x]), int(own[x]), part) for x, y in zip(edges[:-1], edges[1:]) for part in self.items[own[x]].places(tokens[doc[x]], shift[x:y])]
+        return verify(todo, self.items, self.hasher, self.share)
 
-    def _verify(self, todo: list[tuple[int, int, list[str]]]) -> tuple[set, list]:
-        """Cases among (text, item, part), and those whose score reaches a third of what is due."""
-        pairs = [(self.items[i].hashes, self.hasher(part)) for _, i, part in todo]
-        due = [self.s.share * len(p[0]) for p in pairs]
-        got = align(pairs, [0.6 * x for x in due])
-        good = [hits >= x and score >= 0.6 * hits for (hits, score), x in zip(got, due)]
-        found = {(d, i) for (d, i, _), ok in zip(todo, good) if ok}
-        return found, [t for t, ok, (_, score), x in zip(todo, good, got, due) if not ok and score >= x / 3]
 
+def _chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of about ``chars`` characters."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
 
-def finders_for(items: list[tuple[int, str]], s: Scheme) -> list[Finder]:
-    """One finder for each window length that the items need."""
-    groups: dict[Scheme, list[tuple[int, str]]] = defaultdict(list)
-    for i, t in items:
-        groups[s.fitting(len(words(t)))].append((i, t))
-    return [Finder(g, fit) for fit, g in groups.items()]
 
+def _plan(sizes: DataFrame, s: Scheme) -> dict[int, Walks]:
+    """The walks for each window length in use; ``sizes`` has size (words) and n, a row per size."""
+    by_span: dict[int, list[int]] = defaultdict(list)
+    for r in sizes.orderBy("size").collect():  # as many rows as there are different sizes
+        by_span[span_for(r["size"])].append(r["size"])
+    return {span: walks_needed(found, span, s) for span, found in by_span.items()}
 
-def leaked(documents: DataFrame, items: DataFrame, scheme: Scheme = Scheme(), block: int = 2000, chunk_chars: int = 2_000_000) -> DataFrame:
+
+def leaked(documents: DataFrame, items: DataFrame, scheme: Scheme = Scheme(), held_words: int = 500_000, chunk_chars: int = 2_000_000, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, item_id) of each document that carries a passage of an item.
 
     ``documents``: doc_id, text; ``items``: item_id, item_text; other columns are
     ignored. A case: at least ``scheme.share`` of the item's words stand in one
-    place of the text, in order, by the alignment of :func:`align` with score of
+    place of the text, in order, by the alignment of :func:`align` with a score of
     0.6 or more per matched word. Null, blank and wordless texts and items give
-    none; a document is reported once per item. Items are taken in blocks of
-    ``block`` texts, each of which is what a task holds; whole texts are read.
+    none; a document is reported once per item; texts that have one item_id are
+    items of their own, reported under it. Whole texts are read.
+
+    Items of up to ``held_words`` words are broadcast and the documents read in one
+    pass. Beyond that the keys are joined: see :func:`_joined`.
     """
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     held = items.where("item_id is not null and item_text is not null").select("item_id", "item_text").distinct()
-    spark, result = documents.sparkSession, None
-    blocks = _blocks(held, block)
-    for part in blocks:
-        shared = spark.sparkContext.broadcast(part)
-
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            finders = finders_for(shared.value, scheme)
-            for b in batches:
-                ids, all_texts = b["doc_id"].to_numpy(), b["text"].tolist()
-                out, at = defaultdict(list), 0
-                while at < len(all_texts):
-                    end, size = at, 0
-                    while end < len(all_texts) and (end == at or size + len(all_texts[end]) <= chunk_chars):
-                        size += len(all_texts[end])
-                        end += 1
-                    tokens = [words(t) for t in all_texts[at:end]]
-                    for finder in finders:
-                        for i, item in finder.search(tokens):
-                            out["doc_id"].append(ids[at + i])
-                            out["item_id"].append(item)
-                    at = end
-                yield pd.DataFrame({"doc_id": np.array(out["doc_id"], np.int64), "item_id": np.array(out["item_id"], np.int64)})
-
-        got = texts.mapInPandas(find, "doc_id bigint, item_id bigint")
-        result = got if result is None else result.unionByName(got)
-    if result is None:
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "item_text": b["item_text"], "size": [len(words(t)) for t in b["item_text"]]})
+
+    ws = ws or Workspace(documents.sparkSession, "leak")
+    held = ws.save(held.mapInPandas(count, "item_id bigint, item_text string, size bigint").where("size > 0"), "items", words=F.sum("size"))
+    total = held.facts["words"] or 0
+    if not total:
         return texts.limit(0).select("doc_id", F.lit(0).cast("bigint").alias("item_id"))
-    return result.distinct()
-
-
-def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
-    for r in items.toLocalIterator():
-        block.append((r["item_id"], r["item_text"]))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+    walks = _plan(held.groupBy("size").agg(F.count("*").alias("n")), scheme)
+    if total > held_words:
+        return _joined(texts, held, walks, scheme, ws)
+    shared = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["item_text"], r["size"]) for r in held.select("item_id", "item_text", "size").collect()])
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, groups = Hasher(), defaultdict(list)
+        for i, t, size in shared.value:
+            groups[span_for(size)].append((i, Item(words(t), hasher)))
+        finders = [([i for i, _ in g], Finder([x for _, x in g], walks[span], scheme.share, hasher)) for span, g in groups.items()]
+        for b in batches:
+            ids, all_texts, out = b["doc_id"].to_numpy(), b["text"].tolist(), []
+            for at, end in _chunks(all_texts, chunk_chars):
+                tokens = [words(t) for t in all_texts[at:end]]
+                hashes = [hasher(t) for t in tokens]
+                for names, finder in finders:
+                    out += [(ids[at + d], names[i]) for d, i in finder.search(tokens, hashes)]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype(np.int64)
+
+    return texts.mapInPandas(find, "doc_id bigint, item_id bigint").distinct()
+
+
+def _joined(texts: DataFrame, held: DataFrame, walks: dict[int, Walks], scheme: Scheme, ws: Workspace, bits: int = 26) -> DataFrame:
+    """The search for items of any number: keys of windows meet in a join.
+
+    A bitmap of 2^``bits`` keys, put together per word of 64 before it is sent,
+    keeps keys that no item has from the shuffle; it drops none that one has. Only
+    documents that share a key are shuffled, once for each item they may carry.
+    """
+    spark = ws.spark
+    named = ws.save(held.withColumn("item", F.concat_ws("-", F.col("item_id").cast("string"), F.md5("item_text"))), "named")
+
+    def keys_of(text: str, hasher: Hasher, only: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        h = hasher(words(text))
+        for span, w in walks.items():
+            if only in (None, span):
+                full, _ = join_texts([h], span)
+                at = np.flatnonzero(window_starts(full, span))
+                if len(at):
+                    for row in walk_keys(full, w):
+                        yield (row[at] * np.uint64(2 * span + 1)).view(np.int64), at
+
+    def item_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for b in batches:
+            for item, t, size in zip(b["item"], b["item_text"], b["size"]):
+                for keys, at in keys_of(t, hasher, span_for(size)):
+                    yield pd.DataFrame({"key": keys, "item": item, "place": at})
+
+    known = ws.save(named.mapInPandas(item_keys, "key bigint, item string, place bigint"), "keys")
+    slots = known.select(F.shiftrightunsigned("key", 64 - bits).alias("slot"))
+    cells = slots.select(F.shiftright("slot", 6).alias("cell"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bit"))
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    filled = cells.toPandas()  # 2^(bits - 6) rows at most
+    bitmap[filled["cell"].to_numpy(np.int64)] = filled["bit"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def doc_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, held_bits = Hasher(), sent.value
+        for b in batches:
+            for d, t in zip(b["doc_id"], b["text"]):
+                for keys, at in keys_of(t, hasher):
+                    slot = keys.view(np.uint64) >> np.uint64(64 - bits)
+                    there = (held_bits.view(np.uint64)[(slot >> np.uint64(6)).view(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                    if there.any():
+                        yield pd.DataFrame({"key": keys[there], "doc_id": d, "pos": at[there]})
+
+    met = texts.mapInPandas(doc_keys, "key bigint, doc_id bigint, pos bigint").join(known, "key").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift")).distinct()
+    met = ws.save(met, "met")
+    # Shifts of one (document, item): as many as the document has words at most.
+    pairs = met.groupBy("doc_id", "item").agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
+    docs = texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    whole = pairs.join(docs, "doc_id").join(named.select("item", "item_id", "item_text"), "item")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for b in batches:
+            out = []
+            for d, i, t, it, shifts in zip(b["doc_id"], b["item_id"], b["text"], b["item_text"], b["shifts"]):
+                item, tokens = Item(words(it), hasher), words(t)
+                todo = [(0, 0, part) for part in item.places(tokens, np.asarray(shifts, np.int64))]
+                if verify(todo, [item], hasher, scheme.share):
+                    out.append((d, i))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype(np.int64)
+
+    return whole.mapInPandas(check, "doc_id bigint, item_id bigint").distinct()

@@ -1,8 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 
-from karyon.llm.leak import Scheme, align, leaked, words
+from karyon.llm.leak import Scheme, align, leaked, span_for, walks_needed, words
 
 D, I = "doc_id long, text string, item_id long", "item_id long, item_text string, text string"  # noqa: E741
 
@@ -46,8 +47,9 @@ def test_planted_passages(spark):
         docs.append((d, "\n ".join(body), 5))
     docs += [(1000, None, 5), (1001, "", 5), (1002, "so: ONE two, three four; five six seven!", 5), (1003, items[3][1], 5), (1003, items[3][1], 5)]
     want |= {(1002, 90), (1003, 3)}
-    got = {(r.doc_id, r.item_id) for r in leaked(spark.createDataFrame(docs, D), spark.createDataFrame(items, I), block=7).collect()}
-    assert len(want - got) <= 1 and not got - want
+    for held_words in (500_000, 100):  # broadcast, joined
+        got = {(r.doc_id, r.item_id) for r in leaked(spark.createDataFrame(docs, D), spark.createDataFrame(items, I), held_words=held_words).collect()}
+        assert got == want
 
 
 def test_changed_passages_of_short_items_are_found(spark):
@@ -74,6 +76,33 @@ def test_long_text_and_empty(spark):
     assert leaked(spark.createDataFrame([(7, long, 0)], D), spark.createDataFrame([], I)).count() == 0
 
 
+def test_texts_of_one_item_id_are_all_searched(spark):
+    rng = random.Random(21)
+    one, two = prose(rng, 90), prose(rng, 150)
+    docs = spark.createDataFrame([(1, prose(rng, 40) + " " + one, 0), (2, two + " " + prose(rng, 40), 0), (3, prose(rng, 300), 0)], D)
+    items = spark.createDataFrame([(5, one, "a"), (5, two, "b"), (5, two, "b")], I)
+    for held_words in (500_000, 10):
+        assert sorted(tuple(r) for r in leaked(docs, items, held_words=held_words).collect()) == [(1, 5), (2, 5)]
+
+
+def test_an_item_of_ten_thousand_words_in_little_memory():
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 1 << 60, 10_000).astype(np.uint64)
+    b = np.concatenate([rng.integers(1, 1 << 60, 3000).astype(np.uint64), a[2000:7000], rng.integers(1, 1 << 60, 7000).astype(np.uint64)])
+    tracemalloc.start()
+    assert align([(a, b)]) == [(5000, 5000.0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
+def test_walks_reach_the_stated_recall():
+    s = Scheme()
+    for size in (40, 80, 160, 300, 1000):
+        w = walks_needed([size], span_for(size), s)
+        assert w.count < s.most_walks and size / 14 <= w.span <= size / 7
+
+
 def test_words():
     assert words("The Cr 12,300_x—ÉTÉ") == ["the", "cr", "12", "300", "x", "été"]
     assert Scheme().fitting(6).span <= 2
