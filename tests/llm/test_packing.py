@@ -1,8 +1,9 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from karyon.llm.packing import nnls, pack, plan
+from karyon.llm.packing import best_fit, nnls, pack, plan
 
 
 @settings(max_examples=40, deadline=None)
@@ -10,25 +11,36 @@ from karyon.llm.packing import nnls, pack, plan
 def test_plan_uses_each_item_once(sizes):
     hist = np.bincount(np.array(sizes, int), minlength=61)
     used = np.zeros(61, int)
-    for lengths, times in plan(hist, 60, window=3, most=200):
+    for lengths, times in plan(hist, 60, window=3, most=200)[0]:
         assert sum(lengths) <= 60
         for n in lengths:
             used[n] += times
     assert (used == hist).all()
 
 
-def test_little_waste():
-    rng = np.random.default_rng(0)
-    x = np.clip(rng.lognormal(6.3, 0.7, 20_000).astype(int), 1, 2048)
+@pytest.mark.parametrize("n", [10_000, 100_000])
+@pytest.mark.parametrize(("mean", "sd"), [(6.3, 0.7), (6.0, 1.0)])
+def test_least_squares_make_most_containers_and_waste_no_more_than_best_fit(n, mean, sd):
+    x = np.clip(np.random.default_rng(0).lognormal(mean, sd, n).astype(int), 1, 2048)
     hist = np.bincount(x, minlength=2049)
-    made = sum(t for _, t in plan(hist, 2048))
-    assert made <= 1.01 * np.ceil(x.sum() / 2048)
+    made, by_squares = plan(hist, 2048)
+    total = sum(t for _, t in made)
+    assert by_squares > 0.8 * total
+    assert total <= best_fit(hist, 2048).total()
+    assert total <= 1.01 * np.ceil(x.sum() / 2048)
 
 
 def test_nnls():
     rng = np.random.default_rng(1)
-    m, x = rng.random((30, 10)), np.maximum(0, rng.normal(size=10))
-    assert np.allclose(nnls(m, m @ x, 20_000), x, atol=1e-2)
+    combos = rng.integers(0, 30, (12, 3))
+    combos[:, 0] = np.arange(12) + 1
+    each = np.array([1, 1, 4])
+    x, m = np.maximum(0, rng.normal(size=12)), np.zeros((30, 12))
+    for j, c in enumerate(combos):
+        for n, k in zip(c, each):
+            m[n, j] += k if n else 0
+    got = nnls(combos, each, m @ x, np.ones(30), 20_000)
+    assert (got >= 0).all() and np.allclose(m @ got, m @ x, atol=1e-2)
 
 
 def test_places(spark, ws):
