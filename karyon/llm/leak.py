@@ -5,9 +5,10 @@ embedding): at each step the walk emits its word and advances or not by a random
 bit of the word, so that two walks meet again after insertions and deletions and
 edit distance becomes Hamming distance. A few sampled steps of a walk are one
 LSH key. Windows have a seventh to a fourteenth of an item's words, and as many
-independent walks are taken as reach a stated recall on simulated passages.
-Where a window shares a key with an item, the two word sequences are aligned
-exactly: the alignment with the most matches less half the edits.
+independent walks are taken as reach a stated recall on simulated passages. Of
+windows that share a key, those stay that have most words in common place by
+place, give or take one. There the two word sequences are aligned exactly: the
+alignment with the most matches less half the edits.
 
 Items of bounded size travel to the documents, which are then read once and never
 shuffled. Beyond that bound the keys of both meet in one shuffled join.
@@ -37,12 +38,14 @@ class Scheme:
     """``share``: the part of an item's words that makes a case. ``samples``: steps
     that one key takes. ``target``: share of simulated cases, with ``edits`` of the
     words changed, that must share a key with their item; ``most_walks`` bounds the
-    walks taken for it."""
+    walks taken for it. ``agree``: the part of a window's words that must be alike
+    place by place; simulated cases are held to it too."""
 
     share: float = 1 / 3
     samples: int = 8
     target: float = 0.98
     edits: float = 0.2
+    agree: float = 0.7
     most_walks: int = 32
     trials: int = 150
     seed: int = 20240
@@ -122,14 +125,17 @@ def walk_keys(h: np.ndarray, w: Walks, piece: int = 16384) -> np.ndarray:
     for a in range(0, len(h), piece):
         part = h[a : a + piece + w.steps]
         size = min(piece, len(h) - a)
+        swap = np.empty(max(0, len(part) - 1), np.uint64)
         for i, want in enumerate(picked):
-            key, bits = np.full(len(part), i + 1, np.uint64), None
+            key = np.full(len(part), i + 1, np.uint64)
             for j in range(w.steps - 1, -1, -1):
-                if bits is None or j % 64 == 63:
-                    bits = _mix(part, 1_000_003 * (i + 1) + j // 64)
-                if len(part) > 1:
-                    go = (bits[:-1] & np.uint64(1 << (j % 64))) != 0
-                    key[:-1] = np.where(go, key[1:], key[:-1])
+                if j == w.steps - 1 or j % 64 == 63:
+                    # The bit of a step stands on top: it becomes a mask by an arithmetic shift.
+                    bits = _mix(part, 1_000_003 * (i + 1) + j // 64).view(np.int64)[:-1] << np.int64(63 - j % 64)
+                np.bitwise_xor(key[1:], key[:-1], out=swap)
+                np.bitwise_and(swap, (bits >> np.int64(63)).view(np.uint64), out=swap)
+                key[:-1] ^= swap
+                bits <<= 1
                 if j in want:
                     key += part
                     key *= _ODD
@@ -156,6 +162,24 @@ def window_starts(h: np.ndarray, span: int) -> np.ndarray:
     return whole
 
 
+def matches(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (place in ``keys``, place in the sorted ``held``) of equal keys."""
+    lo = np.searchsorted(held, keys, "left")
+    n = np.searchsorted(held, keys, "right") - lo
+    hit = np.flatnonzero(n)
+    lo, n = lo[hit], n[hit]
+    return np.repeat(hit, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def alike(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, span: int, agree: float) -> np.ndarray:
+    """Whether windows at ``at`` of ``a`` and ``to`` of ``b`` have ``agree`` of their words in common, in the same place or the next."""
+    same, last = np.zeros(len(at), np.int32), len(b) - 1
+    for j in range(span):
+        w, x = a[at + j], to + j
+        same += (w == b[x]) | (w == b[np.maximum(x - 1, 0)]) | (w == b[np.minimum(x + 1, last)])
+    return same >= agree * span
+
+
 def _changed(rng: np.random.Generator, h: np.ndarray, rate: float) -> np.ndarray:
     """Words replaced (three of five changes), left out or put in."""
     what, new = rng.random(len(h)), rng.integers(1, 1 << 62, len(h), dtype=np.uint64)
@@ -184,13 +208,16 @@ def walks_needed(sizes: list[int], span: int, s: Scheme) -> Walks:
     for group in (items, cases):
         h, begins = join_texts(group, full.span)
         starts = np.flatnonzero(window_starts(h, span))
-        owner = np.searchsorted(begins, starts, side="right") - 1
-        got.append((walk_keys(h, full)[:, starts], owner))
+        owner = (np.searchsorted(begins, starts, side="right") - 1).astype(np.uint64)
+        got.append((h, starts, owner, walk_keys(h, full)[:, starts]))
     met, n = np.zeros(s.trials, bool), 0
-    (a, own_a), (b, own_b) = got
+    (h, starts, owner, keys), (h2, starts2, owner2, keys2) = got
     while n < s.most_walks:
-        mine, theirs = _mix(a[n] ^ own_a.astype(np.uint64) * _ODD, 1), _mix(b[n] ^ own_b.astype(np.uint64) * _ODD, 1)
-        met[own_b[np.isin(theirs, mine)]] = True
+        mine, theirs = _mix(keys[n] ^ owner * _ODD, 1), _mix(keys2[n] ^ owner2 * _ODD, 1)
+        order = np.argsort(mine)
+        k2, k = matches(mine[order], theirs)
+        good = alike(h, starts[order[k]], h2, starts2[k2], span, s.agree)
+        met[owner2[k2[good]].astype(np.int64)] = True
         n += 1
         if met.mean() >= s.target:
             break
@@ -202,38 +229,86 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]], least: list[float] | None
 
     A match counts 1; another word, one too many or one too few cost 1/2 each, so
     that redacted names and page headers inside a passage are bridged. Among equal
-    scores the most words count; words of scores under ``least`` are given as 0. Exact. Score and words travel in one number, so
-    that two rows of the matrix are all that is held: memory grows with the length
-    of ``b``, not with the product. Pairs are aligned side by side.
+    scores the most words count; words of scores under ``least`` are given as 0.
+    """
+    wide = []
+    for a, b in pairs:
+        gap = np.full(max(0, len(a) - 1), 2, np.uint64)
+        wide.append((a, np.concatenate([gap, b, gap])))
+    got = align_band(wide, batch)
+    return got if least is None else [(hits if score >= x else 0, score) for (hits, score), x in zip(got, least)]
+
+
+def align_band(pairs: list[tuple[np.ndarray, np.ndarray]], batch: int = 128) -> list[tuple[int, float]]:
+    """:func:`align` where word i of ``a`` can only meet words i to i + width of ``b``, width being len(b) - len(a).
+
+    Exact within the band. Score and words travel in one number and one row of the
+    band is all that is held, whatever the length of ``a``. Pairs are aligned side
+    by side. Words are odd numbers, but for those of ``b`` outside its text.
     """
     out: list[tuple[int, float]] = [(0, 0.0)] * len(pairs)
-    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
-    for at in range(0, len(order), batch):
-        picked = order[at : at + batch]
-        rows, cols = max(len(pairs[k][0]) for k in picked), max(len(pairs[k][1]) for k in picked)
+    width = [len(b) - len(a) + 1 for a, b in pairs]
+    order = sorted((k for k in range(len(pairs)) if len(pairs[k][0])), key=lambda k: (width[k], len(pairs[k][0])))
+    for begin in range(0, len(order), batch):
+        picked = order[begin : begin + batch]
+        rows, cols = max(len(pairs[k][0]) for k in picked), max(width[k] for k in picked)
         small = rows < 1 << 14 and 2 * rows + cols < 1 << 16
         kind, shift = (np.int32, 14) if small else (np.int64, 30)
         one = kind(1 << shift)
-        a, b = np.zeros((len(picked), rows), np.uint64), np.full((len(picked), cols), 2, np.uint64)
+        a, b = np.zeros((rows, len(picked), 1), np.uint64), np.full((len(picked), rows + cols - 1), 2, np.uint64)
         for x, k in enumerate(picked):
-            a[x, : len(pairs[k][0])], b[x, : len(pairs[k][1])] = pairs[k]
+            a[: len(pairs[k][0]), x, 0] = pairs[k][0]
+            b[x, : len(pairs[k][1])] = pairs[k][1]
         # Twice the score above ``shift`` bits, matched words below.
-        was = np.zeros((len(picked), cols + 1), kind)
-        ramp = np.arange(cols + 1, dtype=kind) * one
-        gain = np.array([-one, 2 * one + 1], kind)
-        top = np.zeros(len(picked), kind)
+        score = np.zeros((len(picked), cols + 1), kind)
+        ramp, gain, top = np.arange(cols, dtype=kind) * one, kind(3 * one + 1), np.zeros(len(picked), kind)
+        step, best = np.empty((len(picked), cols), kind), np.zeros((len(picked), cols), kind)
         for i in range(rows):
-            t = np.zeros_like(was)
-            np.maximum(was[:, :-1] + gain[(b == a[:, i : i + 1]).view(np.int8)], was[:, 1:] - one, out=t[:, 1:])
-            t[t < one] = 0
-            t += ramp
-            np.maximum.accumulate(t, axis=1, out=t)
-            t -= ramp
-            np.maximum(top, t.max(1), out=top)
-            was = t
+            here = score[:, :cols]
+            np.multiply(b[:, i : i + cols] == a[i], gain, out=step)
+            step += here
+            np.maximum(step, score[:, 1:], out=step)
+            step -= one
+            step *= step >= one
+            step += ramp
+            np.maximum.accumulate(step, axis=1, out=here)
+            here -= ramp
+            np.maximum(best, here, out=best)
+        np.maximum(top, best.max(1), out=top)
         for x, k in enumerate(picked):
-            score = (int(top[x]) >> shift) / 2
-            out[k] = (int(top[x]) & ((1 << shift) - 1) if least is None or score >= least[k] else 0, score)
+            out[k] = (int(top[x]) & ((1 << shift) - 1), (int(top[x]) >> shift) / 2)
+    return out
+
+
+def scores_band(pairs: list[tuple[np.ndarray, np.ndarray]], batch: int = 128) -> np.ndarray:
+    """The scores of :func:`align_band` without the words, in small numbers."""
+    out = np.zeros(len(pairs))
+    width = [len(b) - len(a) + 1 for a, b in pairs]
+    order = sorted((k for k in range(len(pairs)) if len(pairs[k][0])), key=lambda k: (width[k], len(pairs[k][0])))
+    for begin in range(0, len(order), batch):
+        picked = order[begin : begin + batch]
+        rows, cols = max(len(pairs[k][0]) for k in picked), max(width[k] for k in picked)
+        kind = np.int16 if 2 * rows + cols < 1 << 14 else np.int64
+        a, b = np.zeros((rows, len(picked), 1), np.uint64), np.full((len(picked), rows + cols - 1), 2, np.uint64)
+        for x, k in enumerate(picked):
+            a[: len(pairs[k][0]), x, 0] = pairs[k][0]
+            b[x, : len(pairs[k][1])] = pairs[k][1]
+        # Twice the score and the place in the band, so that a word too many is a step to the right at no cost.
+        ramp = np.arange(cols + 1, dtype=kind)
+        score = np.tile(ramp, (len(picked), 1))
+        best, step, up = score[:, :cols].copy(), np.empty((len(picked), cols), kind), np.empty((len(picked), cols), kind)
+        three, one = kind(3), kind(1)
+        for i in range(rows):
+            here = score[:, :cols]
+            np.multiply((b[:, i : i + cols] == a[i]).astype(kind), three, out=step)
+            step += here
+            np.subtract(score[:, 1:], one, out=up)
+            np.maximum(step, up, out=step)
+            step -= one
+            np.maximum(step, ramp[:cols], out=step)
+            np.maximum.accumulate(step, axis=1, out=here)
+            np.maximum(best, here, out=best)
+        out[picked] = (best - ramp[:cols]).max(1) / 2
     return out
 
 
@@ -241,41 +316,60 @@ def _deletes(w: str) -> set[str]:
     return {w[:i] + w[i + 1 :] for i in range(len(w))} | {w}
 
 
+class Speller:
+    """Item words that a misread word may stand for: those that become alike by leaving out one letter at most on either side."""
+
+    def __init__(self, known: set[str], bound: int = 1_000_000):
+        self.bound, self.seen, self.variants = bound, {}, defaultdict(set)
+        for t in known:
+            if len(t) > 2:
+                for x in _deletes(t):
+                    self.variants[x].add(t)
+
+    def __call__(self, token: str) -> tuple[str, ...]:
+        got = self.seen.get(token)
+        if got is None:
+            if len(self.seen) > self.bound:
+                self.seen.clear()
+            found = {t for x in _deletes(token) for t in self.variants.get(x, ())} if len(token) > 1 else ()
+            got = self.seen[token] = tuple(sorted(found))
+        return got
+
+
 class Item:
-    """One item's words, with the means to recognise misread ones."""
+    """One item's words."""
 
     def __init__(self, tokens: list[str], hasher: Hasher):
-        self.tokens, self.hashes = tokens, hasher(tokens)
-        self.known = set(tokens)
-        self.sorted = np.unique(self.hashes)
-        self.near: dict[str, str] | None = None
-
-    def corrected(self, tokens: list[str]) -> list[str]:
-        """Words one edit away from a word of the item stand for that word."""
-        if self.near is None:
-            self.near = {}
-            for t in sorted(self.known):
-                if len(t) > 2:
-                    for x in _deletes(t):
-                        self.near.setdefault(x, t)
-        near = self.near
-        return [t if t in self.known or len(t) < 2 else next((near[x] for x in _deletes(t) if x in near), t) for t in tokens]
-
-    def shared(self, h: np.ndarray) -> int:
-        """Words of ``h`` that the item has: no alignment matches more."""
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return int((self.sorted[at] == h).sum())
-
-    def places(self, tokens: list[str], shift: np.ndarray) -> Iterator[list[str]]:
-        """The parts of a text around windows whose (sorted) shifts against the item are about the same."""
-        size = len(self.tokens)
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(shift) > size // 2 + 8, [True]]))
+        self.size, self.hashes, self.known = len(tokens), hasher(tokens), set(tokens)
+
+    def corrected(self, tokens: list[str], speller: Speller) -> list[str]:
+        """Misread words replaced by the item's."""
+        known = self.known
+        return [t if t in known else next((x for x in speller(t) if x in known), t) for t in tokens]
+
+    def places(self, shift: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where the parts of a text around windows whose (sorted) shifts against the item are about the same begin and end.
+
+        They are as wide as the shifts of such windows and a sixth of the item and
+        twelve words on either side: so far may a passage drift from them by words
+        put in or left out.
+        """
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(shift) > self.size // 2 + 8, [True]]))
         for x, y in zip(cuts[:-1], cuts[1:]):
-            yield tokens[max(0, int(shift[x]) - size // 4 - 16) : max(0, int(shift[y - 1]) + size + size // 4 + 40)]
+            yield int(shift[x]) - self.size // 6 - 12, int(shift[y - 1]) + self.size // 6 + 12 + self.size
+
+
+def _part(h: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Words from ``begin`` to ``end``, even numbers where the text has none."""
+    out = np.full(end - begin, 2, np.uint64)
+    low, high = max(0, begin), max(0, min(end, len(h)))
+    if low < high:
+        out[low - begin : high - begin] = h[low:high]
+    return out
 
 
-def verify(todo: list[tuple[int, int, list[str]]], items: list[Item], hasher: Hasher, share: float) -> set[tuple[int, int]]:
-    """(text, item) of the parts (text, item, words) that are cases.
+def verify(todo: list[tuple[int, int, tuple[int, int]]], tokens: list[list[str]], hashes: list[np.ndarray], items: list[Item], hasher: Hasher, speller: Speller, share: float) -> set[tuple[int, int]]:
+    """(text, item) of the parts (text, item, place) that are cases.
 
     A case has ``share`` of the item's words and a score of 0.6 or more for each.
     What falls short, but scores a third of what is due, may hold misread words:
@@ -283,55 +377,51 @@ def verify(todo: list[tuple[int, int, list[str]]], items: list[Item], hasher: Ha
     """
     found: set[tuple[int, int]] = set()
     for again in (False, True):
-        pairs, kept = [], []
-        for d, i, part in todo:
-            if (d, i) not in found:
-                part = items[i].corrected(part) if again else part
-                h = hasher(part)
-                if items[i].shared(h) >= share * len(items[i].tokens) / 3:
-                    pairs.append((items[i].hashes, h))
-                    kept.append((d, i, part))
-        todo = []
-        for (d, i, part), (hits, score) in zip(kept, align(pairs)):
-            due = share * len(items[i].tokens)
-            if hits >= due and score >= 0.6 * hits:
-                found.add((d, i))
-            elif score >= due / 3:
-                todo.append((d, i, part))
+        pairs = []
+        for d, i, (begin, end) in todo:
+            if again:
+                low = max(0, begin)
+                h, begin, end = hasher(items[i].corrected(tokens[d][low : max(0, end)], speller)), begin - low, end - low
+            else:
+                h = hashes[d]
+            pairs.append((items[i].hashes, _part(h, begin, end)))
+        score = scores_band(pairs)
+        due = np.array([share * items[i].size for _, i, _ in todo])
+        likely = np.flatnonzero(score >= 0.6 * due)  # of fewer words there are too few
+        for k, (hits, top) in zip(likely, align_band([pairs[k] for k in likely])):
+            if hits >= due[k] and top >= 0.6 * hits:
+                found.add(todo[k][:2])
+        todo = [t for t, ok in zip(todo, score >= due / 3) if ok and t[:2] not in found]
     return found
 
 
 class Finder:
     """The keys of items with windows of one length, and the search of documents for them."""
 
-    def __init__(self, items: list[Item], w: Walks, share: float, hasher: Hasher):
-        self.w, self.share, self.hasher, self.items = w, share, hasher, items
-        h, begins = join_texts((i.hashes for i in items), w.span)
-        at = np.flatnonzero(window_starts(h, w.span))
-        owner = np.searchsorted(begins, at, side="right") - 1
-        flat = walk_keys(h, w)[:, at].ravel()
+    def __init__(self, items: list[Item], w: Walks, s: Scheme, hasher: Hasher, speller: Speller):
+        self.w, self.s, self.hasher, self.speller, self.items = w, s, hasher, speller, items
+        self.words, self.begins = join_texts((i.hashes for i in items), w.span)
+        at = np.flatnonzero(window_starts(self.words, w.span))
+        flat = walk_keys(self.words, w)[:, at].ravel()
         order = np.argsort(flat, kind="stable")
-        self.keys = flat[order]
-        self.owner = np.tile(owner, w.count)[order]
-        self.place = np.tile(at - begins[owner] if len(at) else at, w.count)[order]
+        self.keys, self.at = flat[order], np.tile(at, w.count)[order]
         self.bitmap = np.zeros(1 << 23, bool)
         self.bitmap[(self.keys >> np.uint64(41)).view(np.int64)] = True
 
     def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document window, item, place in item) for each shared key."""
+        """(document window, item, place in item) of windows that share a key and are alike."""
         starts = window_starts(h, self.w.span)
-        pos, own, place = [], [], []
+        pos, at = [], []
         for row in walk_keys(h, self.w):
             likely = np.flatnonzero(self.bitmap[(row >> np.uint64(41)).view(np.int64)] & starts)
-            lo = np.searchsorted(self.keys, row[likely], "left")
-            n = np.searchsorted(self.keys, row[likely], "right") - lo
-            hit = n > 0
-            n, lo, likely = n[hit], lo[hit], likely[hit]
-            pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos.append(np.repeat(likely, n))
-            own.append(self.owner[pick])
-            place.append(self.place[pick])
-        return np.concatenate(pos), np.concatenate(own), np.concatenate(place)
+            k, i = matches(self.keys, row[likely])
+            k, i = likely[k], self.at[i]
+            good = alike(self.words, i, h, k, self.w.span, self.s.agree)
+            pos.append(k[good])
+            at.append(i[good])
+        at = np.concatenate(at)
+        own = np.searchsorted(self.begins, at, side="right") - 1
+        return np.concatenate(pos), own, at - self.begins[own]
 
     def search(self, tokens: list[list[str]], hashes: list[np.ndarray]) -> set[tuple[int, int]]:
         """(index of text, index of item) of every case in the texts' words."""
@@ -344,8 +434,8 @@ class Finder:
         order = np.lexsort((shift, own, doc))
         doc, own, shift = doc[order], own[order], shift[order]
         edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]), [True]]))
-        todo = [(int(doc[x]), int(own[x]), part) for x, y in zip(edges[:-1], edges[1:]) for part in self.items[own[x]].places(tokens[doc[x]], shift[x:y])]
-        return verify(todo, self.items, self.hasher, self.share)
+        todo = [(int(doc[x]), int(own[x]), part) for x, y in zip(edges[:-1], edges[1:]) for part in self.items[own[x]].places(shift[x:y])]
+        return verify(todo, tokens, hashes, self.items, self.hasher, self.speller, self.s.share)
 
 
 def _chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
@@ -402,7 +492,8 @@ def leaked(documents: DataFrame, items: DataFrame, scheme: Scheme = Scheme(), he
         hasher, groups = Hasher(), defaultdict(list)
         for i, t, size in shared.value:
             groups[span_for(size)].append((i, Item(words(t), hasher)))
-        finders = [([i for i, _ in g], Finder([x for _, x in g], walks[span], scheme.share, hasher)) for span, g in groups.items()]
+        speller = Speller({t for g in groups.values() for _, x in g for t in x.known})
+        finders = [([i for i, _ in g], Finder([x for _, x in g], walks[span], scheme, hasher, speller)) for span, g in groups.items()]
         for b in batches:
             ids, all_texts, out = b["doc_id"].to_numpy(), b["text"].tolist(), []
             for at, end in _chunks(all_texts, chunk_chars):
@@ -419,7 +510,8 @@ def _joined(texts: DataFrame, held: DataFrame, walks: dict[int, Walks], scheme:
     """The search for items of any number: keys of windows meet in a join.
 
     A bitmap of 2^``bits`` keys, put together per word of 64 before it is sent,
-    keeps keys that no item has from the shuffle; it drops none that one has. Only
+    keeps keys that no item has from the shuffle; it drops none that one has. Windows
+    that share a key are not compared, which could only find more. Only
     documents that share a key are shuffled, once for each item they may carry.
     """
     spark = ws.spark
@@ -473,8 +565,8 @@ def _joined(texts: DataFrame, held: DataFrame, walks: dict[int, Walks], scheme:
             out = []
             for d, i, t, it, shifts in zip(b["doc_id"], b["item_id"], b["text"], b["item_text"], b["shifts"]):
                 item, tokens = Item(words(it), hasher), words(t)
-                todo = [(0, 0, part) for part in item.places(tokens, np.asarray(shifts, np.int64))]
-                if verify(todo, [item], hasher, scheme.share):
+                todo = [(0, 0, part) for part in item.places(np.asarray(shifts, np.int64))]
+                if verify(todo, [tokens], [hasher(tokens)], [item], hasher, Speller(item.known), scheme.share):
                     out.append((d, i))
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype(np.int64)
 

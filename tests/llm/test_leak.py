@@ -3,7 +3,7 @@ import tracemalloc
 
 import numpy as np
 
-from karyon.llm.leak import Scheme, align, leaked, span_for, walks_needed, words
+from karyon.llm.leak import Scheme, align, align_band, leaked, scores_band, span_for, walks_needed, words
 
 D, I = "doc_id long, text string, item_id long", "item_id long, item_text string, text string"  # noqa: E741
 
@@ -25,6 +25,8 @@ def test_align_is_the_best_local_alignment():
             for j in range(len(b)):
                 best[i + 1, j + 1] = max(0, best[i, j] + (1 if a[i] == b[j] else -0.5), best[i, j + 1] - 0.5, best[i + 1, j] - 0.5)
         assert abs(best.max() - score) < 1e-4 and hits >= score - 1e-6
+    wide = [(a, np.concatenate([np.full(4, 2, np.uint64), b, np.full(len(a) + 9, 2, np.uint64)])) for a, b in pairs]
+    assert scores_band(wide, 7).tolist() == [score for _, score in align_band(wide, 9)]
 
 
 def test_planted_passages(spark):
