@@ -289,26 +289,34 @@ def scores_band(pairs: list[tuple[np.ndarray, np.ndarray]], batch: int = 128) ->
         picked = order[begin : begin + batch]
         rows, cols = max(len(pairs[k][0]) for k in picked), max(width[k] for k in picked)
         kind = np.int16 if 2 * rows + cols < 1 << 14 else np.int64
-        a, b = np.zeros((rows, len(picked), 1), np.uint64), np.full((len(picked), rows + cols - 1), 2, np.uint64)
+        # Half of a word's hash will do: words that differ may only raise a score here.
+        a, b = np.zeros((len(picked), rows), np.uint32), np.full((len(picked), rows + cols - 1), 2, np.uint32)
         for x, k in enumerate(picked):
-            a[: len(pairs[k][0]), x, 0] = pairs[k][0]
+            a[x, : len(pairs[k][0])] = pairs[k][0]
             b[x, : len(pairs[k][1])] = pairs[k][1]
-        # Twice the score and the place in the band, so that a word too many is a step to the right at no cost.
-        ramp = np.arange(cols + 1, dtype=kind)
-        score = np.tile(ramp, (len(picked), 1))
-        best, step, up = score[:, :cols].copy(), np.empty((len(picked), cols), kind), np.empty((len(picked), cols), kind)
-        three, one = kind(3), kind(1)
+        a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+        # Twice the score and the place in the band, so that a word too many is a step along the band at no cost.
+        ramp = np.arange(cols + 1, dtype=kind)[:, None]
+        score = np.repeat(ramp, len(picked), 1)
+        best, three, one = score[:cols].copy(), kind(3), kind(1)
+        step, other = np.empty_like(best), np.empty_like(best)
         for i in range(rows):
-            here = score[:, :cols]
-            np.multiply((b[:, i : i + cols] == a[i]).astype(kind), three, out=step)
-            step += here
-            np.subtract(score[:, 1:], one, out=up)
-            np.maximum(step, up, out=step)
+            np.multiply((b[i : i + cols] == a[i]).astype(kind), three, out=step)
+            step += score[:cols]
+            np.subtract(score[1:], one, out=other)
+            np.maximum(step, other, out=step)
             step -= one
             np.maximum(step, ramp[:cols], out=step)
-            np.maximum.accumulate(step, axis=1, out=here)
-            np.maximum(best, here, out=best)
-        out[picked] = (best - ramp[:cols]).max(1) / 2
+            # The greatest so far along the band, by doubling.
+            reach = 1
+            while reach < cols:
+                np.maximum(step[reach:], step[:-reach], out=other[reach:])
+                other[:reach] = step[:reach]
+                step, other = other, step
+                reach *= 2
+            score[:cols] = step
+            np.maximum(best, step, out=best)
+        out[picked] = (best - ramp[:cols]).max(0) / 2
     return out
 
 
@@ -401,6 +409,7 @@ class Finder:
     def __init__(self, items: list[Item], w: Walks, s: Scheme, hasher: Hasher, speller: Speller):
         self.w, self.s, self.hasher, self.speller, self.items = w, s, hasher, speller, items
         self.words, self.begins = join_texts((i.hashes for i in items), w.span)
+        self.sizes = np.array([i.size for i in items], np.int64)
         at = np.flatnonzero(window_starts(self.words, w.span))
         flat = walk_keys(self.words, w)[:, at].ravel()
         order = np.argsort(flat, kind="stable")
@@ -433,8 +442,11 @@ class Finder:
         shift = pos - begins[doc] - place
         order = np.lexsort((shift, own, doc))
         doc, own, shift = doc[order], own[order], shift[order]
-        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]), [True]]))
-        todo = [(int(doc[x]), int(own[x]), part) for x, y in zip(edges[:-1], edges[1:]) for part in self.items[own[x]].places(shift[x:y])]
+        size = self.sizes[own]
+        new = (np.diff(doc) != 0) | (np.diff(own) != 0) | (np.diff(shift) > size[1:] // 2 + 8)
+        first, last = np.flatnonzero(np.concatenate([[True], new])), np.flatnonzero(np.concatenate([new, [True]]))
+        begin, end = shift[first] - size[first] // 6 - 12, shift[last] + size[last] // 6 + 12 + size[last]
+        todo = list(zip(doc[first].tolist(), own[first].tolist(), zip(begin.tolist(), end.tolist())))
         return verify(todo, tokens, hashes, self.items, self.hasher, self.speller, self.s.share)
 
 
