@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from karyon.llm.truncation import Contexts, context_hashes, fold, soften, truncated
+from karyon.llm.truncation import Contexts, context_hashes, end_hashes, fold, judged_end, soften, tails_of, truncated, valley
 
 S = "doc_id long, text string, lang string, cut string"
 
@@ -61,5 +62,44 @@ def test_padded_texts_are_judged_by_their_end(spark, ws):
     assert not cut[1000] and not cut[1001]
 
 
+def test_ends_are_read_as_far_as_closing_lines_reach():
+    lines = ["So the court heard the case.", *[f"Line {'x' * 90} no" for _ in range(400)]]
+    text = "\n".join(["One sentence. " * 50, *lines]) + " \n" * 3000
+    (end, ends, _), (none, _, _) = tails_of(pa.array([text, ""], pa.string()))
+    assert len(ends) == 400 and "the court heard the case." in end and none == ""
+    assert judged_end(end, ends, frozenset(ends)).endswith("the court heard the case.")
+
+
+def test_end_hashes_are_context_hashes():
+    for t in ("Ab", "one two.\nthree four", "and so it was said at length by the clerk\nof the court", ""):
+        v = soften(np.frombuffer(t.encode(), np.uint8))
+        want = [int(h[-1]) if len(h) else 0 for h in context_hashes(v)]
+        assert end_hashes([t])[0].tolist() == want
+
+
+def test_the_valley_lies_between_two_heaps():
+    counts = np.zeros(240)
+    counts[60:70], counts[110:130] = 50, 900
+    assert 0 <= valley(counts, -10.0, 0.125, (1.0, 16.0)) < 110 * 0.125 - 10
+
+
+def test_languages_and_columns_have_their_own_model(spark, ws):
+    """"von" ends texts of one language and goes on in the other; a wrong language falls back to what all have."""
+    rng = random.Random(17)
+    say = lambda w: " ".join(rng.choice(["abra", "belo", "casu", "dino", "ento"]) for _ in range(8)) + f" {w}. "
+    docs = []
+    for d in range(900):
+        en = d % 3 > 0
+        t = "".join(say("next" if en else "dann") + ("he came von his own " if en else "") for _ in range(15)).strip()
+        docs.append((d, t if en else t + " Amen von", "en" if en else "de", t[: len(t) // 2 + 3] if d % 10 == 0 else t))
+    docs += [(2000, docs[1][1][:-40] + " he came von", "en", ""), (2001, docs[2][1], "de", ""), (2002, docs[2][1], "xx", "")]
+    out = truncated(spark.createDataFrame(docs, "doc_id long, text string, lang string, note string"), ws, columns=("text", "note"))
+    cut = {(r.doc_id, r.column): r.cut for r in out.collect()}
+    assert cut[2000, "text"] and not cut[2001, "text"] and not cut[2002, "text"]
+    assert sum(cut[d, "text"] for d in range(900)) < 10
+    notes = {d for d in range(900) if cut[d, "note"]}
+    assert len(notes & set(range(0, 900, 10))) >= 0.9 * 90 and len(notes - set(range(0, 900, 10))) < 10
+
+
 def test_empty(spark, ws):
     assert truncated(spark.createDataFrame([], S), ws).count() == 0
