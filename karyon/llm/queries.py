@@ -38,15 +38,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "assoc")
     names = F.filter("names", lambda x: x.isNotNull())
     rows = a.where(F.col("label").isNotNull() & (F.size(names) == 1)).select(F.col("label").alias("grp"), names[0].alias("item"), "loaded_at", "assoc_id", "pvalue")
-    # Rows of a pair are combined before they are shuffled; ranges of (group, item) then spread a hot group over files.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows of a pair are combined before they are shuffled.
+    ws = Workspace(spark, "p4")
     latest = (
         rows.groupBy("grp", "item")
         .agg(F.max(F.struct("loaded_at", "assoc_id", "pvalue")).alias("r"))
         .select("grp", "item", F.col("r.pvalue").alias("score"))
         .where("score >= 0 and score <= 1")
     )
-    return top_n(latest.repartitionByRange(parts, "grp", "item"), 10, Workspace(spark, "p4")).select(F.col("grp").alias("label"), F.col("item").alias("variant_name"))
+    return top_n(ws.save(latest, "latest"), 10, ws).select(F.col("grp").alias("label"), F.col("item").alias("variant_name"))
 
 
 def _nearest_five(spark: SparkSession, sf: str) -> DataFrame:
