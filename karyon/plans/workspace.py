@@ -2,12 +2,15 @@
 
 Iterative operators cut their lineage by writing a table and reading it
 back. The table lives in the folder that the cluster names in
-``spark.checkpoint.dir``, so a lost executor loses nothing.
+``spark.checkpoint.dir``, so a lost executor loses nothing. Only a session in
+one local process does without that setting; elsewhere a folder of one machine
+would lose what other machines write, so its absence is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,12 +20,14 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is made only where none is set."""
+    """The shared folder; one of this machine is made only in a session of one local process that sets none."""
     named = spark.conf.get(_CONF, None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = found.get() if found.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_CONF} to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="karyon-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set(_CONF, named)

@@ -9,16 +9,19 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karyon.plans.workspace import Workspace
+from karyon.sources.files import open_fs
+
 
 def _open(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    fs, inner = open_fs(path)
     return fs.open_input_file(inner)
 
 
@@ -92,14 +95,39 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return ids.select(F.col(first).alias("sample_id")).where(F.col(first) != "0")
 
 
-def read_bgen(spark: SparkSession, path: str, sample_path: str | None = None, per_task: int = 100) -> dict[str, DataFrame]:
-    """Tables variants, samples, calls (call_genotype_probability, call_dosage; null where missing)."""
+_META = "variant_index bigint, id string, variant_id string, contig string, variant_position bigint, variant_allele array<string>, at bigint, size bigint"
+
+
+def read_metafile(spark: SparkSession, path: str, ws: Workspace | None = None, batch: int = 10_000) -> DataFrame:
+    """The metafile as a written table, :func:`metafile`'s fields in its order.
+
+    Where a variant begins is only known from the one before it, so one task reads
+    the headers; it holds ``batch`` of them, and neither they nor the table pass
+    through the driver.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _META.split(", ")]
+        for b in batches:
+            for _ in range(len(b)):
+                rows = metafile(path)
+                while part := list(islice(rows, batch)):
+                    yield pd.DataFrame(part, columns=names)
+
+    return (ws or Workspace(spark, "bgen")).save(spark.range(0, 1, 1, 1).mapInPandas(read, _META), "metafile")
+
+
+def read_bgen(spark: SparkSession, path: str, sample_path: str | None = None, per_task: int = 100, first: int = 0, stop: int | None = None) -> dict[str, DataFrame]:
+    """Tables variants, samples, calls (call_genotype_probability, call_dosage; null where missing).
+
+    ``first`` and ``stop`` bound the variants; blocks of others aren't read.
+    """
     head = read_header(path)
-    rows = [r for r in metafile(path)]
-    if any(len(r[5]) != 2 for r in rows):
+    meta = read_metafile(spark, path)
+    if meta.where(F.size("variant_allele") != 2).limit(1).count():
         raise NotImplementedError("only biallelic variants are read")
-    schema = "variant_index bigint, id string, variant_id string, contig string, variant_position bigint, variant_allele array<string>, at bigint, size bigint"
-    meta = spark.createDataFrame(rows, schema).repartition(max(1, -(-len(rows) // per_task)), "variant_index")
+    stop = head["variants"] if stop is None else min(stop, head["variants"])
+    meta = meta.where((F.col("variant_index") >= first) & (F.col("variant_index") < stop)).repartitionByRange(max(1, -(-max(0, stop - first) // per_task)), "variant_index")
     ids = head["ids"] or [f"sample_{i}" for i in range(head["samples"])]
     if sample_path:
         ids = [r["sample_id"] for r in read_samples(spark, sample_path).collect()]

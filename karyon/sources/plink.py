@@ -13,11 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from karyon.sources.files import open_fs
+
 FAM = ["family_id", "member_id", "paternal_id", "maternal_id", "sex", "phenotype"]
 BIM = ["contig", "variant_id", "cm_pos", "pos", "a1", "a2"]
 #: First three bytes of a .bed file by variants. Fixed values.
@@ -26,11 +27,6 @@ MAGIC = bytes([0x6C, 0x1B, 0x01])
 CALLS = np.array([[0, 0], [-1, -1], [1, 0], [1, 1]], np.int8)
 
 
-def _open(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-    return fs, inner
-
-
 def read_fam(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
     """Six columns; ``0`` is unknown (a point) in ids, other codes than 1 and 2 are -1."""
     df = spark.read.csv(path, sep=sep, schema=", ".join(f"{c} string" for c in FAM))
@@ -46,22 +42,21 @@ def read_bim(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 
 def with_file_order(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of a text table in file order: rows per partition first, then offsets.
+    """Number the rows of a text table by (file path, place in the file).
 
-    The table is one file or several in order of name; its partitions are in file
-    order, of which monotonic ids keep track.
+    ``df`` must still know its files. Rows are counted per split, of which there is
+    one row on the driver; partitions may hold splits in any order.
     """
-    at = df.withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    sizes = {r["p"]: r["n"] for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    base, table = 0, []
-    for p in sorted(sizes):
-        table.append(F.struct(F.lit(p).alias("p"), F.lit(base).alias("b")))
-        base += sizes[p]
-    if not table:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    offset = F.element_at(F.map_from_arrays(F.array(*[F.lit(p) for p in sorted(sizes)]), F.array(*[t["b"] for t in table])), part)
-    return at.withColumn(name, (offset + F.col("__id").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("__id")
+    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    splits = at.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__id").alias("first")).collect()
+    base, rows = 0, []
+    for r in sorted(splits, key=lambda r: (r["__file"], r["__block"])):
+        rows.append((r["__file"], r["__block"], base - r["first"]))
+        base += r["n"]
+    shift = df.sparkSession.createDataFrame(rows, "__file string, __block bigint, __shift bigint")
+    # As many rows as there are splits.
+    out = at.join(F.broadcast(shift), ["__file", "__block"])
+    return out.withColumn(name, F.col("__id") + F.col("__shift")).drop("__file", "__block", "__id", "__shift")
 
 
 @dataclass
@@ -83,7 +78,7 @@ class BedReader(DataSourceReader):
         return [VariantRange(a, min(a + self.per_task, self.variants)) for a in range(0, self.variants, self.per_task)]
 
     def read(self, part: VariantRange) -> Iterator[pa.RecordBatch]:
-        fs, inner = _open(self.path)
+        fs, inner = open_fs(self.path)
         width = (self.samples + 3) // 4
         with fs.open_input_file(inner) as f:
             if f.read(3) != MAGIC:
@@ -170,7 +165,7 @@ def write_plink(tables: dict[str, DataFrame], path: str, rows_per_part: int = 40
         return pd.DataFrame({"run": [int(part["run"].iloc[0])], "data": [data.tobytes()]})
 
     done = Workspace(spark, "bed").save(rows.groupBy("run").applyInPandas(encode, "run bigint, data binary"), "runs")
-    fs, inner = _open(path + ".bed")
+    fs, inner = open_fs(path + ".bed")
     with fs.open_output_stream(inner) as f:
         f.write(MAGIC)
         for r in done.orderBy("run").toLocalIterator():
@@ -182,7 +177,7 @@ def write_plink(tables: dict[str, DataFrame], path: str, rows_per_part: int = 40
 
 
 def _lines(df: DataFrame, path: str, sep: str, cols: list) -> None:
-    fs, inner = _open(path)
+    fs, inner = open_fs(path)
     with fs.open_output_stream(inner) as f:
         for r in df.select(F.concat_ws(sep, *[c.cast("string") for c in cols]).alias("line")).toLocalIterator():
             f.write((r["line"] + "\n").encode())

@@ -7,10 +7,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from karyon.session import local_session
 
-    s = local_session(cores=4, partitions=4)
+    s = local_session(cores=4, partitions=4, folder=f"file://{tmp_path_factory.mktemp('shared')}")
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

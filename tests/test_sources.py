@@ -32,6 +32,31 @@ def test_plink_round_trip(spark, tmp_path):
         plink.write_plink(t | {"calls": t["calls"].selectExpr("variant_index", "sample_index", "array(0) as call_genotype")}, path + "y")
 
 
+def test_file_order_of_uneven_parts(spark, tmp_path):
+    """Spark orders splits by size; rows are numbered by file name all the same."""
+    (tmp_path / "v").mkdir()
+    for name, low, high in (("a.bim", 0, 5), ("b.bim", 5, 50_005), ("c.bim", 50_005, 50_010), ("d.bim", 50_010, 51_000)):
+        (tmp_path / "v" / name).write_text("".join(f"1\tr{i}\t0\t{i}\tA\tC\n" for i in range(low, high)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")  # b is cut into several splits
+    try:
+        v = plink.with_file_order(plink.read_bim(spark, str(tmp_path / "v")), "variant_index")
+        assert v.where("variant_index != pos").count() == 0 and v.count() == 51_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from karyon.plans.workspace import shared_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster)
+
+
 def make_bgen(path, p, bits, compress):
     def text(s, k="<H"):
         return struct.pack(k, len(s)) + s.encode()
@@ -62,6 +87,8 @@ def test_bgen(spark, tmp_path, bits, compress):
     assert np.allclose(rows[0, 0].call_genotype_probability, p[0, 0], atol=1.01 / 2**bits)
     assert rows[3, 2].call_dosage == pytest.approx(p[3, 2, 1] + 2 * p[3, 2, 2], abs=3.1 / 2**bits)
     assert [r.sample_id for r in t["samples"].orderBy("sample_index").collect()][:2] == ["sample_0", "sample_1"]
+    some = bgen.read_bgen(spark, str(tmp_path / "x.bgen"), first=2, stop=4)["calls"]
+    assert {r.variant_index for r in some.collect()} == {2, 3}
     back = {(r.variant_index, r.sample_index): r for r in bgen.unpack_probability(bgen.pack_probability(t["calls"], 16), 16).collect()}
     assert back[2, 1].call_dosage is None and back[3, 2].call_dosage == pytest.approx(rows[3, 2].call_dosage, abs=1e-4)
 
