@@ -1,20 +1,24 @@
 """Parent-child links to full hierarchies.
 
-Subtree sizes are summed upward and preorder ranges are handed down, both by
-pointer doubling: a line of depth d takes about log2(d) rounds of shuffle joins
-instead of d. A node that never reaches a root lies on a loop or below one.
+Subtree sizes are summed upward, then ranges of preorder numbers are handed down:
+a node's begins where those of its elder siblings end. Both go by doubled steps, so
+that a line of depth d takes about log2(d) rounds of shuffle joins, and only over
+the nodes whose line hasn't ended yet. Everything else is read off the ranges: the
+root is the last one to begin, the depth counts the ranges that are still open,
+ancestors and descendants are those whose ranges hold one another. A node whose
+line never ends lies on a loop or below one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karyon.plans.distributed import salted_prefix
 from karyon.plans.workspace import Workspace
 
-_STATE = ["grp", "id", "parent", "ptr", "root", "depth", "size"]
-
 
 def _links(nodes: DataFrame) -> DataFrame:
     """One row per node, its parent null unless the parent has a row."""
@@ -25,15 +29,15 @@ def _links(nodes: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(nodes: DataFrame, ws: Workspace, salts: int = 64) -> DataFrame:
+def hierarchy(nodes: DataFrame, ws: Workspace, salts: int = 64, bin_size: int = 1 << 16) -> DataFrame:
     """Root, depth, subtree size and preorder range of each node.
 
     ``nodes`` has ``grp`` (which forest), ``id`` (unique in its grp) and
     ``parent``. Result: grp, id, parent, root, depth, size, pre, last, looped.
 
     * ``parent`` is null where it is null or has no row of its own (a root).
-    * ``pre`` numbers the nodes of a tree from 0 at its root; the descendants of
-      a node are those of its tree with ``pre`` in (pre, last].
+    * ``pre`` numbers the nodes of a grp from 0, tree after tree, each node before
+      its descendants; these are the nodes of its grp with ``pre`` in (pre, last].
     * On a loop or below one: ``looped``, ``depth`` -1, ``root`` the smallest id
       of the loop, ``size``, ``pre`` and ``last`` null. A node that is its own
       parent is a loop.
@@ -41,67 +45,84 @@ def hierarchy(nodes: DataFrame, ws: Workspace, salts: int = 64) -> DataFrame:
       have been chosen before. An empty table gives an empty result; other
       columns are ignored.
     """
-    base = _links(nodes.where("id is not null").select("grp", "id", "parent"))
-    state = ws.save(
-        base.select(
-            "grp", "id", "parent", F.col("parent").alias("ptr"),
-            F.when(F.col("parent").isNull(), F.col("id")).alias("root"),
-            F.when(F.col("parent").isNull(), F.lit(0)).cast("long").alias("depth"),
-            F.lit(1).cast("long").alias("size"),
-        ),
-        "state",
-        active=F.count("ptr"),
-    )
-    active, step = state.facts["active"], 1
-    while active:
-        gain = state.where("ptr is not null").groupBy("grp", F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
-        seen = state.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
-        moved = (
-            state.join(seen.hint("merge"), ["grp", "ptr"], "left")
-            .join(gain, ["grp", "id"], "left")
-            .select(
-                "grp", "id", "parent",
-                F.when(F.col("ptr").isNotNull(), F.col("ptr2")).alias("ptr"),
-                F.coalesce("root", "root2").alias("root"),
-                F.coalesce("depth", F.col("depth2") + step).alias("depth"),
-                (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"),
-            )
-        )
-        state = ws.save(moved, "state", drop=state, active=F.count("ptr"))
-        left = state.facts["active"]
-        if left == active:  # no line ended in this round, so none ever will
+    base = ws.save(_links(nodes.where("id is not null").select("grp", "id", "parent")), "base")
+    sizes, stuck = _sizes(base, ws)
+    held = base.join(stuck.select("grp", "id"), ["grp", "id"], "left_anti") if stuck is not None else base
+    size = held.join(sizes, ["grp", "id"], "left").select("grp", "id", "parent", (F.coalesce("gain", F.lit(0)) + 1).alias("size"))
+    placed = _preorder(ws.save(size, "sizes"), ws, salts)
+    trees = _read_ranges(placed, bin_size)
+    return trees if stuck is None else trees.unionByName(_loops(stuck, ws))
+
+
+def _sizes(base: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """Numbers of descendants (grp, id, gain; no row for leaves), and the nodes whose line never ends.
+
+    A node hands what it has gathered to the node 2^k steps up in round k. Only
+    nodes with so long a line are in the round; what others gain is kept aside.
+    """
+    active = ws.save(base.where("parent is not null").select("grp", "id", "parent", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")), "active", n=F.count(F.lit(1)))
+    gains, n = [], active.facts["n"]
+    while n:
+        gain = ws.save(active.groupBy("grp", F.col("ptr").alias("id")).agg(F.sum("size").alias("gain")), "gain")
+        gains.append(gain)
+        up = active.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+        # The line of a node without a match ends here.
+        moved = active.join(up.hint("merge"), ["grp", "ptr"]).join(gain, ["grp", "id"], "left")
+        active = ws.save(moved.select("grp", "id", "parent", F.col("ptr2").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "active", drop=active, n=F.count(F.lit(1)))
+        left = active.facts["n"]
+        if left == n:  # no line ended in this round, so none ever will
             break
-        active, step = left, step * 2
-    trees = _preorder(state.where("root is not null"), ws, salts)
-    loops = _loops(state.where("root is null").select("grp", "id", "parent"), ws)
-    return trees.unionByName(loops)
-
-
-def _preorder(done: DataFrame, ws: Workspace, salts: int) -> DataFrame:
-    """Preorder numbers by prefix sums over siblings and sums along the line."""
-    kids = salted_prefix(done.where("parent is not null"), ["grp", "parent"], F.col("id"), F.col("size"), "before", salts)
-    walk = ws.save(
-        kids.select("grp", "id", "parent", "root", "depth", "size", F.col("parent").alias("ptr"), (F.col("before") + 1).alias("pre"))
-        .unionByName(done.where("parent is null").select("grp", "id", "parent", "root", "depth", "size", F.col("parent").alias("ptr"), F.lit(0).cast("long").alias("pre"))),
-        "walk",
-    )
-    deepest = walk.agg(F.max("depth")).first()[0] or 0
-    step = 1
-    while step < deepest:
-        seen = walk.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pre").alias("pre2"))
-        walk = ws.save(
-            walk.join(seen.hint("merge"), ["grp", "ptr"], "left").select(
-                "grp", "id", "parent", "root", "depth", "size",
-                F.when(F.col("ptr").isNotNull(), F.col("ptr2")).alias("ptr"),
-                (F.col("pre") + F.when(F.col("ptr").isNotNull(), F.coalesce("pre2", F.lit(0))).otherwise(0)).alias("pre"),
-            ),
-            "walk",
-            drop=walk,
-        )
-        step *= 2
-    return walk.select(
-        "grp", "id", "parent", "root", "depth", "size", "pre",
-        (F.col("pre") + F.col("size") - 1).alias("last"), F.lit(False).alias("looped"),
+        n = left
+    none = base.limit(0).select("grp", "id", F.lit(0).cast("long").alias("gain"))
+    total = reduce(DataFrame.unionByName, gains, none).groupBy("grp", "id").agg(F.sum("gain").alias("gain"))
+    return total, active.select("grp", "id", "parent") if n else None
+
+
+def _preorder(sized: DataFrame, ws: Workspace, salts: int) -> DataFrame:
+    """Add ``pre``: sizes of elder siblings (trees are siblings too), summed along the line.
+
+    Each round reads all nodes' sums, but moves and writes only nodes whose line
+    hasn't ended.
+    """
+    kids = salted_prefix(sized, ["grp", "parent"], F.col("id"), F.col("size"), "before", salts)
+    own = F.col("before") + F.when(F.col("parent").isNull(), 0).otherwise(1)
+    step = ws.save(kids.select("grp", "id", "parent", "size", F.col("parent").alias("ptr"), own.alias("pre")), "walk", active=F.count("ptr"))
+    done = []
+    while True:
+        done.append(step.where("ptr is null"))
+        active = step.where("ptr is not null")
+        if not step.facts["active"]:
+            break
+        known = reduce(DataFrame.unionByName, [*done, active])
+        seen = known.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pre").alias("pre2"))
+        moved = active.join(seen.hint("merge"), ["grp", "ptr"])
+        step = ws.save(moved.select("grp", "id", "parent", "size", F.col("ptr2").alias("ptr"), (F.col("pre") + F.col("pre2")).alias("pre")), "walk", active=F.count("ptr"))
+    return reduce(DataFrame.unionByName, done).select("grp", "id", "parent", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("last"))
+
+
+def _read_ranges(placed: DataFrame, bin_size: int) -> DataFrame:
+    """Add root and depth: the last root to begin at or before a node, and how many ranges are open there.
+
+    Every number of a grp begins one range, so the open ones are the number less the
+    ranges that have ended. Ends are counted per number, then per bin; a bin of
+    numbers is one window, and its totals are carried on over the bins, of which
+    there are as many as nodes / ``bin_size``.
+    """
+    null = F.lit(None).cast("long")
+    ends = placed.groupBy("grp", (F.col("last") + 1).alias("pre")).agg(F.count("*").alias("ends"))
+    begin = placed.select("grp", "id", "parent", "size", "pre", "last", F.when(F.col("parent").isNull(), F.col("id")).alias("first"), F.lit(0).cast("long").alias("ends"))
+    events = begin.unionByName(ends.select("grp", null.alias("id"), null.alias("parent"), null.alias("size"), "pre", null.alias("last"), null.alias("first"), "ends"))
+    events = events.withColumn("bin", F.floor(F.col("pre") / bin_size))
+    before = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = events.groupBy("grp", "bin").agg(F.sum("ends").alias("e"), F.max_by("first", F.when(F.col("first").isNotNull(), F.col("pre"))).alias("f"))
+    carried = totals.select("grp", "bin", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("carry"), F.last("f", ignorenulls=True).over(before).alias("carry_first"))
+    # Ends of a number come before its beginning.
+    within = Window.partitionBy("grp", "bin").orderBy("pre", F.col("id").isNotNull())
+    open_ = events.withColumn("ended", F.sum("ends").over(within)).withColumn("root", F.last("first", ignorenulls=True).over(within)).where("id is not null")
+    return open_.join(carried, ["grp", "bin"]).select(
+        "grp", "id", "parent", F.coalesce("root", "carry_first").alias("root"),
+        (F.col("pre") - F.col("ended") - F.col("carry")).alias("depth"),
+        "size", "pre", "last", F.lit(False).alias("looped"),
     )
 
 
@@ -136,43 +157,35 @@ def _loops(rest: DataFrame, ws: Workspace) -> DataFrame:
     )
 
 
-def paths(tree: DataFrame, ws: Workspace, sep: str = "/") -> DataFrame:
+def _pairs(tree: DataFrame, of: DataFrame, bin_size: int) -> DataFrame:
+    """grp, id, depth and descendant of each node of ``of`` and each node in its range, itself included.
+
+    The range join runs on (grp, number div bin_size), so one large tree is spread
+    over its bins.
+    """
+    wide = of.select("grp", "id", "depth", "pre", "last", F.explode(F.sequence(F.floor(F.col("pre") / bin_size), F.floor(F.col("last") / bin_size))).alias("bin"))
+    low = tree.select("grp", F.floor(F.col("pre") / bin_size).alias("bin"), F.col("pre").alias("at"), F.col("id").alias("descendant"))
+    return wide.join(low, ["grp", "bin"]).where("at >= pre and at <= last").select("grp", "id", "depth", "descendant")
+
+
+def paths(tree: DataFrame, sep: str = "/", bin_size: int = 4096) -> DataFrame:
     """grp, id, path: the ids from the root to the node, joined by ``sep``.
 
-    Path pieces double per round. Looped nodes have a null path. The result has
-    as many ids as there are (ancestor, node) pairs.
+    Ancestors are the nodes whose range holds the node's number. Looped nodes have a
+    null path. The result has as many ids as there are (ancestor, node) pairs; no
+    group is larger than a line is deep.
     """
-    walk = ws.save(
-        tree.select("grp", "id", "looped", "depth", F.when(~F.col("looped"), F.col("parent")).alias("ptr"), F.when(~F.col("looped"), F.array("id")).alias("piece")),
-        "path",
-    )
-    deepest = walk.agg(F.max("depth")).first()[0] or 0
-    step = 1
-    while step <= deepest:
-        seen = walk.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("piece").alias("piece2"))
-        walk = ws.save(
-            walk.join(seen.hint("merge"), ["grp", "ptr"], "left").select(
-                "grp", "id", "looped", "depth", F.col("ptr2").alias("ptr"),
-                F.when(F.col("piece2").isNull(), F.col("piece")).otherwise(F.concat("piece2", "piece")).alias("piece"),
-            ),
-            "path",
-            drop=walk,
-        )
-        step *= 2
-    return walk.select("grp", "id", F.array_join(F.col("piece").cast("array<string>"), sep).alias("path"))
+    held = tree.where("not looped")
+    line = _pairs(held, held, bin_size).groupBy("grp", F.col("descendant").alias("id")).agg(F.array_sort(F.collect_list(F.struct("depth", F.col("id").cast("string").alias("name")))).alias("line"))
+    found = line.select("grp", "id", F.array_join(F.transform("line", lambda x: x["name"]), sep).alias("path"))
+    return found.unionByName(tree.where("looped").select("grp", "id", F.lit(None).cast("string").alias("path")))
 
 
 def descendants(tree: DataFrame, of: DataFrame, bin_size: int = 4096) -> DataFrame:
     """(grp, id, descendant) for the nodes of ``of`` (grp, id), by preorder range.
 
-    The range join runs on (grp, root, pre div bin_size), so one large tree is
-    spread over its bins. Looped nodes have no descendants here.
+    Looped nodes have no descendants here.
     """
     held = tree.where("not looped")
     want = held.join(of.select("grp", "id").distinct(), ["grp", "id"], "left_semi").where("last > pre")
-    wide = want.select(
-        "grp", "root", "id", "pre", "last",
-        F.explode(F.sequence(F.floor(F.col("pre") / bin_size), F.floor(F.col("last") / bin_size))).alias("bin"),
-    )
-    low = held.select("grp", "root", F.floor(F.col("pre") / bin_size).alias("bin"), F.col("pre").alias("at"), F.col("id").alias("descendant"))
-    return wide.join(low, ["grp", "root", "bin"]).where("at > pre and at <= last").select("grp", "id", "descendant")
+    return _pairs(held, want, bin_size).where("id != descendant").select("grp", "id", "descendant")

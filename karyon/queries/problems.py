@@ -37,7 +37,7 @@ def lines_of_descent(spark: SparkSession, sf: str) -> DataFrame:
 def p3_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     tree = hierarchy(lines_of_descent(spark, sf), Workspace(spark, "p3"))
     tab = F.split("grp", "/")
-    return tree.select(tab[0].alias("tab"), tab[1].alias("line"), "id", "parent", "root", F.col("depth").cast("int").alias("depth"), "size", "pre", "last", "looped")
+    return tree.select(tab[0].alias("tab"), tab[1].alias("line"), "id", "parent", "root", F.col("depth").cast("int").alias("depth"), "size", "looped")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
     ws = Workspace(spark, "p3")
     tab = F.split("grp", "/")
-    return paths(ws.save(hierarchy(lines_of_descent(spark, sf), ws), "tree"), ws).select(tab[0].alias("tab"), tab[1].alias("line"), "id", "path")
+    return paths(ws.save(hierarchy(lines_of_descent(spark, sf), ws), "tree")).select(tab[0].alias("tab"), tab[1].alias("line"), "id", "path")
 
 
 def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,6 +107,8 @@ reach as (select tab, line, id, parent pt from rest
 ring as (select tab, line, id from reach where id = pt),
 low as (select r.tab, r.line, r.id, min(r.pt) root from reach r join ring g on g.tab = r.tab and g.line = r.line and g.id = r.pt group by all)
 """
+_ANCESTORS = """anc as (select tab, line, id, parent anc from down where parent is not null
+  union all select a.tab, a.line, a.id, l.parent from anc a join link l on l.tab = a.tab and l.line = a.line and l.id = a.anc where l.parent is not null)"""
 _ORPHANS = r"""
 f as (select *, nullif(upper(regexp_extract(member_id, '^[\s\pZ\x{0b}\x{85}\x{FEFF}\x{200B}]*([A-Za-z]{2}-[0-9]{8})[\s\pZ\x{0b}\x{85}\x{FEFF}\x{200B}]*$', 1)), '') m,
   nullif(upper(regexp_extract(paternal_id, '^[\s\pZ\x{0b}\x{85}\x{FEFF}\x{200B}]*([A-Za-z]{2}-[0-9]{8})[\s\pZ\x{0b}\x{85}\x{FEFF}\x{200B}]*$', 1)), '') pa,
@@ -143,6 +145,13 @@ judged as (select *, case when not q_ok then 'quoting' when not six then 'column
 
 SQL = {
     "p3_found": f"with recursive {_LINES} select tab, line, id, root, depth from down where parent is not null union all select tab, line, id, root, -1 from low",
+    "p3_hierarchy": f"""with recursive {_LINES}, {_ANCESTORS}, below as (select tab, line, anc id, count(*) n from anc group by all)
+select d.tab, d.line, d.id, d.parent, d.root, d.depth, coalesce(b.n, 0) + 1 as size, false as looped from down d left join below b using (tab, line, id)
+union all select l.tab, l.line, l.id, r.parent, l.root, -1, null, true from low l join rest r using (tab, line, id)""",
+    "p3_paths": f"""with recursive {_LINES}, steps as (select tab, line, id, cast(id as varchar) path from link where parent is null
+  union all select l.tab, l.line, l.id, s.path || '/' || l.id from link l join steps s on l.tab = s.tab and l.line = s.line and l.parent = s.id)
+select tab, line, id, path from steps union all select tab, line, id, null from low""",
+    "p3_descendants": f"with recursive {_LINES}, {_ANCESTORS} select tab, line, anc as id, id as descendant from anc",
     "p5_found": f"with {_ORPHANS} select tab, rec_id, field, reason from judged where reason is not null",
     "p5_report": f"with {_ORPHANS} select tab, field, reason, strftime(ts, '%Y-%m') as month, count(*) as n from judged where reason is not null group by all",
     "p6_found": f"with {_LINE_SQL} select line_id, reason from judged where reason is not null",

@@ -28,7 +28,7 @@ def test_random_forest_with_loops(spark, ws):
     rng = random.Random(4)
     links = {i: (rng.choice([None, rng.randrange(1, i), i - 1]) if i > 1 else None) for i in range(1, 200)}
     links |= {500: 501, 501: 502, 502: 500, 503: 500, 504: 503, 600: 600, 700: 9999}
-    tree = hierarchy(make(spark, links), ws, salts=3)
+    tree = hierarchy(make(spark, links), ws, salts=3, bin_size=32)
     rows = {r.id: r for r in tree.collect()}
     assert {k: (r.root, r.depth) for k, r in rows.items()} == brute(links)
     kids = {}
@@ -46,7 +46,7 @@ def test_random_forest_with_loops(spark, ws):
             assert inside == set(below(k))
         else:
             assert r.looped and r.size is None and r.pre is None
-    p = {r.id: r.path for r in paths(tree, ws).collect()}
+    p = {r.id: r.path for r in paths(tree, bin_size=16).collect()}
     assert p[500] is None and p[700] == "700"
     deep = max((r for r in rows.values()), key=lambda r: r.depth)
     chain = [int(x) for x in p[deep.id].split("/")]
@@ -57,7 +57,7 @@ def test_random_forest_with_loops(spark, ws):
 
 def test_long_line_and_hot_parent(spark, ws):
     links = {i: i - 1 if i else None for i in range(300)} | {1000 + i: 0 for i in range(500)}
-    rows = {r.id: r for r in hierarchy(make(spark, links), ws, salts=4).collect()}
+    rows = {r.id: r for r in hierarchy(make(spark, links), ws, salts=4, bin_size=100).collect()}
     assert rows[299].depth == 299 and rows[0].size == 800 and rows[1000].depth == 1
     assert len({r.pre for r in rows.values()}) == 800
 
