@@ -24,7 +24,7 @@ def test_recall_ties_and_copies(spark, ws):
     rows = [(i, [v / 100 for v in r], T, "clash") for i, r in zip(ids, x.tolist())]
     rows += [(ids[0], [v / 100 for v in x[0].tolist()], T, "again"), ("bad1", [0.5] * 7, T, ""), ("bad2", [2.5] * 8, T, ""), ("bad3", [None] + [0.5] * 7, T, ""), ("bad4", [float("nan")] * 8, T, ""), ("bad5", None, T, ""), (None, [0.5] * 8, T, "")]
     got = {}
-    for r in nearest_samples(spark.createDataFrame(rows, S), 8, 2.0, 0.01, 5, ws, parts=4, train=800).collect():
+    for r in nearest_samples(spark.createDataFrame(rows, S), 8, 2.0, 0.01, 5, ws, parts=4, train=800, gauged=100).collect():
         got.setdefault(r.id, set()).add(r.near)
     want = exact(x, ids, 5)
     assert set(got) == set(ids) and all(len(v) == 5 for v in got.values())
@@ -39,7 +39,7 @@ def test_hot_list_is_cut_into_blocks(spark, ws):
     x = np.unique(rng.integers(90, 110, (900, 6)), axis=0)
     df = spark.createDataFrame([(f"s{i:04d}", bytes(r.tolist())) for i, r in enumerate(x.astype(np.uint8))], "id string, vec binary")
     got = {}
-    for r in nearest(df, 6, 3, ws, parts=3, block=64, probe_share=1.0, least_probes=1000).collect():
+    for r in nearest(df, 6, 3, ws, parts=3, block=64, probes=1000).collect():
         got.setdefault(r.id, []).append((r.rank, r.near))
     want = exact(x.astype(int), [f"s{i:04d}" for i in range(len(x))], 3)
     hit = np.mean([[n for _, n in sorted(got[i])] == want[i] for i in want])
@@ -53,22 +53,36 @@ def test_dense_region_is_searched_whole(spark, ws):
     ids = [f"s{i:05d}" for i in rng.permutation(len(x))]
     df = spark.createDataFrame([(i, bytes(r)) for i, r in zip(ids, x.astype(np.uint8).tolist())], "id string, vec binary")
     got = {}
-    for r in nearest(df, 16, 5, ws, parts=4, probe_share=1.0, least_probes=1000).collect():
+    for r in nearest(df, 16, 5, ws, parts=4, probes=1000).collect():
         got.setdefault(r.id, []).append((r.rank, r.near))
     want = exact(x.astype(int), ids, 5)
     assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == want
 
 
-def test_lists_grow_with_rows(spark, ws, monkeypatch):
-    from karyon.llm import knn
-
-    asked, rng = [], np.random.default_rng(9)
-    true = knn.kmeans
-    monkeypatch.setattr(knn, "kmeans", lambda x, n, *more: asked.append(n) or true(x, n, *more))
-    x = np.unique(rng.integers(0, 201, (2000, 8)), axis=0).astype(np.uint8)
-    df = spark.createDataFrame([(f"s{i:05d}", bytes(r.tolist())) for i, r in enumerate(x)], "id string, vec binary")
-    knn.nearest(df, 8, 2, ws, parts=4, train=320)
-    assert asked[0] == int(np.sqrt(len(x)))
+def test_few_lists_of_many_are_probed(spark, ws, caplog):
+    """Probes are what the gauge against brute force asks for; the share of lists falls as rows grow."""
+    import logging
+
+    rng, share = np.random.default_rng(9), []
+    centres = rng.integers(0, 201, (40, 16))
+    for n in (1000, 8000):
+        x = np.unique(np.clip(centres[rng.integers(0, 40, n)] + rng.integers(-20, 21, (n, 16)), 0, 200), axis=0)
+        ids = [f"s{i:05d}" for i in range(len(x))]
+        df = spark.createDataFrame([(i, bytes(r)) for i, r in zip(ids, x.astype(np.uint8).tolist())], "id string, vec binary")
+        with caplog.at_level(logging.INFO, "karyon.llm.knn"):
+            caplog.clear()
+            got = {}
+            for r in nearest(df, 16, 5, ws, parts=4, gauged=200).collect():
+                got.setdefault(r.id, set()).add(r.near)
+        _, lists, probed = caplog.records[-1].args
+        share.append(probed / lists)
+        some = rng.choice(len(x), 300, replace=False)
+        d = ((x[some][:, None, :] - x[None]) ** 2).sum(2)
+        d[np.arange(300), some] = 1 << 40
+        true = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :5]
+        assert np.mean([len(got.get(ids[i], set()) & {ids[j] for j in t}) / 5 for i, t in zip(some, true)]) > 0.95
+        assert lists >= 3 * np.sqrt(len(x))
+    assert share[1] < share[0] < 0.5
 
 
 def test_empty_one_two(spark, ws):
@@ -84,6 +98,11 @@ def test_codes_reproduce_vectors_roughly():
     x = rng.integers(0, 200, (500, 8)).astype(np.float32)
     ix = fit(x, 10, 4, 32)
     near = ix.nearest_lists(x, 1)[:, 0]
-    code = ix.encode(x - ix.centroids[near])
+    code, off = ix.encode(x - ix.centroids[near])
     back = ix.centroids[near] + np.concatenate([ix.codebooks[j][code[:, j]] for j in range(4)], 1)
+    assert np.allclose(np.sqrt(((back - x) ** 2).sum(1)), off, atol=1e-2)
+    q = rng.integers(0, 200, (20, 8)).astype(np.float32)
+    mine = near == near[0]
+    got = ix.distances(q - ix.centroids[near[0]], code[mine])
+    assert np.allclose(got, np.sqrt(((q[:, None] - back[mine][None]) ** 2).sum(2)), atol=0.1)
     assert ((back - x) ** 2).mean() < 0.5 * ((x - ix.centroids[near]) ** 2).mean()
