@@ -67,6 +67,7 @@ def entity_components(records: DataFrame, entities: Sequence[str], ws: Workspace
         DataFrame.unionByName,
         [records.select(first.alias("k"), F.concat(F.lit(f"{c}:"), F.col(c)).alias("m")) for c in entities],
     ).where("m is not null and m != k").distinct()
+    pairs = ws.save(pairs, "pairs")  # read three times
     low = ws.save(pairs.groupBy("m").agg(F.min("k").alias("v"), F.count("*").alias("n")), "low")
     shared = pairs.join(low.where("n > 1"), "m").where("k > v").select(F.col("k").alias("u"), "v")
     firsts = records.select(first.alias("m")).where("m is not null").distinct()
@@ -91,7 +92,8 @@ def assign_splits(
     own component. Components are hashed into ranges proportional to ``ratios``.
     Those with over ``large_share`` of all rows (1 / large_share at most, so few
     enough to handle singly) would upset the proportions; they are placed first,
-    each where most is lacking, and the ranges are those of what then lacks.
+    each where most is lacking, and the ranges are those of what then lacks. So the
+    ranges depend on all sizes: a component can change its split when the table grows.
     Existing columns ``component`` and ``split`` are replaced. An empty table
     stays empty.
     """
