@@ -49,7 +49,7 @@ def hardy_weinberg_p(hets: Column, hom1: Column, hom2: Column) -> Column:
         out = pd.Series(np.nan, index=a.index)
         keys = pd.DataFrame({"a": a[known].astype(int), "b": b[known].astype(int), "c": c[known].astype(int)})
         if len(keys):
-            each = keys.drop_duplicates()
+            each = keys.drop_duplicates().copy()
             each["p"] = [exact_p(*x) for x in each.itertuples(index=False)]
             out[known] = keys.merge(each, on=["a", "b", "c"], how="left")["p"].to_numpy()
         return out

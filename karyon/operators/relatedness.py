@@ -9,20 +9,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karyon.functions import calls as C
 from karyon.plans.packing import gram, packed_rows
+from karyon.plans.workspace import Workspace
 
 
 def _known(x: np.ndarray) -> np.ndarray:
     return (x >= 0).astype(np.float64)
 
 
-def identity_by_state(calls: DataFrame, n_samples: int, n_alleles: int, method: str = "frequencies", gt: str = "call_genotype") -> DataFrame:
+def identity_by_state(calls: DataFrame, n_samples: int, n_alleles: int, method: str = "frequencies", gt: str = "call_genotype", skipna: bool = True) -> DataFrame:
     """Mean identity of two samples over the variants called in both.
 
+    Without ``skipna`` a pair is null unless both are called at every variant that
+    anyone is called at.
+
     Over alleles, the products of the two calls' allele frequencies are added, which
     is the chance that alleles drawn from either match; so the methods
     ``frequencies`` and ``matching`` are one. Without a common variant: null.
@@ -35,10 +39,13 @@ def identity_by_state(calls: DataFrame, n_samples: int, n_alleles: int, method:
         v = calls.select("variant_index", "sample_index", F.get(freq, F.lit(a)).alias("f"))
         part = packed_rows(v, "variant_index", "sample_index", "f")
         rows = part if rows is None else rows.unionByName(part)
-    known = lambda x, _: [(k := _known(x)).T @ k, (y := np.where(x >= 0, x, 0.0)).T @ y]
-    g = gram(rows, known, ["n", "s"], n_samples)
+    def features(x: np.ndarray, _: pd.DataFrame) -> dict:
+        k, y = _known(x), np.where(x >= 0, x, 0.0)
+        return {"n": [(k, k)], "s": [(y, y)]} | ({} if skipna else {"all": [(np.ones_like(k), np.ones_like(k))]})
+
+    g = gram(rows, features, ["n", "s"] if skipna else ["n", "s", "all"], n_samples)
     value = F.try_divide(F.col("s"), F.col("n") / n_alleles)
-    return g.select("i", "j", value.alias("value"))
+    return g.select("i", "j", (value if skipna else F.when(F.col("n") == F.col("all"), value)).alias("value"))
 
 
 def weir_goudet_beta(ibs: DataFrame) -> DataFrame:
@@ -71,11 +78,14 @@ def genomic_relationship(
 
     if estimator == "VanRaden":
 
-        def build(x: np.ndarray, part: pd.DataFrame) -> list[np.ndarray]:
+        def features(x: np.ndarray, part: pd.DataFrame) -> dict:
             m, k, p = centred(x, part)
-            return [m.T @ m, (k * (ploidy * p)).T @ (k * (1 - p)), np.full((n_samples, n_samples), float((ploidy * p * (1 - p)).sum())), (1 - k).sum(0)[:, None] + (1 - k).sum(0)[None, :]]
+            if skipna:
+                return {"m": [(m, m)], "d": [(k * (ploidy * p), k * (1 - p))]}
+            one = np.ones_like(k)
+            return {"m": [(m, m)], "all": [(one * (ploidy * p), one * (1 - p))], "gaps": [(1 - k, one), (one, 1 - k)]}
 
-        g = gram(rows, build, ["m", "d", "all", "gaps"], n_samples)
+        g = gram(rows, features, ["m", "d"] if skipna else ["m", "all", "gaps"], n_samples)
         value = F.try_divide(F.col("m"), F.col("d")) if skipna else F.when(F.col("gaps") == 0, F.try_divide(F.col("m"), F.col("all")))
         return g.select("i", "j", value.alias("value"))
 
@@ -85,28 +95,22 @@ def genomic_relationship(
     for r in joined.groupBy("sample_index").agg(F.avg(F.col("dosage") - ploidy * F.col("frequency")).alias("w")).collect():
         mean[r["sample_index"]] = r["w"]
 
-    def build2(x: np.ndarray, part: pd.DataFrame) -> list[np.ndarray]:
-        m, _, p = centred(x, part)
-        w = m - mean
-        one = np.ones((n_samples, n_samples))
-        return [w.T @ w, (w**2).T @ (w**2), one * len(x), one * float((p * (1 - p)).sum())]
-
-    g = gram(rows, build2, ["s", "q", "v", "pq"], n_samples).toPandas().sort_values(["i", "j"])
-    shape = (n_samples, n_samples)
-    at = lambda k: g[k].to_numpy().reshape(shape)
-    v = at("v")[0, 0]
-    s = at("s") / v
-    target = np.eye(n_samples) * np.mean(np.diag(s))
-    delta = float(((at("q") / v - s**2) / v).sum() / ((s - target) ** 2).sum())
-    delta = min(1.0, max(0.0, delta))
-    value = (delta * target + (1 - delta) * s + np.outer(mean, mean)) / (ploidy * at("pq")[0, 0] / v)
-    return _matrix(dosages, value)
-
-
-def _matrix(like: DataFrame, m: np.ndarray) -> DataFrame:
-    i, j = np.indices(m.shape)
-    frame = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "value": m.ravel()})
-    return like.sparkSession.createDataFrame(frame, "i bigint, j bigint, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    def shrunk(x: np.ndarray, part: pd.DataFrame) -> dict:
+        w = centred(x, part)[0] - mean
+        return {"s": [(w, w)], "q": [(w**2, w**2)]}
+
+    p = F.col("frequency")
+    v, pq = rows.agg(F.count("*"), F.sum(p * (1 - p))).first()
+    g = gram(rows, shrunk, ["s", "q"], n_samples).select("i", "j", (F.col("s") / v).alias("s"), (F.col("q") / v).alias("q"))
+    g = Workspace(dosages.sparkSession, "shrink").save(g, "sums", trace=F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))))
+    mu = (g.facts["trace"] or 0.0) / n_samples
+    target = F.when(F.col("i") == F.col("j"), mu).otherwise(0.0)
+    up, down = g.agg(F.sum((F.col("q") - F.col("s") ** 2) / v), F.sum((F.col("s") - target) ** 2)).first()
+    delta = min(1.0, max(0.0, up / down)) if down else 0.0
+    means = dosages.sparkSession.createDataFrame([(i, float(m)) for i, m in enumerate(mean)], "k bigint, w double")  # one number per sample
+    out = g.join(means.select(F.col("k").alias("i"), F.col("w").alias("wi")), "i").join(means.select(F.col("k").alias("j"), F.col("w").alias("wj")), "j")
+    value = F.try_divide(delta * target + (1 - delta) * F.col("s") + F.col("wi") * F.col("wj"), F.lit(ploidy * pq / v))
+    return out.select("i", "j", value.alias("value"))
 
 
 def pairwise_distance(vectors: DataFrame, metric: str = "euclidean", queries: DataFrame | None = None, block: int = 512) -> DataFrame:
@@ -119,15 +123,19 @@ def pairwise_distance(vectors: DataFrame, metric: str = "euclidean", queries: Da
     """
     if metric not in ("euclidean", "correlation"):
         raise NotImplementedError(f"no metric {metric}")
+    number = F.dense_rank().over(Window.orderBy("b")) - 1
     right = vectors.select("row_id", F.col("vector").cast("array<double>").alias("x"), F.floor(F.col("row_id") / block).alias("b"))
-    left = right if queries is None else queries.select("row_id", F.col("vector").cast("array<double>").alias("x"), (F.pmod(F.xxhash64("row_id"), F.lit(max(1, 16)))).alias("b"))
-    blocks = [[r["b"] for r in s.select("b").distinct().collect()] for s in (left, right)]  # one number per block
-    pick = (lambda b: F.filter(F.array(*[F.lit(k) for k in blocks[1]]), lambda k: k >= b)) if queries is None else (lambda b: F.array(*[F.lit(k) for k in blocks[1]]))
-    meet = (lambda b: F.filter(F.array(*[F.lit(k) for k in blocks[0]]), lambda k: k <= b)) if queries is None else (lambda b: F.array(*[F.lit(k) for k in blocks[0]]))
-    if not blocks[0] or not blocks[1]:
+    left = right if queries is None else queries.select("row_id", F.col("vector").cast("array<double>").alias("x"), F.pmod(F.xxhash64("row_id"), F.lit(16)).alias("b"))
+    # Blocks by number: one row per block, each meeting a range of numbers.
+    rb = right.groupBy("b").count().select("b", number.alias("n"))
+    lb = rb if queries is None else left.groupBy("b").count().select("b", number.alias("n"))
+    nr, nl = rb.count(), lb.count()
+    if not nl or not nr:
         return right.select(F.col("row_id").alias("i"), F.col("row_id").alias("j"), F.lit(0.0).alias("value")).limit(0)
-    left = left.select(F.col("b").alias("bi"), F.explode(pick(F.col("b"))).alias("bj"), "row_id", "x")
-    right = right.select(F.explode(meet(F.col("b"))).alias("ri"), F.col("b").alias("rj"), F.col("row_id").alias("rid"), F.col("x").alias("rx"))
+    first = F.col("n") if queries is None else F.lit(0)
+    last = F.col("n") if queries is None else F.lit(nl - 1)
+    left = left.join(lb, "b").select(F.col("n").alias("bi"), F.explode(F.sequence(first, F.lit(nr - 1))).alias("bj"), "row_id", "x")
+    right = right.join(rb, "b").select(F.explode(F.sequence(F.lit(0), last)).alias("ri"), F.col("n").alias("rj"), F.col("row_id").alias("rid"), F.col("x").alias("rx"))
     half = queries is None
 
     def pairs(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +170,7 @@ def pc_relate(calls: DataFrame, components: np.ndarray, n_samples: int, maf: flo
     g = calls.select("variant_index", "sample_index", F.nullif(C.collapse_ploidy(gt), F.lit(-1)).cast("double").alias("g"))
     rows = packed_rows(g, "variant_index", "sample_index", "g")
 
-    def build(x: np.ndarray, _: pd.DataFrame) -> list[np.ndarray]:
+    def features(x: np.ndarray, _: pd.DataFrame) -> dict:
         basis = shared.value
         known = x >= 0
         mean = np.where(known, x, 0.0).sum(1) / np.maximum(1, known.sum(1))
@@ -170,9 +178,9 @@ def pc_relate(calls: DataFrame, components: np.ndarray, n_samples: int, maf: flo
         mu = 0.5 * (full @ basis) @ basis.T
         keep = known & (mu > maf) & (mu < 1 - maf)
         r, s = np.where(keep, x / 2 - mu, 0.0), np.where(keep, np.sqrt(np.clip(mu * (1 - mu), 0, None)), 0.0)
-        return [r.T @ r, s.T @ s]
+        return {"a": [(r, r)], "b": [(s, s)]}
 
-    m = gram(rows, build, ["a", "b"], n_samples)
+    m = gram(rows, features, ["a", "b"], n_samples)
     return m.select("i", "j", F.try_divide("a", "b").alias("value"))
 
 
@@ -180,23 +188,28 @@ def pc_relate(calls: DataFrame, components: np.ndarray, n_samples: int, maf: flo
 
 
 def collect_matrix(m: DataFrame, ids: list[int]) -> np.ndarray:
-    """A square matrix of the given ids. For dense linear algebra, which one task does."""
-    at = {k: n for n, k in enumerate(ids)}
+    """A square matrix of the given ids, NaN where it has no value. For dense linear algebra, which one task does."""
+    at = m.sparkSession.createDataFrame([(int(k), n) for n, k in enumerate(ids)], "k bigint, n int")
+    cells = m.join(at.select(F.col("k").alias("i"), F.col("n").alias("p")), "i").join(at.select(F.col("k").alias("j"), F.col("n").alias("q")), "j").select("p", "q", "value").toPandas()
     out = np.zeros((len(ids), len(ids)))
-    for r in m.where(F.col("i").isin(ids) & F.col("j").isin(ids)).toLocalIterator():
-        out[at[r["i"]], at[r["j"]]] = np.nan if r["value"] is None else r["value"]
+    out[cells["p"], cells["q"]] = cells["value"].astype(float)
     return out
 
 
 def _frame(like: DataFrame, m: np.ndarray, ids: list[int]) -> DataFrame:
     i, j = np.indices(m.shape)
     k = np.asarray(ids)
-    return like.sparkSession.createDataFrame(pd.DataFrame({"i": k[i.ravel()], "j": k[j.ravel()], "value": m.ravel()}), "i bigint, j bigint, value double")
+    return like.sparkSession.createDataFrame(pd.DataFrame({"i": k[i.ravel()], "j": k[j.ravel()], "value": m.ravel()}), "i bigint, j bigint, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 def invert_relationship_matrix(m: DataFrame, ids: list[int]) -> DataFrame:
-    """Inverse of the sub-matrix of ``ids``, in one task."""
-    return _frame(m, np.linalg.inv(collect_matrix(m, ids)), ids)
+    """Inverse of the sub-matrix of ``ids``, in one task; null in rows and columns of ids with an undefined value."""
+    x = collect_matrix(m, ids)
+    known = ~np.isnan(np.diag(x))
+    known &= ~np.isnan(x[:, known]).any(1)
+    out = np.full(x.shape, np.nan)
+    out[np.ix_(known, known)] = np.linalg.inv(x[np.ix_(known, known)])
+    return _frame(m, out, ids)
 
 
 def hybrid_relationship(g: DataFrame, a: DataFrame, ids: list[int], genotyped: list[int], tau: float = 1.0, omega: float = 1.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from karyon.functions import calls as C
 from karyon.functions.special import betainc, gamma_cdf, t_two_sided
+from karyon.plans.packing import gram, packed_rows
 from karyon.operators import aggregation as agg
 from karyon.operators import association as assoc
 from karyon.operators import ld, popgen
@@ -178,6 +179,30 @@ def test_identity_by_state(spark):
     ibs = rel.identity_by_state(calls, 3, 2)
     assert np.allclose(square(ibs, 3), [[1, 0.5, 0.5], [0.5, 1, 0.5], [0.5, 0.5, 0.5]])
     assert np.allclose(square(rel.weir_goudet_beta(ibs), 3), [[1, 0, 0], [0, 1, 0], [0, 0, 0]])
+    gap = calls.unionByName(spark.createDataFrame([(2, 0, [0, 0]), (2, 1, [0, 0]), (2, 2, [-1, -1])], calls.schema))
+    rows = {(r.i, r.j): r.value for r in rel.identity_by_state(gap, 3, 2, skipna=False).collect()}
+    assert rows[0, 1] == pytest.approx(2 / 3) and rows[0, 2] is None and rows[2, 2] is None
+
+
+def test_tiles_give_the_same_sums(spark, ws):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (90, 23)).astype(float)
+    rows = packed_rows(long(spark, x), "variant_index", "sample_index", "dosage").repartition(5)
+    features = lambda m, part: {"a": [(m, m)], "b": [(m, np.ones_like(m)), (np.ones_like(m), m)]}
+    want = {"a": x.T @ x, "b": x.sum(0)[:, None] + x.sum(0)[None, :]}
+    for tile in (2048, 7):
+        got = gram(rows, features, ["a", "b"], 23, tile=tile, cells=200, ws=ws).toPandas()
+        assert len(got) == 23 * 23
+        for k, m in want.items():
+            assert np.allclose(got.pivot(index="i", columns="j", values=k).to_numpy(), m)
+    packed = rows.select("variant_index", "idx", "val")
+    assert packed_rows(packed, "variant_index", "sample_index", "dosage").columns == ["variant_index", "idx", "val"]
+
+
+def test_inverse_of_a_matrix_with_undefined_values(spark):
+    m = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0), (2, 2, None), (0, 2, None), (2, 0, None)], "i long, j long, value double")
+    rows = {(r.i, r.j): r.value for r in rel.invert_relationship_matrix(m, [0, 1, 2]).collect()}
+    assert rows[0, 0] == 0.5 and rows[1, 1] == 0.25 and rows[2, 2] is None and rows[0, 2] is None
 
 
 def test_distance(spark):
@@ -219,6 +244,18 @@ def test_pedigree_small(spark, ws):
     assert s == {0: (None, None), 2: (None, 0), 3: (2, 0), 5: (None, 3)}
 
 
+def test_sparse_self_kinship_is_the_diagonal():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n = int(rng.integers(1, 40))
+        parents = np.array([[-1, -1] if i < 3 or rng.random() < 0.2 else [int(rng.integers(0, i)), int(rng.integers(0, i))] for i in range(n)])
+        turn = rng.permutation(n)
+        back = np.argsort(turn)
+        parents = np.where(parents[turn] >= 0, back[parents[turn]], -1)
+        for g in (ped.Gametes.diploid(parents), ped.Gametes(parents, np.full((n, 2), 2.0), np.full((n, 2), 0.1))):
+            assert np.allclose(ped.self_kinship(g), np.diag(ped.kinship(g)))
+
+
 def test_hamilton_kerr(spark):
     cols = ["ped", "id", "p", "q", "tau_p", "lambda_p", "tau_q", "lambda_q"]
     rows = [
@@ -315,6 +352,10 @@ def test_pca_matches_svd(spark):
     assert np.allclose(explained["ratio"], (u[:, :3] * s[:3]).var(0) / z.var(0).sum())
     comp = np.array([r.component for r in loadings.orderBy("variant_index").collect()])
     assert np.allclose(np.abs(comp), np.abs(vt[:3].T), atol=1e-6)
+    proj2, explained2, loadings2 = assoc.pca(long(spark, x), 12, 3, algorithm="randomized")
+    assert np.allclose(proj2["value"], proj["value"], atol=1e-5) and np.allclose(explained2["ratio"], explained["ratio"])
+    with pytest.raises(ValueError):
+        assoc.pca(long(spark, x).where("not (variant_index = 3 and sample_index = 2)"), 12, 3, missing="error").count()
 
 
 def test_pc_relate_and_gene_test(spark):
