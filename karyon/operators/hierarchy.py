@@ -50,7 +50,7 @@ def hierarchy(nodes: DataFrame, ws: Workspace, salts: int = 64, bin_size: int =
     held = base.join(stuck.select("grp", "id"), ["grp", "id"], "left_anti") if stuck is not None else base
     size = held.join(sizes, ["grp", "id"], "left").select("grp", "id", "parent", (F.coalesce("gain", F.lit(0)) + 1).alias("size"))
     placed = _preorder(ws.save(size, "sizes"), ws, salts)
-    trees = _read_ranges(placed, bin_size)
+    trees = _read_ranges(placed, ws, bin_size)
     return trees if stuck is None else trees.unionByName(_loops(stuck, ws))
 
 
@@ -58,23 +58,24 @@ def _sizes(base: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame | None]
     """Numbers of descendants (grp, id, gain; no row for leaves), and the nodes whose line never ends.
 
     A node hands what it has gathered to the node 2^k steps up in round k. Only
-    nodes with so long a line are in the round; what others gain is kept aside.
+    nodes with so long a line are in the round; what all gain is summed at the end.
     """
     active = ws.save(base.where("parent is not null").select("grp", "id", "parent", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size")), "active", n=F.count(F.lit(1)))
-    gains, n = [], active.facts["n"]
+    rounds, n = [], active.facts["n"]
     while n:
-        gain = ws.save(active.groupBy("grp", F.col("ptr").alias("id")).agg(F.sum("size").alias("gain")), "gain")
-        gains.append(gain)
+        rounds.append(active)
+        gain = active.groupBy("grp", F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
         up = active.select("grp", F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
         # The line of a node without a match ends here.
         moved = active.join(up.hint("merge"), ["grp", "ptr"]).join(gain, ["grp", "id"], "left")
-        active = ws.save(moved.select("grp", "id", "parent", F.col("ptr2").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "active", drop=active, n=F.count(F.lit(1)))
+        active = ws.save(moved.select("grp", "id", "parent", F.col("ptr2").alias("ptr"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "active", n=F.count(F.lit(1)))
         left = active.facts["n"]
         if left == n:  # no line ended in this round, so none ever will
             break
         n = left
-    none = base.limit(0).select("grp", "id", F.lit(0).cast("long").alias("gain"))
-    total = reduce(DataFrame.unionByName, gains, none).groupBy("grp", "id").agg(F.sum("gain").alias("gain"))
+    none = base.limit(0).select("grp", F.col("parent").alias("ptr"), F.lit(0).cast("long").alias("size"))
+    handed = reduce(DataFrame.unionByName, [r.select("grp", "ptr", "size") for r in rounds], none)
+    total = handed.groupBy("grp", F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
     return total, active.select("grp", "id", "parent") if n else None
 
 
@@ -100,7 +101,7 @@ def _preorder(sized: DataFrame, ws: Workspace, salts: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done).select("grp", "id", "parent", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("last"))
 
 
-def _read_ranges(placed: DataFrame, bin_size: int) -> DataFrame:
+def _read_ranges(placed: DataFrame, ws: Workspace, bin_size: int) -> DataFrame:
     """Add root and depth: the last root to begin at or before a node, and how many ranges are open there.
 
     Every number of a grp begins one range, so the open ones are the number less the
@@ -110,6 +111,7 @@ def _read_ranges(placed: DataFrame, bin_size: int) -> DataFrame:
     """
     null = F.lit(None).cast("long")
     ends = placed.groupBy("grp", (F.col("last") + 1).alias("pre")).agg(F.count("*").alias("ends"))
+    ends = ws.save(ends, "ends")  # read twice
     begin = placed.select("grp", "id", "parent", "size", "pre", "last", F.when(F.col("parent").isNull(), F.col("id")).alias("first"), F.lit(0).cast("long").alias("ends"))
     events = begin.unionByName(ends.select("grp", null.alias("id"), null.alias("parent"), null.alias("size"), "pre", null.alias("last"), null.alias("first"), "ends"))
     events = events.withColumn("bin", F.floor(F.col("pre") / bin_size))
