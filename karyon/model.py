@@ -36,29 +36,60 @@ class Spec:
 
 _KINDS = {"i": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "f": (T.FloatType, T.DoubleType), "b": (T.BooleanType,), "s": (T.StringType,)}
 
-#: Registered variables by table. Fixed values.
-_REGISTERED = {
-    "contigs": "contig_id:s",
-    "variants": "variant_contig:i variant_position:i variant_id:s variant_allele:s1 variant_allele_count:i1 variant_allele_frequency:f1 variant_allele_total:i variant_call_rate:f variant_genotype_count:i1 variant_hwe_p_value:f variant_n_called:i variant_n_het:i variant_n_hom_alt:i variant_n_hom_ref:i variant_n_non_ref:i variant_ploidy:i variant_score:f",
-    "samples": "sample_id:s sample_cohort:i sample_call_rate:f sample_n_called:i sample_n_het:i sample_n_hom_alt:i sample_n_hom_ref:i sample_n_non_ref:i sample_ploidy:i parent:i1 parent_id:s1 stat_Hamilton_Kerr_tau:i1 stat_Hamilton_Kerr_lambda:f1 stat_pedigree_inbreeding:f sample_pca_projection:f1 covariates:f1 traits:f1",
-    "calls": "call_genotype:i1 call_genotype_phased:b call_genotype_probability:f1 call_dosage:f call_allele_count:i1 call_allele_frequency:f1 call_heterozygosity:f call_ploidy:i call_genotype_index:i call_genotype_complete:i1",
-    "variant_cohort": "cohort_allele_count:i1 cohort_allele_frequency:f1",
-    "windows": "window_contig:i window_start:i window_stop:i",
-}
-
-
-def _specs() -> dict[str, Spec]:
-    out: dict[str, Spec] = {}
-    for table, text in _REGISTERED.items():
-        for item in text.split():
-            name, kind = item.split(":")
-            if name in out:
-                raise ValueError(f"{name} is registered twice")
-            out[name] = Spec(name, table, kind[0], int(kind[1:] or 0))
-    return out
-
-
-SPECS = _specs()
+#: Registered variables: name, table, kind, array dimensions. Fixed values.
+_REGISTERED = [
+    Spec("contig_id", "contigs", "s", 0),
+    Spec("variant_contig", "variants", "i", 0),
+    Spec("variant_position", "variants", "i", 0),
+    Spec("variant_id", "variants", "s", 0),
+    Spec("variant_allele", "variants", "s", 1),
+    Spec("variant_allele_count", "variants", "i", 1),
+    Spec("variant_allele_frequency", "variants", "f", 1),
+    Spec("variant_allele_total", "variants", "i", 0),
+    Spec("variant_call_rate", "variants", "f", 0),
+    Spec("variant_genotype_count", "variants", "i", 1),
+    Spec("variant_hwe_p_value", "variants", "f", 0),
+    Spec("variant_n_called", "variants", "i", 0),
+    Spec("variant_n_het", "variants", "i", 0),
+    Spec("variant_n_hom_alt", "variants", "i", 0),
+    Spec("variant_n_hom_ref", "variants", "i", 0),
+    Spec("variant_n_non_ref", "variants", "i", 0),
+    Spec("variant_ploidy", "variants", "i", 0),
+    Spec("variant_score", "variants", "f", 0),
+    Spec("sample_id", "samples", "s", 0),
+    Spec("sample_cohort", "samples", "i", 0),
+    Spec("sample_call_rate", "samples", "f", 0),
+    Spec("sample_n_called", "samples", "i", 0),
+    Spec("sample_n_het", "samples", "i", 0),
+    Spec("sample_n_hom_alt", "samples", "i", 0),
+    Spec("sample_n_hom_ref", "samples", "i", 0),
+    Spec("sample_n_non_ref", "samples", "i", 0),
+    Spec("sample_ploidy", "samples", "i", 0),
+    Spec("parent", "samples", "i", 1),
+    Spec("parent_id", "samples", "s", 1),
+    Spec("stat_Hamilton_Kerr_tau", "samples", "i", 1),
+    Spec("stat_Hamilton_Kerr_lambda", "samples", "f", 1),
+    Spec("stat_pedigree_inbreeding", "samples", "f", 0),
+    Spec("sample_pca_projection", "samples", "f", 1),
+    Spec("covariates", "samples", "f", 1),
+    Spec("traits", "samples", "f", 1),
+    Spec("call_genotype", "calls", "i", 1),
+    Spec("call_genotype_phased", "calls", "b", 0),
+    Spec("call_genotype_probability", "calls", "f", 1),
+    Spec("call_dosage", "calls", "f", 0),
+    Spec("call_allele_count", "calls", "i", 1),
+    Spec("call_allele_frequency", "calls", "f", 1),
+    Spec("call_heterozygosity", "calls", "f", 0),
+    Spec("call_ploidy", "calls", "i", 0),
+    Spec("call_genotype_index", "calls", "i", 0),
+    Spec("call_genotype_complete", "calls", "i", 1),
+    Spec("cohort_allele_count", "variant_cohort", "i", 1),
+    Spec("cohort_allele_frequency", "variant_cohort", "f", 1),
+    Spec("window_contig", "windows", "i", 0),
+    Spec("window_start", "windows", "i", 0),
+    Spec("window_stop", "windows", "i", 0),
+]
+SPECS = {spec.name: spec for spec in _REGISTERED}
 
 
 def validate(df: DataFrame, *names: str) -> None:
@@ -231,3 +262,22 @@ def display_genotypes(ds: GenoDataset, max_variants: int = 60, max_samples: int
             lines.append("...")
         lines.append("\t".join([str(v), *[("...\t" if gap(j, ss) else "") + shown.get((v, s), ".") for j, s in enumerate(ss)]]))
     return "\n".join(lines)
+
+
+def num_contigs(ds: GenoDataset) -> int:
+    """How many contigs the variants may have: those of the contig table, else those named with the dataset."""
+    return ds["contigs"].count() if "contigs" in ds.tables else len(ds.attrs.get("contigs", []))
+
+
+def get_contigs(ds: GenoDataset) -> list[str]:
+    """Names of contigs in the order of their numbers."""
+    if "contigs" in ds.tables:
+        return [r["contig_id"] for r in ds["contigs"].orderBy("contig_index").collect()]  # one row per contig
+    return list(ds.attrs.get("contigs", []))
+
+
+def get_filters(ds: GenoDataset) -> list[str]:
+    """Names of variant filters, those of the filter table or those named with the dataset."""
+    if "filters" in ds.tables:
+        return [r["filter_id"] for r in ds["filters"].orderBy("filter_index").collect()]  # one row per filter
+    return list(ds.attrs.get("filters", []))

@@ -6,6 +6,8 @@ one shuffle of partial sums on its key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,13 +98,14 @@ def infer_ploidy(calls: DataFrame, key: str, gt: str = "call_genotype") -> DataF
     return calls.groupBy(key).agg(F.when(F.min(p) == F.max(p), F.min(p)).otherwise(F.lit(-1)).alias("ploidy"))
 
 
-def cohort_reduce(values: DataFrame, samples: DataFrame, keys: list[str], value: str, how: str) -> DataFrame:
-    """``sum``, ``mean`` (null if any value is), ``nansum`` or ``nanmean`` by cohort."""
+def cohort_reduce(values: DataFrame, samples: DataFrame, keys: list[str], value: str, how: str | Callable[[Column], Column]) -> DataFrame:
+    """``sum``, ``mean`` (null if any value is), ``nansum`` or ``nanmean`` by cohort, or an aggregate that ``how`` makes of the column."""
     x = F.col(value)
     agg = {"sum": C.cohort_sum(x), "mean": C.cohort_mean(x), "nansum": F.coalesce(F.sum(x), F.lit(0.0)), "nanmean": F.avg(x)}
-    if how not in agg:
+    if not callable(how) and how not in agg:
         raise ValueError(f"no reduction {how}")
-    return with_cohort(values, samples).groupBy(*keys, "cohort").agg(agg[how].alias("value"))
+    made = how(x) if callable(how) else agg[how]
+    return with_cohort(values, samples).groupBy(*keys, "cohort").agg(made.alias("value"))
 
 
 def observed_heterozygosity(calls: DataFrame, samples: DataFrame, n_alleles: int, gt: str = "call_genotype", ploidy: int | None = None) -> DataFrame:

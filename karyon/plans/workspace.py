@@ -51,6 +51,13 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:04d}-{name}"
 
+    def folder(self, name: str) -> str:
+        """A new folder for files of other formats, dropped with the workspace."""
+        jvm, path = self.spark._jvm, self.path(name)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+        return path
+
     def save(self, df: DataFrame, name: str, drop: DataFrame | None = None, **facts: Column) -> DataFrame:
         """Write ``df`` and read it back; then drop the table ``drop`` came from.
 

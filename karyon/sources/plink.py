@@ -71,11 +71,14 @@ class BedReader(DataSourceReader):
         self.samples = int(options["samples"])
         self.variants = int(options["variants"])
         self.per_task = int(options.get("variantspertask", 10_000))
+        self.packed = str(options.get("packed", "false")).lower() == "true"
+        self.first = max(0, int(options.get("first", 0)))
+        self.stop = min(self.variants, int(options.get("stop", self.variants)))
         if str(options.get("counta1", "false")).lower() == "true":
             raise ValueError("only calls that count the second allele are read")
 
     def partitions(self) -> list[VariantRange]:
-        return [VariantRange(a, min(a + self.per_task, self.variants)) for a in range(0, self.variants, self.per_task)]
+        return [VariantRange(a, min(a + self.per_task, self.stop)) for a in range(self.first, self.stop, self.per_task)]
 
     def read(self, part: VariantRange) -> Iterator[pa.RecordBatch]:
         fs, inner = open_fs(self.path)
@@ -88,28 +91,44 @@ class BedReader(DataSourceReader):
                 f.seek(3 + at * width)
                 raw = np.frombuffer(f.read(n * width), np.uint8).reshape(n, width)
                 codes = ((raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(n, -1)[:, : self.samples]
+                if self.packed:
+                    known = codes != 1
+                    ends = np.concatenate([[0], np.cumsum(known.sum(1))]).astype(np.int32)
+                    idx, val = np.nonzero(known)[1].astype(np.int32), CALLS[codes].sum(2)[known].astype(float)
+                    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (idx, val)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), *lists], ["variant_index", "idx", "val"])
+                    continue
                 calls = CALLS[codes].reshape(-1)
                 gt = pa.ListArray.from_arrays(pa.array(np.arange(0, len(calls) + 1, 2, dtype=np.int32)), pa.array(calls))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(at, at + n), self.samples)), pa.array(np.tile(np.arange(self.samples, dtype=np.int32), n)), gt], ["variant_index", "sample_index", "call_genotype"])
 
 
 class BedDataSource(DataSource):
-    """``spark.read.format("plink_bed")`` with options path, samples, variants."""
+    """``spark.read.format("plink_bed")`` with options path, samples, variants; of variants from ``first`` to before ``stop``.
+
+    With ``packed`` a variant is one row: its samples with a known call and their
+    dosages of the first allele counted, which :func:`packed_rows` takes as they are.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "plink_bed"
 
     def schema(self) -> str:
+        if str(self.options.get("packed", "false")).lower() == "true":
+            return "variant_index bigint, idx array<int>, val array<double>"
         return "variant_index bigint, sample_index int, call_genotype array<tinyint>"
 
     def reader(self, schema) -> BedReader:  # noqa: ANN001
         return BedReader(self.options)
 
 
-def read_plink(spark: SparkSession, path: str | None = None, *, bed_path: str | None = None, bim_path: str | None = None, fam_path: str | None = None, fam_sep: str = " ", bim_sep: str = "\t", bim_int_contig: bool = False) -> dict[str, DataFrame]:
+def read_plink(spark: SparkSession, path: str | None = None, *, bed_path: str | None = None, bim_path: str | None = None, fam_path: str | None = None, fam_sep: str = " ", bim_sep: str = "\t", bim_int_contig: bool = False, first: int = 0, stop: int | None = None) -> dict[str, DataFrame]:
     """Tables variants, samples, calls of a fileset: by ``path`` without suffix, or three paths.
 
+    ``packed`` has the calls' dosages by variant, as the matrix operators take them.
+    ``first`` and ``stop`` bound the variants; others aren't read from the .bed file.
+
     variant_contig numbers contigs by first appearance (or is the contig's own
     number); alleles are (a1, a2) and calls count a2... as codes say.
     """
@@ -123,16 +142,19 @@ def read_plink(spark: SparkSession, path: str | None = None, *, bed_path: str |
     if bim_int_contig:
         v = v.withColumn("variant_contig", F.col("contig").cast("int"))
     else:
-        first = v.groupBy("contig").agg(F.min("variant_index").alias("f")).collect()  # one row per contig
-        names = [r["contig"] for r in sorted(first, key=lambda r: r["f"])]
+        begin = v.groupBy("contig").agg(F.min("variant_index").alias("f")).collect()  # one row per contig
+        names = [r["contig"] for r in sorted(begin, key=lambda r: r["f"])]
         code = F.lit(None).cast("int")
         for i, c in enumerate(names):
             code = F.when(F.col("contig").eqNullSafe(F.lit(c)), F.lit(i)).otherwise(code)
         v = v.withColumn("variant_contig", code)
     v = v.select("variant_index", "variant_contig", F.col("contig"), F.col("pos").alias("variant_position"), "variant_id", "cm_pos", F.array("a1", "a2").alias("variant_allele"))
     spark.dataSource.register(BedDataSource)
-    calls = spark.read.format("plink_bed").option("path", bed).option("samples", s.count()).option("variants", v.count()).load()
-    return {"variants": v, "samples": s.withColumnRenamed("member_id", "sample_id"), "calls": calls}
+    n_variants, n_samples = v.count(), s.count()
+    stop = n_variants if stop is None else min(stop, n_variants)
+    bed_of = lambda packed: spark.read.format("plink_bed").option("path", bed).option("samples", n_samples).option("variants", n_variants).option("first", first).option("stop", stop).option("packed", packed).load()
+    inside = v.where((F.col("variant_index") >= first) & (F.col("variant_index") < stop))
+    return {"variants": inside, "samples": s.withColumnRenamed("member_id", "sample_id"), "calls": bed_of("false"), "packed": bed_of("true")}
 
 
 def write_plink(tables: dict[str, DataFrame], path: str, rows_per_part: int = 4096) -> None:
@@ -186,6 +208,8 @@ def _lines(df: DataFrame, path: str, sep: str, cols: list) -> None:
 def plink_to_parquet(spark: SparkSession, path: str, out: str, **how) -> None:  # noqa: ANN003
     """Read a fileset and write its tables as Parquet directories."""
     for name, df in read_plink(spark, path, **how).items():
+        if name == "packed":  # the calls again
+            continue
         df.write.mode("errorifexists").parquet(f"{out}/{name}")
 
 
