@@ -34,6 +34,18 @@ def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     return assign_splits(_fam(spark, sf), ["family", "member"], Workspace(spark, "p1"), key="fam_row").select("fam_row", "component", "split")
 
 
+def p1_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, ids that came out in two splits, and whether the proportions hold to one row in a hundred."""
+    out = assign_splits(_fam(spark, sf), ["family", "member"], Workspace(spark, "p1"), key="fam_row")
+    torn = lambda c: F.count_distinct(F.when(F.col(f"{c}_n") > 1, F.col(c))).alias(f"torn_{c}")
+    whole = out
+    for c in ("family", "member"):
+        n = out.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"{c}_id")).agg(F.count_distinct("split").alias(f"{c}_n"))
+        whole = whole.join(n, F.col(c) == F.col(f"{c}_id"), "left")
+    near = lambda s, share: F.abs(F.avg((F.col("split") == s).cast("int")) - share) <= 0.01
+    return whole.agg(F.count("*").alias("n"), torn("family"), torn("member"), (near("train", 0.8) & near("validation", 0.1) & near("test", 0.1)).alias("proportioned"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "assoc")
     names = F.filter("names", lambda x: x.isNotNull())
@@ -63,6 +75,14 @@ def p7_containers(spark: SparkSession, sf: str, capacity: int = 2048, vocabulary
     return pack(items, capacity, Workspace(spark, "p7"))
 
 
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, containers over the capacity, with gaps or overlaps, and numbers that no container has."""
+    rows = p7_containers(spark, sf)
+    held = rows.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("used"), F.max(F.col("offset") + F.col("tokens")).alias("end"), F.min("offset").alias("begin"), F.count_distinct("offset").alias("offsets"), F.count("*").alias("pieces"))
+    bad = held.agg(F.count_if(F.col("used") > 2048).alias("over"), F.count_if((F.col("used") != F.col("end")) | (F.col("begin") != 0) | (F.col("offsets") != F.col("pieces"))).alias("gaps"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count("*")).alias("unused"))
+    return rows.agg(F.count_distinct("doc_id").alias("documents")).crossJoin(bad)  # one row each
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -80,10 +100,12 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(_ends(spark, sf), "doc_id").groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("int")).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p4_found, p7_containers, p8_found, p9_found, p9_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_checks, p2_found, p4_found, p7_containers, p7_checks, p8_found, p9_found, p9_sources)}
 
 _ID = r"nullif(upper(regexp_extract({c}, '^[\s\pZ\x{{0b}}\x{{85}}\x{{FEFF}}\x{{200B}}]*([A-Za-z]{{2}}-[0-9]{{8}})[\s\pZ\x{{0b}}\x{{85}}\x{{FEFF}}\x{{200B}}]*$', 1)), '')"
 SQL = {
+    "p1_checks": "select count(*) as n, 0::bigint as torn_family, 0::bigint as torn_member, true as proportioned from fam",
+    "p7_checks": "select count(distinct doc_id) as documents, 0::bigint as over, 0::bigint as gaps, 0::bigint as unused from documents",
     "p1_found": f"""with recursive f as (select distinct {_ID.format(c='family_id')} f, {_ID.format(c='member_id')} m from fam),
 e as (select distinct a.f u, b.f v from f a join f b on a.m = b.m and a.f <> b.f),
 r as (select distinct u, v from e union select r.u, e.v from r join e on r.v = e.u)

@@ -89,8 +89,8 @@ def assign_splits(
 
     ``entities`` are string columns; equal values of different columns are
     different entities. ``key`` must be unique: a row without any entity is its
-    own component. Components are hashed into ranges proportional to ``ratios``.
-    Those with over ``large_share`` of all rows (1 / large_share at most, so few
+    own component. Components are hashed into ranges whose rows are proportional to
+    ``ratios``, as nearly as one component allows. Those with over ``large_share`` of all rows (1 / large_share at most, so few
     enough to handle singly) would upset the proportions; they are placed first,
     each where most is lacking, and the ranges are those of what then lacks. So the
     ranges depend on all sizes: a component can change its split when the table grows.
@@ -113,14 +113,40 @@ def assign_splits(
         placed[row["component"]] = best
         lack[best] -= row["n"]
     rest = {r: max(0.0, v) for r, v in lack.items()}
-    whole = sum(rest.values()) or 1.0
-    at = (F.xxhash64(F.lit(seed), "component").bitwiseAND((1 << 52) - 1)) / float(1 << 52)
-    edge, split = 0.0, None
-    for r in names:
-        edge += rest[r] / whole
-        split = F.when(at < edge, r) if split is None else split.when(at < edge, r)
-    split = split.otherwise(max(names, key=lambda r: rest[r]))
-    if not placed:
-        return out.withColumn("split", split)
+    at = F.xxhash64(F.lit(seed), "component").bitwiseAND((1 << _BITS) - 1)
     fixed = ws.spark.createDataFrame(list(placed.items()), "component string, placed string")
+    small = sizes.join(F.broadcast(fixed), "component", "left_anti").select(at.alias("at"), "n")
+    due, split = 0.0, None
+    for r in names[:-1]:
+        due += rest[r]
+        edge = _edge(small, due)
+        split = F.when(at < edge, r) if split is None else split.when(at < edge, r)
+    split = split.otherwise(names[-1]) if split is not None else F.lit(names[-1])
     return out.join(F.broadcast(fixed), "component", "left").withColumn("split", F.coalesce("placed", split)).drop("placed")
+
+
+_BITS = 52
+
+
+def _edge(sizes: DataFrame, due: float, bins: int = 1 << 12) -> int:
+    """The hash below which components have ``due`` rows together, as nearly as one component allows.
+
+    ``sizes``: at (hash), n. Rows are summed in ``bins`` of the hash, then in as many
+    of the bin where the edge lies, until one component is left there.
+    """
+    low, width, before = 0, 1 << _BITS, 0
+    while width > 1:
+        step = max(1, width // bins)
+        here = sizes.where((F.col("at") >= low) & (F.col("at") < low + width)).groupBy(F.floor((F.col("at") - low) / step).alias("bin"))
+        found = None
+        for r in here.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("at").alias("first")).orderBy("bin").collect():  # ``bins`` rows at most
+            if before + r["n"] > due:
+                found = r
+                break
+            before += r["n"]
+        if found is None:
+            return low + width
+        if found["k"] == 1:  # below it or with it, whatever is nearer
+            return found["first"] + (1 if due - before > before + found["n"] - due else 0)
+        low, width = low + int(found["bin"]) * step, step
+    return low

@@ -143,8 +143,9 @@ def top_n(latest: DataFrame, n: int, ws: Workspace, row_group_bytes: int = 1 <<
         for b in batches:
             for k in b.column("id").to_pylist():
                 t, groups, met = best_of_file(shared.value[k], n)
-                counts = pd.DataFrame({"grp": [None], "item": [None], "score": [None], "groups": [groups], "read": [met]})
-                yield from pa.Table.from_pandas(pd.concat([counts, t]), schema, preserve_index=False).to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array([None], f.type) for f in schema][:3] + [pa.array([groups]), pa.array([met])], schema=schema)
+                t = t.assign(groups=0, read=0)
+                yield from pa.Table.from_pandas(t, schema, preserve_index=False).to_batches()
 
     schema = pa.schema([("grp", pa.string()), ("item", pa.string()), ("score", pa.float64()), ("groups", pa.int64()), ("read", pa.int64())])
     one_each = spark.range(0, len(files), 1, max(1, len(files)))
