@@ -37,7 +37,7 @@ def query(sql: str, doubles: str = ""):
 def _fileset(spark: SparkSession, sf: str, **how) -> dict[str, DataFrame]:  # noqa: ANN003
     """The derived tables, written as a PLINK fileset and read again."""
     v = gen.variants(spark, sf).select("variant_index", "contig", F.concat(F.lit("rs"), F.col("p_partkey").cast("string")).alias("variant_id"), F.lit(0.5).alias("cm_pos"), F.col("position").cast("int").alias("variant_position"), F.array(F.lit("A"), F.lit("C")).alias("variant_allele"))
-    s = gen.table(spark, sf, "supplier").select((F.dense_rank().over(_BY_KEY) - 1).cast("int").alias("sample_index"), "s_suppkey", F.lit("F").alias("family_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("sample_id"), F.lit(".").alias("paternal_id"), F.lit(".").alias("maternal_id"), (F.col("s_nationkey") % 3).alias("sex"), F.lit(-1).alias("phenotype"))
+    s = gen.table(spark, sf, "supplier").select((F.dense_rank().over(Window.orderBy("s_suppkey")) - 1).cast("int").alias("sample_index"), "s_suppkey", F.lit("F").alias("family_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("sample_id"), F.lit(".").alias("paternal_id"), F.lit(".").alias("maternal_id"), (F.col("s_nationkey") % 3).alias("sex"), F.lit(-1).alias("phenotype"))
     at = s.select(F.col("s_suppkey").alias("key"), F.col("sample_index").alias("at"))
     c = gen.indexed(spark, sf).join(at, F.col("sample_index") == F.col("key")).select("variant_index", F.col("at").alias("sample_index"), "call_genotype")
     ws = Workspace(spark, "fileset")
@@ -45,8 +45,6 @@ def _fileset(spark: SparkSession, sf: str, **how) -> dict[str, DataFrame]:  # no
     write_plink({"variants": v, "samples": s.drop("s_suppkey"), "calls": c}, path)
     return read_plink(spark, path, **how)
 
-
-_BY_KEY = Window.orderBy("s_suppkey")
 _SI = "so as (select s_suppkey, row_number() over (order by s_suppkey) - 1 rk from supplier),\n"
 
 
