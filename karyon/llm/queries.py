@@ -80,7 +80,9 @@ def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
     rows = p7_containers(spark, sf)
     held = rows.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("used"), F.max(F.col("offset") + F.col("tokens")).alias("end"), F.min("offset").alias("begin"), F.count_distinct("offset").alias("offsets"), F.count("*").alias("pieces"))
     bad = held.agg(F.count_if(F.col("used") > 2048).alias("over"), F.count_if((F.col("used") != F.col("end")) | (F.col("begin") != 0) | (F.col("offsets") != F.col("pieces"))).alias("gaps"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count("*")).alias("unused"))
-    return rows.agg(F.count_distinct("doc_id").alias("documents")).crossJoin(bad)  # one row each
+    names = ["documents", "over", "gaps", "unused"]
+    both = rows.agg(F.count_distinct("doc_id").alias("documents")).unionByName(bad, allowMissingColumns=True)
+    return both.agg(*[F.max(n).alias(n) for n in names])
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
