@@ -3,7 +3,8 @@ import tracemalloc
 
 import numpy as np
 
-from karyon.llm.leak import Scheme, align, align_band, leaked, scores_band, span_for, walks_needed, words
+from karyon.llm import leak
+from karyon.llm.leak import Item, Scheme, Speller, Texts, Walks, align, align_band, bounds_band, leaked, scores_band, span_for, verify, walk_keys, walks_needed, words
 
 D, I = "doc_id long, text string, item_id long", "item_id long, item_text string, text string"  # noqa: E741
 
@@ -108,3 +109,60 @@ def test_walks_reach_the_stated_recall():
 def test_words():
     assert words("The Cr 12,300_x—ÉTÉ") == ["the", "cr", "12", "300", "x", "été"]
     assert Scheme().fitting(6).span <= 2
+
+
+def test_bounds_are_not_below_scores():
+    rng = np.random.default_rng(5)
+    for rows, cols, n in ((30, 12, 64), (9, 4, 8), (70, 40, 16)):
+        a, b = rng.integers(1, 9, (rows, n)) * 2 + 1, rng.integers(1, 9, (rows + cols - 1, n)) * 2 + 1
+        b[5 : 5 + rows // 2] = a[: rows // 2]
+        scores = scores_band([(a[:, k].astype(np.uint64), b[:, k].astype(np.uint64)) for k in range(n)], 7)
+        for block, enough in ((4, 1e9), (4, 6.0), (8, 1e9), (1, 1e9)):
+            if cols % block == 0:
+                bounds = bounds_band(a.astype(np.uint16), b.astype(np.uint16), block, enough)
+                assert (bounds >= np.minimum(scores, enough)).all()
+                assert (bounds >= scores).all() or enough < 1e9
+
+
+def test_stock_phrases_are_not_aligned_and_no_case_is_lost(monkeypatch):
+    rng = random.Random(31)
+    stock = prose(rng, 8).split()
+    bodies = [prose(rng, rng.randrange(90, 150)).split() for _ in range(20)]
+    items = [Item(" ".join(w[:40] + stock + w[40:])) for w in bodies]
+    texts, todo, want = [], [], set()
+    for d in range(30):
+        own = d % 20
+        kept = [t[:-1] + "z" if rng.random() < 0.3 and len(t) > 3 else t for t in bodies[own][: len(bodies[own]) // 2]] if d % 3 == 0 else []
+        texts.append(" ".join([prose(rng, 120), *kept[:40], *stock, *kept[40:], prose(rng, 200)]))
+        at = 120 + len(kept[:40])
+        todo += [(d, i, at - 40 - x.size // 6 - 12, at - 40 + x.size // 6 + 12 + x.size) for i, x in enumerate(items)]
+        want |= {(d, own)} if kept else set()
+    read, speller, todo, aligned = Texts(texts), Speller({t for x in items for t in x.known}), np.array(todo), []
+    whole = set().union(*(verify(todo[k : k + 15], read, items, speller, 1 / 3) for k in range(0, len(todo), 15)))  # too few for the bound
+    monkeypatch.setattr(leak, "scores_band", lambda pairs: aligned.append(len(pairs)) or scores_band(pairs))
+    assert verify(todo, read, items, speller, 1 / 3) == whole == want
+    assert aligned[0] < len(todo) / 5
+
+
+def test_texts_have_the_words_of_their_letters():
+    texts = ["The Cr 12,300_x—ÉTÉ", "", " ", "İstanbul straße ǅ a\u0301b \ud800x \x00y 漢字_かな", "x" * 200_000 + " end " + "ab ba " * 40_000, "end", "한국어 ½ x² _"]
+    read, known = Texts(texts), {}
+    for d, t in enumerate(texts):
+        found = words(t)
+        assert read.words(d, 0, len(found) + 5) == found and read.words(d, 1, 3) == found[1:3]
+        assert len(read.hashes[d]) == len(found) and (read.hashes[d] & np.uint64(1)).all()
+        assert all(known.setdefault(w, h) == h for w, h in zip(found, read.hashes[d].tolist()))
+    assert len(set(known.values())) == len(known)
+    assert Texts([]).hashes == [] and [len(h) for h in Texts([""]).hashes] == [0]
+
+
+def test_keys_of_both_widths_are_alike_together():
+    rng = np.random.default_rng(6)
+    h = rng.integers(1, 1 << 62, 400, dtype=np.uint64)[rng.integers(0, 400, 5000)] | np.uint64(1)
+    h[3000:3100] = h[1000:1100]
+    for span in (1, 10, 40, 80):
+        w = Walks(span, 3, 8, 7)
+        wide, narrow = walk_keys(h, w, 700), walk_keys(h, w, 900, np.uint32)
+        for x, y in zip(wide, narrow):
+            same = x[:2500, None] == x[None, 2500:]
+            assert same.any() and np.array_equal(same, y[:2500, None] == y[None, 2500:])
