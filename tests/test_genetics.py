@@ -276,6 +276,18 @@ def test_hamilton_kerr(spark):
     assert np.allclose((own * size - 1) / (size - 1), [0, 0, 1 / 3, 0.07222222])
 
 
+def test_singular_kinship_is_an_error(spark):
+    """A copy of a parent has no inverse; neither has an individual without kinship."""
+    df = spark.createDataFrame([(1, 0, None, None, 1.0, 0.0, 1.0, 0.0), (1, 1, 0, None, 2.0, 0.0, 0.0, 0.0)], f"{PED}, tau_p double, lambda_p double, tau_q double, lambda_q double")
+    kin = ped.pedigree_kinship(df)
+    assert {(r.i, r.j): r.value for r in kin.collect()} == {(0, 0): 0.5, (0, 1): 0.5, (1, 1): 0.5}
+    with pytest.raises(Exception, match="singular"):
+        ped.pedigree_inverse_kinship(df, kin).collect()
+    two = spark.createDataFrame([(1, 0, None, None), (1, 1, None, None)], PED)
+    with pytest.raises(Exception, match="individual 1"):
+        ped.pedigree_inverse_kinship(two, ped.pedigree_kinship(two).where("i = 0")).collect()
+
+
 def test_order_and_half_founders():
     assert list(ped.order(np.array([[1, 2], [-1, -1], [1, -1]]))) == [1, 2, 0]
     with pytest.raises(ValueError):
