@@ -288,6 +288,20 @@ def test_singular_kinship_is_an_error(spark):
         ped.pedigree_inverse_kinship(two, ped.pedigree_kinship(two).where("i = 0")).collect()
 
 
+def test_inverse_without_the_kinship_of_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, i, *((None, None) if i < 3 else (int(rng.integers(0, i)), int(rng.integers(0, i))))) for k in (1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, PED)
+    kin = ped.pedigree_kinship(df)
+    a, b = ({(r.ped, r.i, r.j): r.value for r in x.collect()} for x in (ped.pedigree_inverse_kinship(df), ped.pedigree_inverse_kinship(df, kin)))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    copy = spark.createDataFrame([(1, 0, None, None, 1.0, 0.0, 1.0, 0.0), (1, 1, 0, None, 2.0, 0.0, 0.0, 0.0)], f"{PED}, tau_p double, lambda_p double, tau_q double, lambda_q double")
+    with pytest.raises(Exception, match="singular"):
+        ped.pedigree_inverse_kinship(copy).collect()
+    many = spark.range(20000).selectExpr("1L ped", "id", "case when id >= 4 then (id - 1) div 2 end p", "case when id >= 4 then (id - 2) div 3 end q")
+    assert ped.pedigree_inverse_kinship(many).where("i = j").count() == 20000
+
+
 def test_order_and_half_founders():
     assert list(ped.order(np.array([[1, 2], [-1, -1], [1, -1]]))) == [1, 2, 0]
     with pytest.raises(ValueError):
