@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from karyon.functions import calls as C
 from karyon.plans.packing import gram, packed_rows
+from karyon.plans.sparse import runs, sparse_gram
 from karyon.plans.workspace import Workspace
 
 
@@ -21,7 +22,7 @@ def _known(x: np.ndarray) -> np.ndarray:
     return (x >= 0).astype(np.float64)
 
 
-def identity_by_state(calls: DataFrame, n_samples: int, n_alleles: int, method: str = "frequencies", gt: str = "call_genotype", skipna: bool = True) -> DataFrame:
+def identity_by_state(calls: DataFrame, n_samples: int, n_alleles: int, method: str = "frequencies", gt: str = "call_genotype", skipna: bool = True, undefined: bool = True) -> DataFrame:
     """Mean identity of two samples over the variants called in both.
 
     Without ``skipna`` a pair is null unless both are called at every variant that
@@ -29,23 +30,31 @@ def identity_by_state(calls: DataFrame, n_samples: int, n_alleles: int, method:
 
     Over alleles, the products of the two calls' allele frequencies are added, which
     is the chance that alleles drawn from either match; so the methods
-    ``frequencies`` and ``matching`` are one. Without a common variant: null.
+    ``frequencies`` and ``matching`` are one. Without a common variant: null, or no row
+    without ``undefined``.
     """
     if method not in ("frequencies", "matching"):
         raise ValueError(f"unknown method {method}")
     freq = C.frequencies(C.allele_counts(gt, n_alleles))
+    if skipna:
+        names = [f"f{a}" for a in range(n_alleles)]
+        known = calls.select("variant_index", "sample_index", freq.alias("f")).where(F.get("f", F.lit(0)).isNotNull())
+        rows = runs(known.select("variant_index", "sample_index", *[F.get("f", F.lit(a)).alias(k) for a, k in enumerate(names)]), "variant_index", "sample_index", *names)
+        g = sparse_gram(rows, lambda b: {"n": [np.ones(len(b.col))], "s": [b.of[k] for k in names]}, ["n", "s"], n_samples, undefined)
+        return g.select("i", "j", F.try_divide(F.col("s"), F.col("n")).alias("value"))
     rows = None
     for a in range(n_alleles):
         v = calls.select("variant_index", "sample_index", F.get(freq, F.lit(a)).alias("f"))
         part = packed_rows(v, "variant_index", "sample_index", "f")
         rows = part if rows is None else rows.unionByName(part)
+
     def features(x: np.ndarray, _: pd.DataFrame) -> dict:
         k, y = _known(x), np.where(x >= 0, x, 0.0)
-        return {"n": [(k, k)], "s": [(y, y)]} | ({} if skipna else {"all": [(np.ones_like(k), np.ones_like(k))]})
+        return {"n": [(k, k)], "s": [(y, y)], "all": [(np.ones_like(k), np.ones_like(k))]}
 
-    g = gram(rows, features, ["n", "s"] if skipna else ["n", "s", "all"], n_samples)
-    value = F.try_divide(F.col("s"), F.col("n") / n_alleles)
-    return g.select("i", "j", (value if skipna else F.when(F.col("n") == F.col("all"), value)).alias("value"))
+    g = gram(rows, features, ["n", "s", "all"], n_samples)
+    value = F.when(F.col("n") == F.col("all"), F.try_divide(F.col("s"), F.col("n") / n_alleles)).alias("value")
+    return g.select("i", "j", value) if undefined else g.select("i", "j", value).where("value is not null")
 
 
 def weir_goudet_beta(ibs: DataFrame) -> DataFrame:

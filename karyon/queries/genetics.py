@@ -62,10 +62,14 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("sample_index"), (F.col("s_nationkey") % 4 - 1).alias("sample_cohort"), F.col("s_acctbal").alias("trait"))
 
 
-def calls(spark: SparkSession, sf: str) -> DataFrame:
-    """variant_key (the part), sample_index, call_genotype: full, partial and missing calls."""
+def calls(spark: SparkSession, sf: str, together: bool = False) -> DataFrame:
+    """variant_key (the part), sample_index, call_genotype: full, partial and missing calls.
+
+    ``together``: all of a variant lie in one partition, by the only shuffle.
+    """
     o = F.sum("l_orderkey").cast("bigint")
-    g = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    g = (lines.repartition("l_partkey") if together else lines).groupBy("l_partkey", "l_suppkey").agg(
         o.alias("o"), (F.sum("l_linenumber").cast("bigint") % 2).alias("x"), (F.sum("l_quantity").cast("bigint") % 2).alias("y")
     )
     none, half = F.col("o") % 17 == 0, F.col("o") % 13 == 0
@@ -73,9 +77,9 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.col("l_partkey").alias("variant_key"), F.col("l_suppkey").cast("int").alias("sample_index"), gt.alias("call_genotype"))
 
 
-def keyed(spark: SparkSession, sf: str) -> DataFrame:
+def keyed(spark: SparkSession, sf: str, together: bool = False) -> DataFrame:
     """Calls by part key as variant_index, which saves a join where order doesn't matter."""
-    return calls(spark, sf).withColumnRenamed("variant_key", "variant_index")
+    return calls(spark, sf, together).withColumnRenamed("variant_key", "variant_index")
 
 
 def indexed(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,7 +335,7 @@ ib as (select x.si i, y.si j, avg(x.f * y.f + (1 - x.f) * (1 - y.f)) val from fr
 
 @query(_IBS + "z as (select 1) select i, j, val as value from ib", doubles="value")
 def identity_by_state(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.identity_by_state(keyed(spark, sf), n_samples(spark, sf), 2).where("value is not null")
+    return rel.identity_by_state(keyed(spark, sf, True), n_samples(spark, sf), 2, undefined=False)
 
 
 @query(_IBS + "z as (select avg(val) m from ib where i > j) select i, j, (val - m) / (1 - m) as value from ib, z", doubles="value")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from karyon.functions import calls as C
 from karyon.functions.special import betainc, gamma_cdf, t_two_sided
 from karyon.plans.packing import gram, packed_rows
+from karyon.plans.sparse import runs, sparse_gram, whole_rows
 from karyon.operators import aggregation as agg
 from karyon.operators import association as assoc
 from karyon.operators import ld, popgen
@@ -199,6 +200,29 @@ def test_tiles_give_the_same_sums(spark, ws):
     assert packed_rows(packed, "variant_index", "sample_index", "dosage").columns == ["variant_index", "idx", "val"]
 
 
+def test_sparse_sums_take_only_the_pairs_that_meet(spark):
+    rng = np.random.default_rng(12)
+    x = np.where(rng.random((90, 53)) < 0.15, rng.integers(1, 3, (90, 53)).astype(float), np.nan)
+    x[:, 7], x[40:60] = np.nan, rng.integers(1, 3, (20, 53))
+    full, known = np.nan_to_num(x), ~np.isnan(x)
+    rows = runs(long(spark, x).where("dosage is not null"), "variant_index", "sample_index", "dosage")
+    weights = lambda b: {"s": [b.of["dosage"], b.of["dosage"] ** 2], "n": [np.ones(len(b.col))]}
+    for tile, undefined in ((2048, False), (7, False), (7, True)):
+        got = sparse_gram(rows, weights, ["s", "n"], 53, undefined, tile).toPandas()
+        n = known.T.astype(float) @ known
+        assert len(got) == (53 * 53 if undefined else (n > 0).sum()) and not got.duplicated(["i", "j"]).any()
+        assert np.allclose(got["n"], n[got["i"], got["j"]]) and np.allclose(got["s"], (full.T @ full + (full**2).T @ full**2)[got["i"], got["j"]])
+    blocks = list(whole_rows(rows.coalesce(1)._collect_as_arrow(), 50))
+    assert sum(len(b.col) for b in blocks) == known.sum() and sorted(r for b in blocks for r in b.row) == sorted(np.flatnonzero(known.any(1)))
+
+
+def test_identity_by_state_of_many_samples(spark):
+    """6,000 samples, of which a variant has three: only pairs that meet cost memory."""
+    calls = spark.range(2000).selectExpr("id variant_index", "explode(array(3 * id, 3 * id + 1, 3 * id + 2)) s").selectExpr("variant_index", "cast(s as int) sample_index", "array(0, cast(s % 2 as int)) call_genotype")
+    ibs = rel.identity_by_state(calls, 6000, 2, undefined=False)
+    assert ibs.count() == 2000 * 9 and {r.value for r in ibs.where("i = 4 and j in (3, 4, 5)").collect()} == {0.5, 1.0}
+
+
 def test_inverse_of_a_matrix_with_undefined_values(spark):
     m = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0), (2, 2, None), (0, 2, None), (2, 0, None)], "i long, j long, value double")
     rows = {(r.i, r.j): r.value for r in rel.invert_relationship_matrix(m, [0, 1, 2]).collect()}
