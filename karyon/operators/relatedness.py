@@ -58,8 +58,12 @@ def identity_by_state(calls: DataFrame, n_samples: int, n_alleles: int, method:
 
 
 def weir_goudet_beta(ibs: DataFrame) -> DataFrame:
-    """(ibs - mean of the pairs) / (1 - mean), the mean being that of defined pairs."""
-    mean = ibs.where("i > j").agg(F.avg("value")).first()[0]
+    """(ibs - mean of the pairs) / (1 - mean), the mean being that of defined pairs.
+
+    ``ibs`` is written first, since its mean and its rows are both read.
+    """
+    ibs = Workspace(ibs.sparkSession, "beta").save(ibs.select("i", "j", "value"), "ibs", mean=F.avg(F.when(F.col("i") > F.col("j"), F.col("value"))))
+    mean = ibs.facts["mean"]
     if mean is None or mean == 1:
         return ibs.withColumn("value", F.lit(None).cast("double"))
     return ibs.select("i", "j", ((F.col("value") - mean) / (1 - mean)).alias("value"))

@@ -340,7 +340,7 @@ def identity_by_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_IBS + "z as (select avg(val) m from ib where i > j) select i, j, (val - m) / (1 - m) as value from ib, z", doubles="value")
 def weir_goudet_beta(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.weir_goudet_beta(rel.identity_by_state(keyed(spark, sf), n_samples(spark, sf), 2)).where("value is not null")
+    return rel.weir_goudet_beta(rel.identity_by_state(keyed(spark, sf, True), n_samples(spark, sf), 2, undefined=False)).where("value is not null")
 
 
 def _frequencies(d: DataFrame) -> DataFrame:

@@ -223,6 +223,20 @@ def test_identity_by_state_of_many_samples(spark):
     assert ibs.count() == 2000 * 9 and {r.value for r in ibs.where("i = 4 and j in (3, 4, 5)").collect()} == {0.5, 1.0}
 
 
+def test_beta_of_many_samples(spark):
+    """The mean is that of the pairs that meet; identity by state is made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    ibs = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (0, 1, 0.5), (1, 0, 0.5), (2, 1, 0.0), (1, 2, 0.0)], "i long, j long, value double").mapInPandas(count, "i long, j long, value double")
+    got = {(r.i, r.j): r.value for r in rel.weir_goudet_beta(ibs).collect()}
+    assert got[0, 1] == pytest.approx((0.5 - 0.25) / 0.75) and got[2, 1] == pytest.approx(-0.25 / 0.75) and seen.value == 6
+
+
 def test_inverse_of_a_matrix_with_undefined_values(spark):
     m = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0), (2, 2, None), (0, 2, None), (2, 0, None)], "i long, j long, value double")
     rows = {(r.i, r.j): r.value for r in rel.invert_relationship_matrix(m, [0, 1, 2]).collect()}
