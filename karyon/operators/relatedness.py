@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from karyon.functions import calls as C
 from karyon.plans.packing import gram, packed_rows
-from karyon.plans.sparse import runs, sparse_gram
+from karyon.plans.sparse import Block, runs, sparse_gram
 from karyon.plans.workspace import Workspace
 
 
@@ -70,18 +70,27 @@ def weir_goudet_beta(ibs: DataFrame) -> DataFrame:
 
 
 def genomic_relationship(
-    dosages: DataFrame, frequencies: DataFrame, n_samples: int, ploidy: int = 2, estimator: str = "VanRaden", skipna: bool = False
+    dosages: DataFrame, frequencies: DataFrame, n_samples: int, ploidy: int = 2, estimator: str = "VanRaden", skipna: bool = False, undefined: bool = True
 ) -> DataFrame:
     """``dosages``: variant_index, sample_index, dosage; ``frequencies``: variant_index, frequency.
 
-    VanRaden, for pairs over variants known in both if ``skipna`` (else a missing
-    dosage makes the sample's values null), or Endelman-Jannink with Ledoit-Wolf
+    VanRaden, for pairs over variants known in both if ``skipna`` (pairs without one are
+    null, or without ``undefined`` no row; else a missing dosage makes the sample's values null), or Endelman-Jannink with Ledoit-Wolf
     shrinkage.
     """
     if estimator not in ("VanRaden", "Endelman-Jannink"):
         raise ValueError(f"unknown estimator {estimator}")
     if estimator != "VanRaden" and skipna:
         raise NotImplementedError("skipna needs the VanRaden estimator")
+    if skipna:
+        known = dosages.where(F.col("dosage") >= 0).join(frequencies.select("variant_index", "frequency"), "variant_index")
+
+        def products(b: Block) -> dict:
+            p = b.of["frequency"]
+            return {"m": [b.of["dosage"] - ploidy * p], "d": [np.sqrt(np.maximum(0.0, ploidy * p * (1 - p)))]}
+
+        g = sparse_gram(runs(known, "variant_index", "sample_index", "dosage", "frequency"), products, ["m", "d"], n_samples, undefined)
+        return g.select("i", "j", F.try_divide("m", "d").alias("value"))
     rows = packed_rows(dosages, "variant_index", "sample_index", "dosage").join(frequencies.select("variant_index", "frequency"), "variant_index")
 
     def centred(d: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,14 +102,11 @@ def genomic_relationship(
 
         def features(x: np.ndarray, part: pd.DataFrame) -> dict:
             m, k, p = centred(x, part)
-            if skipna:
-                return {"m": [(m, m)], "d": [(k * (ploidy * p), k * (1 - p))]}
             one = np.ones_like(k)
             return {"m": [(m, m)], "all": [(one * (ploidy * p), one * (1 - p))], "gaps": [(1 - k, one), (one, 1 - k)]}
 
-        g = gram(rows, features, ["m", "d"] if skipna else ["m", "all", "gaps"], n_samples)
-        value = F.try_divide(F.col("m"), F.col("d")) if skipna else F.when(F.col("gaps") == 0, F.try_divide(F.col("m"), F.col("all")))
-        return g.select("i", "j", value.alias("value"))
+        g = gram(rows, features, ["m", "all", "gaps"], n_samples)
+        return g.select("i", "j", F.when(F.col("gaps") == 0, F.try_divide(F.col("m"), F.col("all"))).alias("value"))
 
     # One mean per sample: as many numbers as a packed row has.
     joined = dosages.join(frequencies.select("variant_index", "frequency"), "variant_index")

@@ -304,9 +304,15 @@ def garud_h(spark: SparkSession, sf: str) -> DataFrame:
 # Pairs of variants and samples: dosages are known for full calls
 
 
-def dosages(spark: SparkSession, sf: str) -> DataFrame:
+def dosages(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     d = F.nullif(C.collapse_ploidy("call_genotype"), F.lit(-1)).cast("double")
-    return indexed(spark, sf).select("variant_index", "sample_index", d.alias("dosage"))
+    return (indexed(spark, sf) if of is None else of).select("variant_index", "sample_index", d.alias("dosage"))
+
+
+def keyed_dosages(spark: SparkSession, sf: str) -> DataFrame:
+    """Dosages by part key as variant_index, all of a variant in one partition."""
+    known = table(spark, sf, "part").select(F.col("p_partkey").alias("variant_index"))
+    return dosages(spark, sf, keyed(spark, sf, True).join(known, "variant_index", "left_semi"))
 
 
 _D = "dd as (select v.vi, k.si, (a0 + a1)::double d from k join v on v.p_partkey = k.pk where called),\n"
@@ -351,8 +357,8 @@ def _frequencies(d: DataFrame) -> DataFrame:
 gr as (select x.si i, y.si j, sum((x.d - 2 * p) * (y.d - 2 * p)) num, sum(2 * p * (1 - p)) den from dd x join dd y using (vi) join af using (vi) group by all)
 select i, j, num / den as value from gr where den > 1e-9""", doubles="value")
 def genomic_relationship(spark: SparkSession, sf: str) -> DataFrame:
-    d = dosages(spark, sf)
-    return rel.genomic_relationship(d, _frequencies(d), n_samples(spark, sf), skipna=True).where("value is not null")
+    d = keyed_dosages(spark, sf)
+    return rel.genomic_relationship(d, _frequencies(d), n_samples(spark, sf), skipna=True, undefined=False).where("value is not null")
 
 
 _E = """e as (select vec_id, embedding from embeddings),

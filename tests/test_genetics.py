@@ -237,6 +237,16 @@ def test_beta_of_many_samples(spark):
     assert got[0, 1] == pytest.approx((0.5 - 0.25) / 0.75) and got[2, 1] == pytest.approx(-0.25 / 0.75) and seen.value == 6
 
 
+def test_relationship_of_many_samples(spark):
+    """6,000 samples in pairs: rows only for pairs that meet, over the variants known in both."""
+    x = spark.range(3000).selectExpr("id v", "explode(array(struct(2 * id as s, 2 as d), struct(2 * id + 1 as s, 1 as d), struct((2 * id + 2) % 6000 as s, 0 as d))) x").selectExpr("v variant_index", "cast(x.s as int) sample_index", "cast(x.d as double) dosage")
+    freq = x.groupBy("variant_index").agg((F.avg("dosage") / 2).alias("frequency"))
+    g = rel.genomic_relationship(x, freq, 6000, skipna=True, undefined=False)
+    assert g.count() == 6000 + 6 * 3000
+    got = {(r.i, r.j): r.value for r in g.where("i in (10, 11)").collect()}
+    assert got[11, 11] == 0 and got[10, 11] == 0 and got[10, 12] == pytest.approx(-2) and got[10, 10] == pytest.approx(2)
+
+
 def test_inverse_of_a_matrix_with_undefined_values(spark):
     m = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0), (2, 2, None), (0, 2, None), (2, 0, None)], "i long, j long, value double")
     rows = {(r.i, r.j): r.value for r in rel.invert_relationship_matrix(m, [0, 1, 2]).collect()}
