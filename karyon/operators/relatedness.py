@@ -185,21 +185,20 @@ def pc_relate(calls: DataFrame, components: np.ndarray, n_samples: int, maf: flo
     if not 0 < maf < 1:
         raise ValueError("maf must be between 0 and 1")
     q, _ = np.linalg.qr(np.column_stack([np.ones(n_samples), components]))
-    shared = calls.sparkSession.sparkContext.broadcast(q)
-    g = calls.select("variant_index", "sample_index", F.nullif(C.collapse_ploidy(gt), F.lit(-1)).cast("double").alias("g"))
-    rows = packed_rows(g, "variant_index", "sample_index", "g")
-
-    def features(x: np.ndarray, _: pd.DataFrame) -> dict:
-        basis = shared.value
-        known = x >= 0
-        mean = np.where(known, x, 0.0).sum(1) / np.maximum(1, known.sum(1))
-        full = np.where(known, x, mean[:, None])
-        mu = 0.5 * (full @ basis) @ basis.T
-        keep = known & (mu > maf) & (mu < 1 - maf)
-        r, s = np.where(keep, x / 2 - mu, 0.0), np.where(keep, np.sqrt(np.clip(mu * (1 - mu), 0, None)), 0.0)
-        return {"a": [(r, r)], "b": [(s, s)]}
-
-    m = gram(rows, features, ["a", "b"], n_samples)
+    shared = calls.sparkSession.sparkContext.broadcast((q, q.sum(0)))
+    g = calls.select("variant_index", "sample_index", C.collapse_ploidy(gt).cast("double").alias("g")).where("g >= 0")
+
+    def products(b: Block) -> dict:
+        """A missing call counts as the variant's mean in the regression on components, and then drops out."""
+        basis, whole = shared.value
+        x, own = b.of["g"], basis[b.col]
+        mean = b.sums(x) / np.diff(b.ptr)
+        part = b.sums((x - mean[b.at])[:, None] * own) + mean[:, None] * whole
+        mu = 0.5 * (part[b.at] * own).sum(1)
+        keep = (mu > maf) & (mu < 1 - maf)
+        return {"a": [np.where(keep, x / 2 - mu, 0.0)], "b": [np.where(keep, np.sqrt(np.clip(mu * (1 - mu), 0, None)), 0.0)]}
+
+    m = sparse_gram(runs(g, "variant_index", "sample_index", "g"), products, ["a", "b"], n_samples, True)
     return m.select("i", "j", F.try_divide("a", "b").alias("value"))
 
 

@@ -521,7 +521,7 @@ def pc_relate(spark: SparkSession, sf: str) -> DataFrame:
     n = n_samples(spark, sf)
     proj, _, _ = assoc.pca(dosages(spark, sf), n, 2)
     pcs = proj.pivot(index="sample", columns="component", values="value").to_numpy()
-    return rel.pc_relate(keyed(spark, sf), pcs, n)
+    return rel.pc_relate(keyed(spark, sf, True), pcs, n)
 
 
 @query()

@@ -247,6 +247,25 @@ def test_relationship_of_many_samples(spark):
     assert got[11, 11] == 0 and got[10, 11] == 0 and got[10, 12] == pytest.approx(-2) and got[10, 10] == pytest.approx(2)
 
 
+def test_pc_relate_over_tiles(spark):
+    """More samples than a tile has, most calls missing."""
+    rng = np.random.default_rng(15)
+    n, g = 2060, rng.integers(0, 2, (40, 2060, 2))
+    known = rng.random((40, n)) < 0.05
+    calls = spark.createDataFrame([(int(v), int(s), g[v, s].tolist()) for v, s in zip(*np.nonzero(known))], "variant_index long, sample_index int, call_genotype array<int>")
+    pcs = rng.normal(size=(n, 2))
+    got = rel.pc_relate(calls, pcs, n).where("i in (3, 2055)").toPandas()
+    x = np.where(known, g.sum(2), 0.0)
+    x = np.where(known, x, x.sum(1, keepdims=True) / known.sum(1, keepdims=True))
+    q = np.linalg.qr(np.column_stack([np.ones(n), pcs]))[0]
+    mu = 0.5 * (x @ q) @ q.T
+    keep = known & (mu > 0.01) & (mu < 0.99)
+    r, s = np.where(keep, x / 2 - mu, 0), np.where(keep, np.sqrt(np.clip(mu * (1 - mu), 0, None)), 0)
+    with np.errstate(invalid="ignore"):
+        want = ((r.T @ r) / (s.T @ s))[got["i"], got["j"]]
+    assert len(got) == 2 * n and np.allclose(got["value"].astype(float), want, equal_nan=True)
+
+
 def test_inverse_of_a_matrix_with_undefined_values(spark):
     m = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0), (2, 2, None), (0, 2, None), (2, 0, None)], "i long, j long, value double")
     rows = {(r.i, r.j): r.value for r in rel.invert_relationship_matrix(m, [0, 1, 2]).collect()}
