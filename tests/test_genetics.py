@@ -417,6 +417,21 @@ def test_regressions(spark):
         assoc.basis(None, 5, False)
 
 
+def test_regression_on_known_calls_is_that_on_imputed_ones(spark):
+    rng = np.random.default_rng(16)
+    x = np.where(rng.random((40, 70)) < 0.3, rng.integers(0, 3, (40, 70)).astype(float), -1.0)
+    x[3, x[3] >= 0] = 1.0
+    y, cov = rng.normal(size=(70, 2)), rng.normal(size=(70, 2))
+    for c, intercept in ((cov, True), (None, True), (cov, False)):
+        q = assoc.basis(c, 70, intercept)
+        beta, t, _ = assoc.linear_regression(assoc._impute(x), y - q @ (q.T @ y), q)
+        rows = assoc.gwas_linear_regression(long(spark, np.where(x < 0, np.nan, x)), y, c, intercept).toPandas()
+        i, k = rows["variant_index"], rows["trait"]
+        assert len(rows) == 80 and np.allclose(rows["beta"], beta[i, k], equal_nan=True) and np.allclose(rows["t_value"], t[i, k], equal_nan=True)
+    wide = spark.range(2000).selectExpr("id variant_index", "explode(array(7 * id, 7 * id + 1, 7 * id + 2, 7 * id + 9)) s").selectExpr("variant_index", "cast(s % 50000 as int) sample_index", "cast(s % 3 as double) dosage")
+    assert assoc.gwas_linear_regression(wide, rng.normal(size=50000), None).where("p_value is not null").count() == 2000
+
+
 def test_whole_genome_regression(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 3, (40, 50)).astype(float)
