@@ -32,6 +32,33 @@ def test_plink_round_trip(spark, tmp_path):
         plink.write_plink(t | {"calls": t["calls"].selectExpr("variant_index", "sample_index", "array(0) as call_genotype")}, path + "y")
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_plink_of_many_samples_with_few_calls(spark, tmp_path, compress):
+    n = 4001
+    calls = spark.range(3000).selectExpr("id % 300 variant_index", "cast((id * 37 + id div 300) % 4001 as int) sample_index", "array(cast(id % 2 as int), cast(id div 2 % 2 as int)) call_genotype").dropDuplicates(["variant_index", "sample_index"])
+    t = {
+        "variants": spark.range(301).selectExpr("id variant_index", "'1' contig", "concat('r', id) variant_id", "0.5D cm_pos", "cast(id as int) variant_position", "array('A', 'C') variant_allele"),
+        "samples": spark.range(n).selectExpr("cast(id as int) sample_index", "'F' family_id", "concat('s', id) sample_id", "'.' paternal_id", "'.' maternal_id", "1 sex", "-1 phenotype"),
+        "calls": calls,
+    }
+    path = str(tmp_path / "x")
+    plink.write_plink(t, path, rows_per_part=64, compress=compress)
+    want = {(r.variant_index, r.sample_index): sum(r.call_genotype) for r in calls.collect()}
+    back = plink.read_plink(spark, path)
+    packed = {(r.variant_index, int(k)): int(x) for r in back["packed"].collect() for k, x in zip(r.idx, r.val)}
+    assert packed == want and back["packed"].count() == 301
+    known = back["calls"].where("call_genotype[0] >= 0").collect()
+    assert {(r.variant_index, r.sample_index): sum(r.call_genotype) for r in known} == want and back["calls"].count() == 301 * n
+    some = plink.read_plink(spark, path, first=60, stop=70)["packed"].collect()
+    assert {(r.variant_index, int(k)): int(x) for r in some for k, x in zip(r.idx, r.val)} == {k: x for k, x in want.items() if 60 <= k[0] < 70} and len(some) == 10
+    if compress:
+        import pyarrow as pa
+
+        raw = pa.input_stream(path + ".bed.zst", compression="zstd").read()
+        plink.write_plink(t, path + "y", rows_per_part=64)
+        assert raw == (tmp_path / "xy.bed").read_bytes() and (tmp_path / "x.bed.zst").stat().st_size < len(raw) / 10
+
+
 def test_file_order_of_uneven_parts(spark, tmp_path):
     """Spark orders splits by size; rows are numbered by file name all the same."""
     (tmp_path / "v").mkdir()
