@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karyon.plans.packing import dense, packed_rows
+from karyon.plans.sparse import ALONE_NS, TOGETHER_NS, packed_runs, spread
+from karyon.plans.workspace import Workspace
 
 
 def owner_windows(variants: DataFrame, windows: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
@@ -28,37 +29,75 @@ def owner_windows(variants: DataFrame, windows: DataFrame, bin_size: int = 1 <<
     return met.where("at < stop").select(F.col("at").alias("variant_index"), "contig", "stop")
 
 
-def _r2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared correlation of each row of ``a`` with each of ``b``, over samples known in both."""
-    ka, kb = (a >= 0).astype(float), (b >= 0).astype(float)
-    xa, xb = np.where(a >= 0, a, 0.0), np.where(b >= 0, b, 0.0)
-    n = ka @ kb.T
+def _r2(a: np.ndarray, b: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Squared correlation of each row of ``a`` with each of ``b``, over samples known in both (not negative)."""
+    sums = np.zeros((6, len(a), len(b)))
+    for at in range(0, a.shape[1], step):
+        p, q = a[:, at : at + step], b[:, at : at + step]
+        ka, kb = (p >= 0).astype(float), (q >= 0).astype(float)
+        xa, xb = np.where(p >= 0, p, 0.0), np.where(q >= 0, q, 0.0)
+        for s, x, y in zip(sums, (ka, xa, ka, xa, xa**2, ka), (kb, kb, xb, xb, kb, xb**2)):
+            s += x @ y.T
+    n, sx, sy, xy, xx, yy = sums
     with np.errstate(divide="ignore", invalid="ignore"):
-        sx, sy = xa @ kb.T, ka @ xb.T
-        cov = xa @ xb.T / n - sx * sy / n**2
-        vx = (xa**2) @ kb.T / n - (sx / n) ** 2
-        vy = ka @ (xb**2).T / n - (sy / n) ** 2
+        cov, vx, vy = xy / n - sx * sy / n**2, xx / n - (sx / n) ** 2, yy / n - (sy / n) ** 2
         r2 = cov**2 / (vx * vy)
     r2[(vx <= 1e-14) | (vy <= 1e-14)] = np.nan
     return r2
 
 
+def _entries(part: pd.DataFrame, idx: str = "idx", val: str = "val") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the row, sample and dosage of all known calls (not negative)."""
+    size = part[idx].map(len).to_numpy()
+    col, x = np.concatenate(part[idx].to_numpy()).astype(np.int64), np.concatenate(part[val].to_numpy())
+    row = np.repeat(np.arange(len(part)), size)
+    return row[x >= 0], col[x >= 0], x[x >= 0]
+
+
+def _r2_inside(a: tuple, b: tuple, low: np.ndarray, high: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i of ``a`` and j of ``b`` with low[i] <= j < high[i], and their squared correlation.
+
+    Only the samples that both know are met, one by one.
+    """
+    (ra, ca, xa), (rb, cb, xb) = a, b
+    key = cb * (wide + 1) + rb
+    order = np.argsort(key)
+    key, rb, xb = key[order], rb[order], xb[order]
+    first, last = np.searchsorted(key, ca * (wide + 1) + low[ra]), np.searchsorted(key, ca * (wide + 1) + high[ra])
+    count = np.maximum(0, last - first)
+    i = np.repeat(np.arange(len(ra)), count)
+    j = np.repeat(first, count) + spread(count)
+    # Pairs inside are numbered one row after the other.
+    size = np.maximum(0, high - low)
+    start = np.cumsum(size) - size
+    x, y = np.repeat(np.arange(len(low)), size), np.repeat(low, size) + spread(size)
+    at, u, v = start[ra[i]] + rb[j] - low[ra[i]], xa[i], xb[j]
+    n, sx, sy, xx, yy, xy = (np.bincount(at, w, len(x)) for w in (None, u, v, u * u, v * v, u * v))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov, vx, vy = xy / n - sx * sy / n**2, xx / n - (sx / n) ** 2, yy / n - (sy / n) ** 2
+        r2 = cov**2 / (vx * vy)
+    r2[~((vx > 1e-14) & (vy > 1e-14))] = np.nan
+    return x, y, r2
+
+
 def ld_matrix(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_samples: int, threshold: float | None = None, block: int = 256) -> DataFrame:
     """i, j (i <= j), value (float): squared correlations of the pairs in windows.
 
     ``dosages``: variant_index, sample_index, dosage (null or negative: missing).
     ``threshold`` keeps defined values of at least it; none or 0 keeps all,
-    undefined ones as null. Packed rows of a contig are cut into blocks of
-    ``block`` variants; each block meets the blocks that its windows reach, one
-    pair of blocks per group, so no group grows with the contig.
+    undefined ones as null. Packed rows are written and cut into blocks of
+    ``block`` variants of a contig; each block meets the blocks that its windows reach,
+    one pair of blocks per group, so no group grows with the contig. Where few samples
+    are known, only those are met; else matrices are multiplied, some samples at a time.
     """
-    reach = owner_windows(variants, windows)
-    rows = packed_rows(dosages, "variant_index", "sample_index", "dosage")
-    left = rows.join(reach, "variant_index").withColumn("bi", F.floor(F.col("variant_index") / block))
+    reach = variants.select("variant_index", "contig").join(owner_windows(variants, windows).select("variant_index", "stop"), "variant_index", "left")
+    rows = packed_runs(dosages, "variant_index", "sample_index", "dosage").join(reach, "variant_index").withColumn("b", F.floor(F.col("variant_index") / block))
+    rows = Workspace(dosages.sparkSession, "ld").save(rows, "packed")
+    left = rows.where("stop is not null").withColumnRenamed("b", "bi")
     left = left.withColumn("bj", F.explode(F.sequence(F.col("bi"), F.floor((F.col("stop") - 1) / block))))
-    far = left.groupBy("contig", "bi").agg(F.max("bj").alias("last"))
-    need = far.select("contig", "bi", F.explode(F.sequence("bi", "last")).alias("bj"))
-    right = rows.join(variants.select("variant_index", "contig"), "variant_index").withColumn("bj", F.floor(F.col("variant_index") / block)).join(need, ["contig", "bj"])
+    far = left.groupBy("contig", "bi").agg(F.max("bj").alias("last"), F.max("stop").alias("end"))
+    need = far.select("contig", "bi", "end", F.explode(F.sequence("bi", "last")).alias("bj"))
+    right = rows.withColumnRenamed("b", "bj").join(need, ["contig", "bj"]).where("variant_index < end")
     keep = float(threshold or 0)
 
     def pairs(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -66,14 +105,27 @@ def ld_matrix(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_sam
         if not len(a) or not len(b):
             return out
         a, b = a.sort_values("variant_index"), b.sort_values("rv")
-        r = _r2(dense(a, n_samples), dense(b, n_samples, idx="ridx", val="rval"))
         i, j = a["variant_index"].to_numpy(), b["rv"].to_numpy()
-        inside = (j[None, :] >= i[:, None]) & (j[None, :] < a["stop"].to_numpy()[:, None])
-        r[i[:, None] == j[None, :]] = 1.0
+        low, high = np.searchsorted(j, i), np.searchsorted(j, a["stop"].to_numpy())
+        ea, eb = _entries(a), _entries(b, "ridx", "rval")
+        seen = np.union1d(ea[1], eb[1])
+        share = np.maximum(0, high - low).sum() / (len(a) * len(b))
+        if len(ea[0]) * len(eb[0]) / max(1, len(seen)) * share * 4 * ALONE_NS > 6 * len(a) * len(b) * len(seen) * TOGETHER_NS:
+            wide = []
+            for (row, col, x), part in ((ea, a), (eb, b)):
+                wide.append(np.full((len(part), len(seen)), -1.0))
+                wide[-1][row, np.searchsorted(seen, col)] = x
+            r = _r2(*wide)
+            size = np.maximum(0, high - low)
+            x, y = np.repeat(np.arange(len(a)), size), np.repeat(low, size) + spread(size)
+            r = r[x, y]
+        else:
+            x, y, r = _r2_inside(ea, eb, low, high, len(b))
+        r[i[x] == j[y]] = 1.0
         if keep:
-            inside &= np.nan_to_num(r, nan=-1.0) >= keep
-        x, y = np.nonzero(inside)
-        return pd.DataFrame({"i": i[x], "j": j[y], "value": r[x, y]})
+            some = np.nan_to_num(r, nan=-1.0) >= keep
+            x, y, r = x[some], y[some], r[some]
+        return pd.DataFrame({"i": i[x], "j": j[y], "value": r})
 
     l2 = left.select("contig", "bi", "bj", "variant_index", "stop", "idx", "val")
     r2 = right.select(F.col("contig").alias("rc"), F.col("bi").alias("rbi"), F.col("bj").alias("rbj"), F.col("variant_index").alias("rv"), F.col("idx").alias("ridx"), F.col("val").alias("rval"))

@@ -78,6 +78,19 @@ def spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def packed_runs(values: DataFrame, row: str, col: str, value: str) -> DataFrame:
+    """``row``, ``idx`` and ``val`` as :func:`karyon.plans.packing.packed_rows` gives them, without collecting in the aggregate."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_rows(batches):
+            ends = pa.array(b.ptr.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (b.col.astype(np.int32), b.of["value"])]
+            yield pa.RecordBatch.from_arrays([pa.array(b.row), *lists], [row, "idx", "val"])
+
+    known = values.where(F.col(value).isNotNull()).select(row, col, F.col(value).cast("double").alias("value"))
+    return runs(known, row, col, "value").mapInArrow(pack, f"{row} bigint, idx array<int>, val array<double>")
+
+
 Weights = Callable[[Block], dict[str, list[np.ndarray]]]
 
 

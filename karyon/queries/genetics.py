@@ -82,9 +82,9 @@ def keyed(spark: SparkSession, sf: str, together: bool = False) -> DataFrame:
     return calls(spark, sf, together).withColumnRenamed("variant_key", "variant_index")
 
 
-def indexed(spark: SparkSession, sf: str) -> DataFrame:
+def indexed(spark: SparkSession, sf: str, together: bool = False) -> DataFrame:
     v = variants(spark, sf).select(F.col("p_partkey").alias("variant_key"), "variant_index")
-    return calls(spark, sf).join(v, "variant_key").drop("variant_key")
+    return calls(spark, sf, together).join(v, "variant_key").drop("variant_key")
 
 
 def n_samples(spark: SparkSession, sf: str) -> int:
@@ -324,14 +324,14 @@ pr as (select o.vi i, x.vi j, count(*) n, (avg(y.d * x.d) - avg(y.d) * avg(x.d))
 @query(_W + _D + _R2 + "z as (select 1) select i, j, round((case when i = j then 1.0 else cov * cov / (vx * vy) end)::double + 1e-6, 4) as value from pr where i = j or (vx > 1e-12 and vy > 1e-12 and cov * cov / (vx * vy) >= 0.1000001)")
 def ld_matrix(spark: SparkSession, sf: str) -> DataFrame:
     v = variants(spark, sf)
-    out = ld.ld_matrix(dosages(spark, sf), v, win.window_by_variant(v, 50), n_samples(spark, sf), 0.1000001)
+    out = ld.ld_matrix(dosages(spark, sf, indexed(spark, sf, True)), v, win.window_by_variant(v, 50), n_samples(spark, sf), 0.1000001)
     return out.select("i", "j", F.round(F.col("value").cast("double") + 1e-6, 4).alias("value"))
 
 
 @query()
 def ld_prune(spark: SparkSession, sf: str) -> DataFrame:
     v = variants(spark, sf)
-    return ld.ld_prune(dosages(spark, sf), v, win.window_by_variant(v, 50), n_samples(spark, sf), 0.2).select("variant_index", "contig")
+    return ld.ld_prune(dosages(spark, sf, indexed(spark, sf, True)), v, win.window_by_variant(v, 50), n_samples(spark, sf), 0.2).select("variant_index", "contig")
 
 
 _IBS = """fr as (select pk vi, si, n1 / (n0 + n1)::double f from k where n0 + n1 > 0),

@@ -149,6 +149,27 @@ def test_ld_and_pruning(spark):
     assert sorted(r.variant_index for r in ld.ld_prune(long(spark, g), v, w, 10, 0.95).collect()) == [0, 1, 2, 4, 5, 6, 7, 9]
 
 
+@pytest.mark.parametrize("known", [0.1, 0.9])
+def test_ld_of_few_and_of_many_known_calls(spark, known):
+    """Both ways to sum give the correlations over common samples; 50,000 samples cost nothing if none is known."""
+    rng = np.random.default_rng(17)
+    g = np.where(rng.random((60, 80)) < known, rng.integers(0, 3, (60, 80)).astype(float), np.nan)
+    v = loci(spark, range(35), range(25))
+    x = long(spark, g).withColumn("sample_index", F.col("sample_index") * 600)
+    m = {(r.i, r.j): r.value for r in ld.ld_matrix(x, v, win.window_by_variant(v, 12, 5), 50_000, block=8).collect()}
+    reach = {r.variant_index: r.stop for r in ld.owner_windows(v, win.window_by_variant(v, 12, 5)).collect()}
+    assert set(m) == {(i, j) for i, stop in reach.items() for j in range(i, stop)}
+    for (i, j), value in m.items():
+        ok = ~np.isnan(g[i]) & ~np.isnan(g[j])
+        p, q = g[i][ok], g[j][ok]
+        if i == j:
+            assert value == 1
+        elif len(p) < 2 or p.std() < 1e-6 or q.std() < 1e-6:
+            assert value is None
+        else:
+            assert value == pytest.approx(np.corrcoef(p, q)[0, 1] ** 2, rel=1e-5, abs=1e-6)
+
+
 def test_relationships(spark):
     d = [[2, 1, 1], [1, 1, 1], [2, 1, 0], [2, 1, 1], [1, 0, 0], [1, 1, 2]]
     x = long(spark, d)
