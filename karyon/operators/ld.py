@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,19 +168,26 @@ def maximal_independent_set(edges: DataFrame, contig: DataFrame | None = None) -
     e = e.join(contig.select(F.col("variant_index").alias("i"), "contig"), "i") if contig is not None else e.withColumn("contig", F.lit(0))
     e = e.join(segments(e), ["contig", "i"])
 
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        lost: set[int] = set()
-        for i, j, c in part.sort_values(["i", "j"])[["i", "j", "cmp"]].itertuples(index=False):
-            if i not in lost:
-                lost.add(i if c < 0 else j)
-        return pd.DataFrame({"ld_prune_index_to_drop": np.array(sorted(lost), np.int64)})
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lost = None, set()
+        for b in batches:
+            drop = []
+            for run, i, j, c in zip(zip(b["contig"].to_pylist(), b["segment"].to_pylist()), *(b[k].to_pylist() for k in ("i", "j", "cmp"))):
+                if run != now:
+                    now, lost = run, set()
+                if i not in lost and (k := i if c < 0 else j) not in lost:
+                    lost.add(k)
+                    drop.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(drop, pa.int64())], ["ld_prune_index_to_drop"])
 
-    return e.groupBy("contig", "segment").applyInPandas(greedy, "ld_prune_index_to_drop bigint")
+    # All of a run behind each other, without a group for each of very many.
+    e = e.select("contig", "segment", "i", "j", "cmp").repartition("contig", "segment").sortWithinPartitions("contig", "segment", "i", "j")
+    return e.mapInArrow(greedy, "ld_prune_index_to_drop bigint")
 
 
 def ld_prune(dosages: DataFrame, variants: DataFrame, windows: DataFrame, n_samples: int, threshold: float = 0.2, score: str | None = None) -> DataFrame:
     """The variants that remain."""
-    edges = ld_matrix(dosages, variants, windows, n_samples, threshold)
+    edges = Workspace(dosages.sparkSession, "prune").save(ld_matrix(dosages, variants, windows, n_samples, threshold), "edges")
     if score:
         s = variants.select("variant_index", F.col(score).alias("s"))
         edges = edges.join(s.select(F.col("variant_index").alias("i"), F.col("s").alias("si")), "i").join(s.select(F.col("variant_index").alias("j"), F.col("s").alias("sj")), "j").withColumn("cmp", F.signum(F.col("si") - F.col("sj")).cast("int"))

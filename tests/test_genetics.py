@@ -149,6 +149,16 @@ def test_ld_and_pruning(spark):
     assert sorted(r.variant_index for r in ld.ld_prune(long(spark, g), v, w, 10, 0.95).collect()) == [0, 1, 2, 4, 5, 6, 7, 9]
 
 
+def test_pruning_of_very_many_runs(spark):
+    """100,000 runs of three variants take no group each."""
+    import time
+
+    e = spark.range(100_000).selectExpr("explode(array(struct(3 * id as i, 3 * id + 1 as j, 0 as c), struct(3 * id + 1 as i, 3 * id + 2 as j, 0 as c))) x").selectExpr("x.i i", "x.j j", "x.c cmp")
+    began = time.time()
+    lost = ld.maximal_independent_set(e).toPandas()["ld_prune_index_to_drop"]
+    assert len(lost) == 100_000 and (lost % 3 == 1).all() and time.time() - began < 60
+
+
 @pytest.mark.parametrize("known", [0.1, 0.9])
 def test_ld_of_few_and_of_many_known_calls(spark, known):
     """Both ways to sum give the correlations over common samples; 50,000 samples cost nothing if none is known."""
