@@ -478,6 +478,25 @@ def test_whole_genome_regression(spark):
         assoc.regenie_loco_regression(long(spark, x), v, y[:, None], None, {"a": loco["a"]})
 
 
+def test_whole_genome_regression_of_many_samples(spark):
+    """Predictions of 3,000 samples as they come out of the stages one by one."""
+    rng = np.random.default_rng(18)
+    n = 3000
+    x = rng.integers(0, 3, (12, n)).astype(float)
+    y = x[:3].T @ rng.normal(size=3) + rng.normal(size=n)
+    rows = spark.createDataFrame([(v, list(range(n)), x[v].tolist()) for v in range(12)], "variant_index long, idx array<int>, val array<double>")
+    v = spark.createDataFrame([(i, "a" if i < 6 else "b", i) for i in range(12)], "variant_index long, contig string, position long")
+    base, meta, loco = assoc.regenie(rows, v, y[:, None], None, variant_block=3, sample_blocks=4)
+    assert base.count() == 4 * 5 * n and base.columns == ["contig", "block", "alpha", "sample", "outcome", "value"]
+    z = ((y - y.mean()) / y.std())[:, None]
+    q = assoc.basis(None, n)
+    part = x[:3].T
+    pred, _ = assoc._out_of_fold(np.column_stack([q, part - q @ (q.T @ part)]), z, assoc.penalties(12), assoc.folds(n, 4), 1)
+    got = base.where("contig = 'a' and block = 0 and alpha = 2").orderBy("sample").toPandas()["value"].to_numpy()
+    assert np.allclose(got, pred[2, :, 0]) and np.corrcoef(meta[:, 0], z[:, 0])[0, 1] > 0.5
+    assert assoc.regenie_loco_regression(rows, v, y[:, None], None, loco).count() == 12
+
+
 def test_pca_matches_svd(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(0, 3, (80, 12)).astype(float)
