@@ -59,6 +59,23 @@ def test_plink_of_many_samples_with_few_calls(spark, tmp_path, compress):
         assert raw == (tmp_path / "xy.bed").read_bytes() and (tmp_path / "x.bed.zst").stat().st_size < len(raw) / 10
 
 
+@pytest.fixture(scope="module")
+def wide_fileset(spark, tmp_path_factory):
+    """20,000 samples, of which a variant knows one; as the queries write it."""
+    path = str(tmp_path_factory.mktemp("wide") / "x")
+    plink.write_plink({
+        "variants": spark.range(900).selectExpr("id variant_index", "if(id < 500, '2', '1') contig", "concat('r', id) variant_id", "0.5D cm_pos", "cast(id as int) variant_position", "array('A', 'C') variant_allele"),
+        "samples": spark.range(20_000).selectExpr("cast(id as int) sample_index", "'F' family_id", "concat('s', id) sample_id", "'.' paternal_id", "'.' maternal_id", "cast(id % 3 as int) sex", "-1 phenotype"),
+        "calls": spark.range(900).selectExpr("id variant_index", "cast(id * 22 as int) sample_index", "array(0, 1) call_genotype"),
+    }, path, rows_per_part=100, compress=True)
+    return path
+
+
+def test_samples_of_a_compressed_fileset(spark, wide_fileset):
+    s = plink.read_plink(spark, wide_fileset)["samples"]
+    assert s.count() == 20_000 and s.where("sample_id != concat('s', sample_index) or sex != if(sample_index % 3 = 0, -1, sample_index % 3)").count() == 0
+
+
 def test_file_order_of_uneven_parts(spark, tmp_path):
     """Spark orders splits by size; rows are numbered by file name all the same."""
     (tmp_path / "v").mkdir()
