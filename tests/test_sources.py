@@ -76,6 +76,11 @@ def test_samples_of_a_compressed_fileset(spark, wide_fileset):
     assert s.count() == 20_000 and s.where("sample_id != concat('s', sample_index) or sex != if(sample_index % 3 = 0, -1, sample_index % 3)").count() == 0
 
 
+def test_variants_of_a_compressed_fileset(spark, wide_fileset):
+    v = plink.read_plink(spark, wide_fileset)["variants"]
+    assert v.count() == 900 and v.where("variant_id != concat('r', variant_index) or variant_contig != if(variant_index < 500, 0, 1)").count() == 0
+
+
 def test_file_order_of_uneven_parts(spark, tmp_path):
     """Spark orders splits by size; rows are numbered by file name all the same."""
     (tmp_path / "v").mkdir()
