@@ -81,6 +81,13 @@ def test_variants_of_a_compressed_fileset(spark, wide_fileset):
     assert v.count() == 900 and v.where("variant_id != concat('r', variant_index) or variant_contig != if(variant_index < 500, 0, 1)").count() == 0
 
 
+def test_a_region_reads_its_frames_only(spark, wide_fileset):
+    reader = plink.BedReader({"path": wide_fileset + ".bed.zst", "samples": 20_000, "variants": 900, "first": 250, "stop": 310, "packed": "true"})
+    assert [(p.first, p.stop, len(p.frames)) for p in reader.partitions()] == [(200, 400, 2)]
+    got = plink.read_plink(spark, wide_fileset, first=250, stop=310)["packed"].collect()
+    assert {r.variant_index: (list(r.idx), list(r.val)) for r in got} == {v: ([22 * v], [1.0]) for v in range(250, 310)}
+
+
 def test_file_order_of_uneven_parts(spark, tmp_path):
     """Spark orders splits by size; rows are numbered by file name all the same."""
     (tmp_path / "v").mkdir()
